@@ -30,6 +30,17 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def kept(c: Column) -> Column:
+    """The value of ``c``, computed at this place and nowhere else.
+
+    Catalyst merges projections and pushes filters through them by copying the
+    expressions they refer to.  The stages here each use the one before several
+    times, so copies of copies would grow without end.  A column that counts as
+    non-deterministic is neither copied nor passed by a filter.
+    """
+    return F.when(F.spark_partition_id() >= 0, c)
+
+
 def value_for(names: Column, values: Column, name) -> Column:
     """Value at the first place where ``names`` holds ``name``, else null.
 

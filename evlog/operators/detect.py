@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from evlog import fixed as X
 from evlog.functions.strict_json import json_kind
-from evlog.functions.text import strip
+from evlog.functions.text import kept, strip
 
 
 def is_xml_like(text: Column) -> Column:
@@ -69,9 +69,9 @@ def describe_rule(rule: Column) -> Column:
 
 def detect(df: DataFrame) -> DataFrame:
     """Add ``format, confidence, reason, method`` to sealed rows (``raw, raw_sha256``)."""
-    staged = df.withColumn("_text", strip(F.col("raw")))
+    staged = df.withColumn("_text", kept(strip(F.col("raw"))))
     staged = staged.withColumn(
-        "_rule", rule_number(F.col("_text"), json_kind(F.col("_text"), F.col("raw_sha256")))
+        "_rule", kept(rule_number(F.col("_text"), json_kind(F.col("_text"), F.col("raw_sha256"))))
     )
     hit = describe_rule(F.col("_rule"))
     return staged.select(

@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from evlog.functions.text import let
+from evlog.functions.text import kept, let
 from evlog.session import cut
 
 K = 10
@@ -109,9 +109,9 @@ def _chunks(nodes: DataFrame, k: int) -> DataFrame:
             *[m[c].alias(c) for c in carried],
         ),
     )
-    staged = grouped.select("batch_id", "chunk", "leaves", members.alias("members"))
+    staged = grouped.select("batch_id", "chunk", "leaves", kept(members).alias("members"))
     tops = F.transform(F.col("members"), lambda m: F.element_at(m["path"], -1))
-    return staged.withColumn("levels", _fold(tops, k))
+    return staged.withColumn("levels", kept(_fold(tops, k)))
 
 
 def _roots(chunks: DataFrame, k: int) -> DataFrame:
@@ -326,39 +326,30 @@ def tamper_diff(a: DataFrame, b: DataFrame, max_leaves: int | None = None, k: in
 
 
 def tamper_locate(nodes_a: DataFrame, nodes_b: DataFrame, k: int = K, height: int | None = None) -> DataFrame:
-    """Differing leaves of two node tables, found from the top down.
+    """Differing leaves of two stored node tables, found from the top down.
 
     Every k-th level is compared, and below it only the children of nodes that
     differ.  The frontier is as small as the tampering, so the big lower levels
-    are semi-joined with it instead of being shuffled whole.
+    are semi-joined with it instead of being compared whole.
     """
+    nodes = nodes_a.withColumn("side", F.lit("a")).unionByName(nodes_b.withColumn("side", F.lit("b")))
     if height is None:
-        height = max(d.agg(F.max("level")).first()[0] or 0 for d in (nodes_a, nodes_b))
+        height = nodes.agg(F.max("level")).first()[0] or 0
 
-    def side(df, level, name):
-        return df.filter(F.col("level") == level).select("batch_id", "pos", F.col("hash").alias(name))
+    def side(name):
+        return F.max(F.when(F.col("side") == name, F.col("hash"))).alias(f"hash_{name}")
 
-    def top(df, name):
-        root = F.max_by("hash", "level").alias(name)
-        return df.filter(F.col("pos") == 0).groupBy("batch_id").agg(root)
+    def differing(rows, *keys):
+        both = rows.groupBy(*keys).agg(side("a"), side("b"))
+        return both.filter(~F.col("hash_a").eqNullSafe(F.col("hash_b")))
 
-    # trees of different height meet below their tops, so a batch whose roots differ
-    # stays in the frontier with its first subtree
-    start = (
-        top(nodes_a, "a").join(top(nodes_b, "b"), "batch_id", "full_outer")
-        .filter(~F.col("a").eqNullSafe(F.col("b")))
-        .select("batch_id", F.lit(0).cast("bigint").alias("parent"))
-    )
+    # trees of different height do not meet at their tops, so a batch whose roots
+    # differ stays in the frontier with its first subtree
+    tops = nodes.filter("pos = 0").groupBy("batch_id", "side").agg(F.max_by("hash", "level").alias("hash"))
+    start = differing(tops, "batch_id").select("batch_id", F.lit(0).cast("bigint").alias("parent"))
     frontier = start
     for level in range(height // k * k, -1, -k):
-        def children(name, df):
-            rows = side(df, level, name).withColumn("parent", F.shiftright("pos", k))
-            return rows.join(frontier, ["batch_id", "parent"], "left_semi").drop("parent")
-
-        found = (
-            children("hash_a", nodes_a)
-            .join(children("hash_b", nodes_b), ["batch_id", "pos"], "full_outer")
-            .filter(~F.col("hash_a").eqNullSafe(F.col("hash_b")))
-        )
-        frontier = found.select("batch_id", F.col("pos").alias("parent")).union(start).distinct()
+        children = nodes.filter(F.col("level") == level).withColumn("parent", F.shiftright("pos", k))
+        found = differing(children.join(frontier, ["batch_id", "parent"], "left_semi"), "batch_id", "pos")
+        frontier = found.select("batch_id", F.col("pos").alias("parent")).union(start)
     return found

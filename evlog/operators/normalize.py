@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evlog.functions.text import value_for, let
+from evlog.functions.text import kept, let, value_for
 from evlog.operators.ingest import event_id
 
 # leaf of the canonical event -> names under which records may carry it
@@ -63,7 +63,7 @@ def field_confidence(records: Column) -> Column:
 
 def normalize(df: DataFrame) -> DataFrame:
     """Add ``canonical`` to parsed rows and drop what it absorbs."""
-    staged = df.withColumn("_leaf", leaf_struct(F.col("provenance")))
+    staged = df.withColumn("_leaf", kept(leaf_struct(F.col("provenance"))))
     leaf, head = F.col("_leaf"), F.col("head")
     value = {n: leaf[n] for n in LEAVES}
     for n in ("vendor", "product", "message"):
@@ -79,4 +79,4 @@ def normalize(df: DataFrame) -> DataFrame:
         F.col("provenance").alias("provenance"),
         field_confidence(F.col("provenance")).alias("confidence"),
     )
-    return staged.withColumn("canonical", canonical).drop("_leaf", "head", "extra")
+    return staged.withColumn("canonical", kept(canonical)).drop("_leaf", "head", "extra")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evlog import fixed as X
-from evlog.functions.text import let, strip, whole
+from evlog.functions.text import kept, let, strip, whole
 from evlog.functions.values import norm_field
 
 _TYPE_PATTERN = dict(X.TOKEN_TYPES)
@@ -31,7 +31,7 @@ def delimiter(raw: Column) -> Column:
 def fingerprint(df: DataFrame) -> DataFrame:
     """Structural signature of each raw line."""
     raw = F.col("raw")
-    kept = let(
+    counts = let(
         raw_tokens(raw),
         lambda t: F.struct(
             F.size(t).alias("token_count"),
@@ -39,7 +39,7 @@ def fingerprint(df: DataFrame) -> DataFrame:
             F.filter(t, lambda x: whole(x, X.ALNUM_TOKEN)).alias("alphanumeric_tokens"),
         ),
     )
-    staged = df.withColumn("_kept", kept).withColumn("_ips", F.regexp_count(raw, F.lit(X.IPV4)))
+    staged = df.withColumn("_kept", kept(counts)).withColumn("_ips", kept(F.regexp_count(raw, F.lit(X.IPV4))))
     return staged.select(
         *df.columns,
         delimiter(raw).alias("delimiter"),
@@ -65,7 +65,7 @@ def typed_tokens(raw: Column) -> Column:
 
 
 def type_tokens(df: DataFrame) -> DataFrame:
-    return df.withColumn("tokens", typed_tokens(F.col("raw")))
+    return df.withColumn("tokens", kept(typed_tokens(F.col("raw"))))
 
 
 def position_records(toks: Column) -> Column:
@@ -90,8 +90,8 @@ def position_records(toks: Column) -> Column:
 
 def map_positions(df: DataFrame) -> DataFrame:
     """Add ``provenance`` with the positional mapping of each line."""
-    staged = df.withColumn("_tokens", tokens(F.col("raw")))
-    return staged.withColumn("provenance", position_records(F.col("_tokens"))).drop("_tokens")
+    staged = df.withColumn("_tokens", kept(tokens(F.col("raw"))))
+    return staged.withColumn("provenance", kept(position_records(F.col("_tokens")))).drop("_tokens")
 
 
 def onboarding(raw: Column, records: Column) -> Column:
@@ -177,7 +177,7 @@ def discover_templates(df: DataFrame) -> DataFrame:
     All aggregates combine before the shuffle, so a layout that most lines share
     costs one row per task.
     """
-    staged = df.withColumn("signature", signature(F.col("raw")))
+    staged = df.withColumn("signature", kept(signature(F.col("raw"))))
     lead = F.get(cells(F.col("raw")), F.lit(0))
     found = staged.groupBy("signature").agg(
         F.count(F.lit(1)).alias("events"),
@@ -212,7 +212,7 @@ def apply_templates(df: DataFrame, registry: DataFrame, max_broadcast: int = 100
     """
     step = F.struct("position", "canonical_field", "confidence")
     known = registry.groupBy("signature").agg(F.sort_array(F.collect_set(step)).alias("steps"))
-    lines = df.withColumn("signature", signature(F.col("raw")))
+    lines = df.withColumn("signature", kept(signature(F.col("raw"))))
     if known.limit(max_broadcast + 1).count() <= max_broadcast:
         joined = lines.join(F.broadcast(known), "signature", "left")
     else:
@@ -247,7 +247,7 @@ def apply_templates(df: DataFrame, registry: DataFrame, max_broadcast: int = 100
 
 def position_profile(df: DataFrame) -> DataFrame:
     """Per arity and position: events by token type, and the share of the most common type."""
-    typed = df.select(typed_tokens(F.col("raw")).alias("t")).select(
+    typed = df.select(kept(typed_tokens(F.col("raw"))).alias("t")).select(
         F.size("t").cast("bigint").alias("arity"), F.posexplode("t").alias("position", "t")
     )
     counts = typed.groupBy(

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from evlog import fixed as X
 from evlog.functions.strict_json import json_kind, json_object
-from evlog.functions.text import value_for, last_wins_map, let, strip
+from evlog.functions.text import kept, last_wins_map, let, strip, value_for
 from evlog.functions.values import norm_field, norm_str, pri_severity
 from evlog.operators.detect import describe_rule, rule_number
 from evlog.operators.onboard import position_records, tokens
@@ -232,12 +232,12 @@ def classify(df: DataFrame) -> DataFrame:
 
     The object is parsed once, here, and serves both the test and the extraction.
     """
-    staged = df.withColumn("_text", strip(F.col("raw")))
-    staged = staged.withColumn("_doc", json_object(F.col("_text"), F.col("raw_sha256")))
+    staged = df.withColumn("_text", kept(strip(F.col("raw"))))
+    staged = staged.withColumn("_doc", kept(json_object(F.col("_text"), F.col("raw_sha256"))))
     kind = F.when(F.col("_doc").isNotNull(), "object").when(
         F.startswith("_text", F.lit("[")), json_kind(F.col("_text"), F.col("raw_sha256"))
     )
-    staged = staged.withColumn("_rule", rule_number(F.col("_text"), kind))
+    staged = staged.withColumn("_rule", kept(rule_number(F.col("_text"), kind)))
     staged = staged.withColumn("detection", describe_rule(F.col("_rule")))
     return staged.withColumn("format", F.col("detection")["format"]).drop("_rule")
 
@@ -253,29 +253,33 @@ def parse(df: DataFrame, formats: list[str] | None = None) -> DataFrame:
     raw, text = F.col("raw"), F.col("_text")
     staged = df.withColumn(
         "parts",
-        _by_format(
-            {
-                X.CEF: _cef_parts(raw),
-                X.LEEF: _leef_parts(raw),
-                X.SYSLOG: _syslog_parts(text),
-                X.XML: _xml_parts(raw),
-                X.UNKNOWN: tokens(raw),
-            },
-            at,
-            "array<string>",
+        kept(
+            _by_format(
+                {
+                    X.CEF: _cef_parts(raw),
+                    X.LEEF: _leef_parts(raw),
+                    X.SYSLOG: _syslog_parts(text),
+                    X.XML: _xml_parts(raw),
+                    X.UNKNOWN: tokens(raw),
+                },
+                at,
+                "array<string>",
+            )
         ),
     )
     staged = staged.withColumn(
         "mapped",
-        _by_format(
-            {
-                X.CEF: _map_pairs(_cef_pairs(), X.CEF_KEYS),
-                X.LEEF: _map_pairs(_leef_pairs(raw), X.LEEF_KEYS),
-                X.SYSLOG: _map_pairs(_syslog_pairs(), X.SYSLOG_KEYS, fold_key=True, trailing=",;"),
-                X.XML: _map_pairs(_xml_pairs(), X.XML_KEYS),
-            },
-            at,
-            _MAPPED,
+        kept(
+            _by_format(
+                {
+                    X.CEF: _map_pairs(_cef_pairs(), X.CEF_KEYS),
+                    X.LEEF: _map_pairs(_leef_pairs(raw), X.LEEF_KEYS),
+                    X.SYSLOG: _map_pairs(_syslog_pairs(), X.SYSLOG_KEYS, fold_key=True, trailing=",;"),
+                    X.XML: _map_pairs(_xml_pairs(), X.XML_KEYS),
+                },
+                at,
+                _MAPPED,
+            )
         ),
     )
     doc = F.col("_doc")
@@ -315,12 +319,12 @@ def parse(df: DataFrame, formats: list[str] | None = None) -> DataFrame:
     )
     return staged.select(
         *[c for c in df.columns if not c.startswith("_")],
-        parse_step().alias("parse"),
-        F.coalesce(
-            F.filter(records, lambda r: r["value"].isNotNull()), F.array().cast(RECORDS)
+        kept(parse_step()).alias("parse"),
+        kept(
+            F.coalesce(F.filter(records, lambda r: r["value"].isNotNull()), F.array().cast(RECORDS))
         ).alias("provenance"),
-        extra.alias("extra"),
-        head.alias("head"),
+        kept(extra).alias("extra"),
+        kept(head).alias("head"),
     )
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evlog import fixed as X
-from evlog.functions.text import quoted, whole
+from evlog.functions.text import kept, quoted, whole
 
 ISSUE = "struct<field:string,check:string,severity:string,message:string>"
 PASS, WARNING, FAIL = "PASS", "WARNING", "FAIL"
@@ -139,8 +139,8 @@ def verdict(issues: Column) -> Column:
 
 def validate(df: DataFrame) -> DataFrame:
     """Add ``validation`` to rows with a ``canonical`` event."""
-    staged = df.withColumn("_issues", issue_list(F.col("canonical")))
-    return staged.withColumn("validation", verdict(F.col("_issues"))).drop("_issues")
+    staged = df.withColumn("_issues", kept(issue_list(F.col("canonical"))))
+    return staged.withColumn("validation", kept(verdict(F.col("_issues")))).drop("_issues")
 
 
 def issues_table(df: DataFrame) -> DataFrame:
