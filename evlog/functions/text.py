@@ -10,6 +10,23 @@ from pyspark.sql import functions as F
 from evlog import fixed as X
 
 
+def _sql(value) -> str:
+    if isinstance(value, str):
+        return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    if isinstance(value, dict):
+        return "map(" + ", ".join(f"{_sql(k)}, {_sql(v)}" for k, v in value.items()) + ")"
+    if isinstance(value, tuple):
+        return "named_struct(" + ", ".join(f"'{n}', {_sql(v)}" for n, v in value) + ")"
+    if isinstance(value, list):
+        return "array(" + ", ".join(map(_sql, value)) + ")"
+    return f"{value!r}D" if isinstance(value, float) else repr(value)
+
+
+def table(value) -> Column:
+    """Constant column of a Python value: dict, list, or tuple of (name, value) for a struct."""
+    return F.expr(_sql(value))
+
+
 def strip(c: Column) -> Column:
     """Remove Unicode white space from both ends without a regular expression."""
     return F.trim(c, F.lit(X.BLANKS))

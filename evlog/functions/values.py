@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from evlog import fixed as X
-from evlog.functions.text import strip, whole
+from evlog.functions.text import let, strip, whole
 
 
 def norm_ip(c: Column) -> Column:
@@ -17,9 +17,12 @@ def norm_ip(c: Column) -> Column:
 
 def norm_port(c: Column) -> Column:
     """Integer 0..65535 as text, else null; never guessed from something else."""
-    t = strip(c)
+    return _port(strip(c))
+
+
+def _port(t: Column) -> Column:
     n = F.when(t.rlike(X.INTEGER), F.replace(t, F.lit("_"), F.lit(""))).try_cast("int")
-    return F.when(n.between(0, X.MAX_PORT), n.cast("string"))
+    return let(n, lambda v: F.when((v >= 0) & (v <= X.MAX_PORT), v.cast("string")))
 
 
 def norm_str(c: Column) -> Column:
@@ -35,6 +38,23 @@ def norm_lower(c: Column) -> Column:
     return F.lower(norm_str(c))
 
 
+def kind_of(field: str) -> str:
+    """How values of a canonical field are normalised."""
+    kinds = {"ip": X.IP_FIELDS, "port": X.PORT_FIELDS, "upper": X.UPPER_FIELDS, "lower": X.LOWER_FIELDS}
+    return next((k for k, fields in kinds.items() if field in fields), "str")
+
+
+def norm_kind(kind: Column, text: Column) -> Column:
+    """Normalise a trimmed text by the kind of its field; null kind gives null."""
+    return (
+        F.when(kind == "str", text)
+        .when(kind == "ip", F.when(whole(text, X.IPV4), text))
+        .when(kind == "port", _port(text))
+        .when(kind == "upper", F.upper(text))
+        .when(kind == "lower", F.lower(text))
+    )
+
+
 def norm_field(field: Column, value: Column) -> Column:
     """Normalise a value by the canonical field it is meant for; null field gives null."""
     return (

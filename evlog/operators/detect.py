@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from evlog import fixed as X
 from evlog.functions.strict_json import json_kind
-from evlog.functions.text import kept, strip
+from evlog.functions.text import kept, strip, table
 
 
 def is_xml_like(text: Column) -> Column:
@@ -53,18 +53,9 @@ def rule_number(text: Column, kind: Column) -> Column:
 
 def describe_rule(rule: Column) -> Column:
     """Struct(format, confidence, reason, method) of a rule number."""
-    table = F.array(
-        *[
-            F.struct(
-                F.lit(fmt).alias("format"),
-                F.lit(conf).alias("confidence"),
-                F.lit(reason).alias("reason"),
-                F.lit(X.DETECT_METHOD).alias("method"),
-            )
-            for fmt, conf, reason in X.RULES
-        ]
-    )
-    return F.get(table, rule)
+    names = ("format", "confidence", "reason", "method")
+    rules = [tuple(zip(names, (*r, X.DETECT_METHOD))) for r in X.RULES]
+    return F.get(table(rules), rule)
 
 
 def detect(df: DataFrame) -> DataFrame:

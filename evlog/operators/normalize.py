@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import cache
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -63,7 +65,12 @@ def field_confidence(records: Column) -> Column:
 
 def normalize(df: DataFrame) -> DataFrame:
     """Add ``canonical`` to parsed rows and drop what it absorbs."""
-    staged = df.withColumn("_leaf", kept(leaf_struct(F.col("provenance"))))
+    cols = _columns()
+    return df.withColumn("_leaf", cols["_leaf"]).withColumn("canonical", cols["canonical"]).drop("_leaf", "head", "extra")
+
+
+@cache
+def _columns() -> dict[str, Column]:
     leaf, head = F.col("_leaf"), F.col("head")
     value = {n: leaf[n] for n in LEAVES}
     for n in ("vendor", "product", "message"):
@@ -79,4 +86,4 @@ def normalize(df: DataFrame) -> DataFrame:
         F.col("provenance").alias("provenance"),
         field_confidence(F.col("provenance")).alias("confidence"),
     )
-    return staged.withColumn("canonical", kept(canonical)).drop("_leaf", "head", "extra")
+    return {"_leaf": kept(leaf_struct(F.col("provenance"))), "canonical": kept(canonical)}

@@ -15,13 +15,15 @@ A line that does not fit its format keeps its row and says so in ``parse``.
 
 from __future__ import annotations
 
+from functools import cache
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evlog import fixed as X
 from evlog.functions.strict_json import json_kind, json_object
-from evlog.functions.text import kept, last_wins_map, let, strip, value_for
-from evlog.functions.values import norm_field, norm_str, pri_severity
+from evlog.functions.text import kept, last_wins_map, let, strip, table, value_for
+from evlog.functions.values import kind_of, norm_kind, norm_str, pri_severity
 from evlog.operators.detect import describe_rule, rule_number
 from evlog.operators.onboard import position_records, tokens
 
@@ -90,15 +92,16 @@ def _pair(key: Column, text: Column) -> Column:
     return F.struct(key.alias("key"), text.alias("text"))
 
 
-def _cut_pair(p: Column) -> Column:
-    """key=value at the first equals sign, both trimmed."""
-    at = F.instr(p, "=")
-    return _pair(strip(F.substring(p, 1, at - 1)), strip(F.substring(p, at + 1, F.length(p))))
+def _cut_pair(p: Column, trim_key=True, trim_text=True) -> Column:
+    """key=value at the first equals sign; parts that may hold blanks are trimmed."""
+    key = F.substring_index(p, "=", 1)
+    text = F.substring(p, F.instr(p, "=") + 1, F.length(p))
+    return _pair(strip(key) if trim_key else key, strip(text) if trim_text else text)
 
 
 def _cef_pairs() -> Column:
     found = F.regexp_extract_all(F.coalesce(_part(7), F.lit("")), F.lit(X.CEF_PAIR), F.lit(0))
-    return F.transform(found, lambda p: _cut_pair(F.replace(p, F.lit("\\="), F.lit("="))))
+    return F.transform(found, lambda p: _cut_pair(F.replace(p, F.lit("\\="), F.lit("=")), trim_key=False))
 
 
 def _leef_pairs(raw: Column) -> Column:
@@ -114,13 +117,13 @@ def _leef_pairs(raw: Column) -> Column:
         .when(third | F.contains(ext, F.lit("\t")), F.split(ext, "\t"))
         .otherwise(F.split(ext, " "))
     )
-    pairs = F.transform(F.filter(fields, lambda p: F.contains(p, F.lit("="))), _cut_pair)
+    pairs = F.transform(F.filter(fields, lambda p: F.contains(p, F.lit("="))), lambda p: _cut_pair(p))
     return F.filter(pairs, lambda p: p["key"] != "")
 
 
 def _syslog_pairs() -> Column:
     found = F.regexp_extract_all(_part(4), F.lit(X.SYSLOG_PAIR), F.lit(0))
-    return F.transform(found, _cut_pair)
+    return F.transform(found, lambda p: _cut_pair(p, trim_key=False, trim_text=False))
 
 
 def _xml_pairs() -> Column:
@@ -131,24 +134,21 @@ def _xml_pairs() -> Column:
     return F.transform(F.col("parts"), cut)
 
 
-def _lookup(table: dict[str, str], key: Column) -> Column:
-    literal = F.create_map(*[F.lit(x) for kv in table.items() for x in kv])
-    return F.try_element_at(literal, key)
-
-
-def _map_pairs(pairs: Column, table: dict[str, str], fold_key=False, trailing: str = "") -> Column:
-    """Look up the field of every non-empty pair and normalise its value."""
+def _map_pairs(pairs: Column, keys: dict[str, str], fold_key=False, trailing: str = "") -> Column:
+    """Look up the field of every non-empty pair and normalise its value, which is trimmed already."""
+    known = table({k: (("field", f), ("kind", kind_of(f))) for k, f in keys.items()})
 
     def with_field(p: Column) -> Column:
         key = F.lower(p["key"]) if fold_key else p["key"]
-        return F.struct(_lookup(table, key).alias("field"), p["key"].alias("key"), p["text"].alias("text"))
+        return F.struct(F.try_element_at(known, key).alias("to"), p["key"].alias("key"), p["text"].alias("text"))
 
     def with_value(p: Column) -> Column:
         text = p["text"]
         if trailing:
-            exact = p["field"].isin(X.IP_FIELDS + X.PORT_FIELDS)
-            text = F.when(exact, F.rtrim(text, F.lit(trailing))).otherwise(text)
-        return F.struct(p["field"], p["key"], p["text"], norm_field(p["field"], text).alias("value"))
+            text = F.when(p["to"]["kind"].isin("ip", "port"), F.rtrim(text, F.lit(trailing))).otherwise(text)
+        return F.struct(
+            p["to"]["field"].alias("field"), p["key"], p["text"], norm_kind(p["to"]["kind"], text).alias("value")
+        )
 
     found = F.filter(pairs, lambda p: p["text"] != "")
     return F.transform(F.transform(found, with_field), with_value)
@@ -193,28 +193,34 @@ def _syslog_records() -> Column:
 
 
 def _json_records(doc: Column) -> Column:
-    """Per canonical field the first candidate key whose value can be used."""
-    plan = F.array(
-        *[
-            F.struct(F.lit(field).alias("field"), F.array(*[F.lit(k) for k in keys]).alias("keys"))
-            for field, keys in X.JSON_KEYS.items()
-        ]
-    )
+    """Per canonical field the first candidate key whose value can be used.
 
-    def pick(members: Column, step: Column) -> Column:
-        tried = F.transform(
-            step["keys"],
-            lambda k: record(step["field"], k, norm_field(step["field"], value_for(members["k"], members["v"], k))),
-        )
-        return F.get(F.filter(tried, lambda r: r["value"].isNotNull()), F.lit(0))
+    Only the keys that the object has are tried: they come out of the list of all
+    candidates, which is ordered by field and preference.
+    """
+    ranked = [(k, f) for f, keys in X.JSON_KEYS.items() for k in keys]
+    known = table({k: (("field", f), ("kind", kind_of(f))) for k, f in ranked})
+
+    def tried(m: Column) -> Column:
+        def one(k: Column) -> Column:
+            return let(
+                F.struct(F.element_at(known, k).alias("to"), strip(value_for(m["k"], m["v"], k)).alias("text")),
+                lambda s: record(s["to"]["field"], k, norm_kind(s["to"]["kind"], F.nullif(s["text"], F.lit("")))),
+            )
+
+        present = F.array_intersect(table([k for k, _ in ranked]), m["k"])
+        return F.filter(F.transform(present, one), lambda r: r["value"].isNotNull())
+
+    def first_per_field(records: Column) -> Column:
+        fields = records["canonical_field"]
+        return F.filter(records, lambda r, i: F.array_position(fields, r["canonical_field"]) == i + 1)
 
     members = F.struct(F.reverse(F.map_keys(doc)).alias("k"), F.reverse(F.map_values(doc)).alias("v"))
-    picked = let(members, lambda m: F.transform(plan, lambda step: pick(m, step)))
-    return F.filter(picked, lambda r: r.isNotNull())
+    return let(let(members, tried), first_per_field)
 
 
 def _json_extra(doc: Column) -> Column:
-    known = F.array(*[F.lit(k) for keys in X.JSON_KEYS.values() for k in keys])
+    known = table([k for keys in X.JSON_KEYS.values() for k in keys])
     rest = F.map_filter(doc, lambda k, v: ~F.array_contains(known, k))
     return last_wins_map(F.map_keys(rest), F.map_values(rest))
 
@@ -232,14 +238,26 @@ def classify(df: DataFrame) -> DataFrame:
 
     The object is parsed once, here, and serves both the test and the extraction.
     """
-    staged = df.withColumn("_text", kept(strip(F.col("raw"))))
-    staged = staged.withColumn("_doc", kept(json_object(F.col("_text"), F.col("raw_sha256"))))
+    cols = _detection()
+    staged = df
+    for name in ("_text", "_doc", "_rule", "detection", "format"):
+        staged = staged.withColumn(name, cols[name])
+    return staged.drop("_rule")
+
+
+@cache
+def _detection() -> dict[str, Column]:
+    text, seal = F.col("_text"), F.col("raw_sha256")
     kind = F.when(F.col("_doc").isNotNull(), "object").when(
-        F.startswith("_text", F.lit("[")), json_kind(F.col("_text"), F.col("raw_sha256"))
+        F.startswith(text, F.lit("[")), json_kind(text, seal)
     )
-    staged = staged.withColumn("_rule", kept(rule_number(F.col("_text"), kind)))
-    staged = staged.withColumn("detection", describe_rule(F.col("_rule")))
-    return staged.withColumn("format", F.col("detection")["format"]).drop("_rule")
+    return {
+        "_text": kept(strip(F.col("raw"))),
+        "_doc": kept(json_object(text, seal)),
+        "_rule": kept(rule_number(text, kind)),
+        "detection": describe_rule(F.col("_rule")),
+        "format": F.col("detection")["format"],
+    }
 
 
 def parse(df: DataFrame, formats: list[str] | None = None) -> DataFrame:
@@ -249,92 +267,71 @@ def parse(df: DataFrame, formats: list[str] | None = None) -> DataFrame:
     (vendor, product, message that carry no provenance record).  With ``formats``
     only those formats are planned; rows of others pass through unparsed.
     """
-    at = formats or [*X.KNOWN_FORMATS, X.UNKNOWN]
-    raw, text = F.col("raw"), F.col("_text")
-    staged = df.withColumn(
-        "parts",
-        kept(
-            _by_format(
-                {
-                    X.CEF: _cef_parts(raw),
-                    X.LEEF: _leef_parts(raw),
-                    X.SYSLOG: _syslog_parts(text),
-                    X.XML: _xml_parts(raw),
-                    X.UNKNOWN: tokens(raw),
-                },
-                at,
-                "array<string>",
-            )
-        ),
-    )
-    staged = staged.withColumn(
-        "mapped",
-        kept(
-            _by_format(
-                {
-                    X.CEF: _map_pairs(_cef_pairs(), X.CEF_KEYS),
-                    X.LEEF: _map_pairs(_leef_pairs(raw), X.LEEF_KEYS),
-                    X.SYSLOG: _map_pairs(_syslog_pairs(), X.SYSLOG_KEYS, fold_key=True, trailing=",;"),
-                    X.XML: _map_pairs(_xml_pairs(), X.XML_KEYS),
-                },
-                at,
-                _MAPPED,
-            )
-        ),
-    )
-    doc = F.col("_doc")
-    records = _by_format(
-        {
-            X.CEF: _cef_records(),
-            X.LEEF: _leef_records(),
-            X.SYSLOG: _syslog_records(),
-            X.XML: _pair_records(X.XML),
-            X.JSON: _json_records(doc),
-            X.UNKNOWN: position_records(F.col("parts")),
-        },
-        at,
-        RECORDS,
-    )
-    unmapped = _pair_extra(lambda p: p["field"].isNull())
-    extra = _by_format(
-        {
-            X.CEF: unmapped,
-            # a category has no canonical slot: record and value are both kept
-            X.LEEF: _pair_extra(lambda p: p["field"].isNull() | (p["field"] == "category")),
-            X.XML: _pair_extra(lambda p: p["value"].isNull()),
-            X.JSON: _json_extra(doc),
-        },
-        at,
-        "map<string,string>",
-    )
-    head = _by_format(
-        {
-            X.CEF: F.struct(norm_str(_part(1)), norm_str(_part(2)), norm_str(_part(5))),
-            X.LEEF: F.struct(norm_str(_part(1)), norm_str(_part(2)), norm_str(_part(4))),
-            X.SYSLOG: F.struct(_none("string"), _part(3), F.nullif(_part(4), F.lit(""))),
-            X.XML: F.struct(_none("string"), F.regexp_extract(text, X.XML_ROOT, 1), _none("string")),
-        },
-        at,
-        "struct<vendor:string,product:string,message:string>",
-    )
+    cols = _columns(tuple(formats or [*X.KNOWN_FORMATS, X.UNKNOWN]))
+    staged = df.withColumn("parts", cols["parts"]).withColumn("mapped", cols["mapped"])
     return staged.select(
         *[c for c in df.columns if not c.startswith("_")],
-        kept(parse_step()).alias("parse"),
-        kept(
-            F.coalesce(F.filter(records, lambda r: r["value"].isNotNull()), F.array().cast(RECORDS))
-        ).alias("provenance"),
-        kept(extra).alias("extra"),
-        kept(head).alias("head"),
+        *[cols[n].alias(n) for n in ("parse", "provenance", "extra", "head")],
     )
 
 
+@cache
+def _columns(at: tuple[str, ...]) -> dict[str, Column]:
+    """The stage columns for some formats; they name columns only and are built once."""
+    raw, text, doc = F.col("raw"), F.col("_text"), F.col("_doc")
+    parts = {
+        X.CEF: _cef_parts(raw),
+        X.LEEF: _leef_parts(raw),
+        X.SYSLOG: _syslog_parts(text),
+        X.XML: _xml_parts(raw),
+        X.UNKNOWN: tokens(raw),
+    }
+    mapped = {
+        X.CEF: _map_pairs(_cef_pairs(), X.CEF_KEYS),
+        X.LEEF: _map_pairs(_leef_pairs(raw), X.LEEF_KEYS),
+        X.SYSLOG: _map_pairs(_syslog_pairs(), X.SYSLOG_KEYS, fold_key=True, trailing=",;"),
+        X.XML: _map_pairs(_xml_pairs(), X.XML_KEYS),
+    }
+    records = {
+        X.CEF: _cef_records(),
+        X.LEEF: _leef_records(),
+        X.SYSLOG: _syslog_records(),
+        X.XML: _pair_records(X.XML),
+        X.JSON: _json_records(doc),
+        X.UNKNOWN: position_records(F.col("parts")),
+    }
+    unmapped = _pair_extra(lambda p: p["field"].isNull())
+    extra = {
+        X.CEF: unmapped,
+        # a category has no canonical slot: record and value are both kept
+        X.LEEF: _pair_extra(lambda p: p["field"].isNull() | (p["field"] == "category")),
+        X.XML: _pair_extra(lambda p: p["value"].isNull()),
+        X.JSON: _json_extra(doc),
+    }
+    head = {
+        X.CEF: F.struct(norm_str(_part(1)), norm_str(_part(2)), norm_str(_part(5))),
+        X.LEEF: F.struct(norm_str(_part(1)), norm_str(_part(2)), norm_str(_part(4))),
+        X.SYSLOG: F.struct(_none("string"), _part(3), F.nullif(_part(4), F.lit(""))),
+        X.XML: F.struct(_none("string"), F.regexp_extract(text, X.XML_ROOT, 1), _none("string")),
+    }
+    found = F.filter(_by_format(records, at, RECORDS), lambda r: r["value"].isNotNull())
+    return {
+        "parts": kept(_by_format(parts, at, "array<string>")),
+        "mapped": kept(_by_format(mapped, at, _MAPPED)),
+        "parse": kept(parse_step()),
+        "provenance": kept(F.coalesce(found, F.array().cast(RECORDS))),
+        "extra": kept(_by_format(extra, at, "map<string,string>")),
+        "head": kept(_by_format(head, at, "struct<vendor:string,product:string,message:string>")),
+    }
+
+
 def parse_step() -> Column:
     """Struct(parser, status, detail); a failure is data, never an exception."""
     fmt = F.col("format")
     bad = fmt.isin(X.CEF, X.LEEF, X.SYSLOG) & F.col("parts").isNull()
     short = (fmt == X.LEEF) & F.col("raw").rlike(X.LEEF_HEADER)
-    errors = F.create_map(*[F.lit(x) for kv in X.PARSE_ERRORS.items() for x in kv])
-    detail = F.when(bad, F.when(short, X.LEEF_INCOMPLETE).otherwise(F.try_element_at(errors, fmt))).when(
+    error = F.try_element_at(table(X.PARSE_ERRORS), fmt)
+    detail = F.when(bad, F.when(short, X.LEEF_INCOMPLETE).otherwise(error)).when(
         fmt == X.UNKNOWN, X.ONBOARD_STEP
     )
     return F.struct(

@@ -6,6 +6,8 @@ issue list of an event is one projection.
 
 from __future__ import annotations
 
+from functools import cache
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -139,8 +141,13 @@ def verdict(issues: Column) -> Column:
 
 def validate(df: DataFrame) -> DataFrame:
     """Add ``validation`` to rows with a ``canonical`` event."""
-    staged = df.withColumn("_issues", kept(issue_list(F.col("canonical"))))
-    return staged.withColumn("validation", kept(verdict(F.col("_issues")))).drop("_issues")
+    issues, result = _columns()
+    return df.withColumn("_issues", issues).withColumn("validation", result).drop("_issues")
+
+
+@cache
+def _columns() -> tuple[Column, Column]:
+    return kept(issue_list(F.col("canonical"))), kept(verdict(F.col("_issues")))
 
 
 def issues_table(df: DataFrame) -> DataFrame:
