@@ -45,7 +45,9 @@ def provenance_summary(df: DataFrame, *by: str) -> DataFrame:
     def of(method):
         return F.size(F.filter(records, lambda r: r["method"] == method)).cast("bigint")
 
-    total = F.aggregate(records, F.lit(0.0), lambda a, r: a + F.coalesce(r["confidence"], F.lit(0.0)))
+    # whole millionths add up to the same sum in any order
+    millionths = F.transform(records, lambda r: F.round(F.coalesce(r["confidence"], F.lit(0.0)) * 1e6).cast("bigint"))
+    total = F.aggregate(millionths, F.lit(0).cast("bigint"), lambda a, c: a + c).cast("decimal(20,0)")
     per_event = df.select(
         *by, F.size(records).cast("bigint").alias("_n"), total.alias("_sum"), *[of(m).alias(m) for m in METHODS]
     )
@@ -57,7 +59,7 @@ def provenance_summary(df: DataFrame, *by: str) -> DataFrame:
             *[F.sum(m).alias(m) for m in METHODS],
             F.sum("_sum").alias("_sum"),
         )
-        .withColumn("mean_confidence", F.when(F.col("records") > 0, F.round(F.col("_sum") / F.col("records"), 3)))
+        .withColumn("mean_confidence", F.round(F.try_divide(F.col("_sum") / F.lit(1_000_000), "records"), 3).cast("double"))
         .drop("_sum")
     )
 

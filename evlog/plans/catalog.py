@@ -19,7 +19,7 @@ from evlog.operators.normalize import LEAVES, merge_fields, leaf_struct, normali
 from evlog.plans import batch as B
 from evlog.plans.process import canonical_events, process, validated_events
 from evlog.session import cut
-from evlog.sources.lines import event_lines, rendered_lines
+from evlog.sources.lines import event_lines, read_table, rendered_lines
 
 
 
@@ -59,7 +59,7 @@ def _unknown(df: DataFrame) -> DataFrame:
 
 
 def _document_lines(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = read_table(spark, sf_dir, "documents", "doc_id", "text")
     return docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "raw")).select(
         "doc_id", F.col("line_no").cast("bigint").alias("line_no"), "raw"
     )
@@ -77,7 +77,7 @@ def detect_rules(df):
 
 
 def page_formats(spark, sf_dir):
-    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    pages = read_table(spark, sf_dir, "pages", "page_id", "html")
     return detect(seal(pages.select("page_id", F.col("html").alias("raw")))).select("page_id", "format", "confidence")
 
 
@@ -96,7 +96,7 @@ def quarantine(spark, sf_dir):
 
 def props_json(spark, sf_dir):
     """The JSON column of ``events`` as raw events."""
-    raw = spark.read.parquet(f"{sf_dir}/events.parquet").select(
+    raw = read_table(spark, sf_dir, "events", "event_id", "props").select(
         F.lit("props").alias("batch_id"), F.col("event_id").alias("pos"), F.col("props").alias("raw")
     )
     done = P.parse(P.classify(seal(raw)))

@@ -61,8 +61,23 @@ def lines_sql(events: str = "events") -> str:
     )
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Use all cores when the input has fewer splits than there are cores.
+
+    A small table in one file is one split.  Big tables have more splits than the
+    cluster has cores and are left as they are, so they are never shuffled here.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+
+
+def read_table(spark: SparkSession, sf_dir: str, name: str, key: str, *columns: str) -> DataFrame:
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet").select(key, *columns), key)
+
+
 def rendered_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    spark.read.parquet(f"{sf_dir}/events.parquet").createOrReplaceTempView("evlog_events")
+    events = read_table(spark, sf_dir, "events", "event_id", "ts", "user_id", "event_type", "props")
+    events.createOrReplaceTempView("evlog_events")
     return spark.sql(lines_sql("evlog_events"))
 
 
