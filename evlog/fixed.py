@@ -83,6 +83,8 @@ UPPER_FIELDS = ["network_protocol"]
 LOWER_FIELDS = ["action", "severity"]
 
 IPV4 = rf"{D}{{1,3}}(?:\.{D}{{1,3}}){{3}}"
+# for texts of the shape above, whose parts have three digits at most
+OCTET_OVER_255 = r"(?:\A|\.)(?:25[6-9]|2[6-9][0-9]|[3-9][0-9][0-9])(?:\.|\z)"
 INTEGER = rf"\A[+-]?{D}+(?:_{D}+)*\z"
 MAX_PORT = 65535
 

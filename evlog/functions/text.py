@@ -71,7 +71,7 @@ def last_wins_map(keys: Column, values: Column) -> Column:
 
     def build(kv: Column) -> Column:
         rk, rv = F.reverse(kv["k"]), F.reverse(kv["v"])
-        uniq = F.array_sort(F.array_distinct(kv["k"]))
+        uniq = F.sort_array(F.array_distinct(kv["k"]))
         return F.map_from_arrays(uniq, F.transform(uniq, lambda k: value_for(rk, rv, k)))
 
     return F.when(F.size(keys) > 0, let(F.struct(keys.alias("k"), values.alias("v")), build))

@@ -36,15 +36,16 @@ TOP = [c for c in LEAVES if c not in SOURCE + NETWORK]
 def leaf_struct(records: Column) -> Column:
     """Last value of every canonical leaf in a record array."""
 
-    def build(r: Column) -> Column:
-        def leaf(name):
-            found = F.coalesce(*[value_for(r["f"], r["v"], F.lit(n)) for n in LEAVES[name]])
-            return found.try_cast("int") if name.endswith("_port") else found
+    rev = F.reverse(records)
+    return let(
+        F.struct(rev["canonical_field"].alias("f"), rev["value"].alias("v")),
+        lambda r: F.struct(*[_leaf(r["f"], r["v"], name).alias(name) for name in LEAVES]),
+    )
 
-        return F.struct(*[leaf(name).alias(name) for name in LEAVES])
 
-    rev = F.reverse(records)
-    return let(F.struct(rev["canonical_field"].alias("f"), rev["value"].alias("v")), build)
+def _leaf(names: Column, values: Column, name: str) -> Column:
+    found = F.coalesce(*[value_for(names, values, F.lit(n)) for n in LEAVES[name]])
+    return found.try_cast("int") if name.endswith("_port") else found
 
 
 def merge_fields(parsed: Column, onboarded: Column) -> Column:
@@ -56,7 +57,7 @@ def field_confidence(records: Column) -> Column:
     """Map canonical field -> confidence of its first record, sorted by field."""
 
     def build(r: Column) -> Column:
-        uniq = F.array_sort(F.array_distinct(r["canonical_field"]))
+        uniq = F.sort_array(F.array_distinct(r["canonical_field"]))
         first = F.transform(uniq, lambda k: value_for(r["canonical_field"], r["confidence"], k))
         return F.map_from_arrays(uniq, first)
 
@@ -66,15 +67,17 @@ def field_confidence(records: Column) -> Column:
 def normalize(df: DataFrame) -> DataFrame:
     """Add ``canonical`` to parsed rows and drop what it absorbs."""
     cols = _columns()
-    return df.withColumn("_leaf", cols["_leaf"]).withColumn("canonical", cols["canonical"]).drop("_leaf", "head", "extra")
+    staged = df.select("*", cols["_names"].alias("_names"), cols["_values"].alias("_values"))
+    return staged.withColumn("canonical", cols["canonical"]).drop("_names", "_values", "head", "extra")
 
 
 @cache
 def _columns() -> dict[str, Column]:
-    leaf, head = F.col("_leaf"), F.col("head")
-    value = {n: leaf[n] for n in LEAVES}
+    # searched as plain columns, outside of any lambda, so the search is compiled
+    head = F.col("head")
+    value = {n: _leaf(F.col("_names"), F.col("_values"), n) for n in LEAVES}
     for n in ("vendor", "product", "message"):
-        value[n] = F.coalesce(leaf[n], head[n])
+        value[n] = F.coalesce(value[n], head[n])
     canonical = F.struct(
         event_id().alias("event_id"),
         value["timestamp"].alias("timestamp"),
@@ -86,4 +89,8 @@ def _columns() -> dict[str, Column]:
         F.col("provenance").alias("provenance"),
         field_confidence(F.col("provenance")).alias("confidence"),
     )
-    return {"_leaf": kept(leaf_struct(F.col("provenance"))), "canonical": kept(canonical)}
+    return {
+        "_names": kept(F.reverse("provenance.canonical_field")),
+        "_values": kept(F.reverse("provenance.value")),
+        "canonical": kept(canonical),
+    }

@@ -54,11 +54,15 @@ def _none(kind: str) -> Column:
 
 
 def _by_format(branches: dict[str, Column], formats, kind: str) -> Column:
-    """CASE over the format with the branches of the formats at hand."""
+    """CASE over the format with the branches of the formats at hand.
+
+    All branches have the type ``kind`` already; casting arrays of structs would
+    rebuild every element.
+    """
     out = F
     for fmt in formats:
         if fmt in branches:
-            out = out.when(F.col("format") == fmt, branches[fmt].cast(kind))
+            out = out.when(F.col("format") == fmt, branches[fmt])
     return _none(kind) if out is F else out.otherwise(_none(kind))
 
 
@@ -147,7 +151,7 @@ def _map_pairs(pairs: Column, keys: dict[str, str], fold_key=False, trailing: st
         if trailing:
             text = F.when(p["to"]["kind"].isin("ip", "port"), F.rtrim(text, F.lit(trailing))).otherwise(text)
         return F.struct(
-            p["to"]["field"].alias("field"), p["key"], p["text"], norm_kind(p["to"]["kind"], text).alias("value")
+            p["to"]["field"].alias("field"), p["key"].alias("key"), p["text"].alias("text"), norm_kind(p["to"]["kind"], text).alias("value")
         )
 
     found = F.filter(pairs, lambda p: p["text"] != "")
@@ -230,6 +234,10 @@ def _pair_extra(keep) -> Column:
     return last_wins_map(rest["key"], rest["text"])
 
 
+def _head(vendor: Column, product: Column, message: Column) -> Column:
+    return F.struct(vendor.alias("vendor"), product.alias("product"), message.alias("message"))
+
+
 # --- the operator ------------------------------------------------------------
 
 
@@ -309,10 +317,10 @@ def _columns(at: tuple[str, ...]) -> dict[str, Column]:
         X.JSON: _json_extra(doc),
     }
     head = {
-        X.CEF: F.struct(norm_str(_part(1)), norm_str(_part(2)), norm_str(_part(5))),
-        X.LEEF: F.struct(norm_str(_part(1)), norm_str(_part(2)), norm_str(_part(4))),
-        X.SYSLOG: F.struct(_none("string"), _part(3), F.nullif(_part(4), F.lit(""))),
-        X.XML: F.struct(_none("string"), F.regexp_extract(text, X.XML_ROOT, 1), _none("string")),
+        X.CEF: _head(norm_str(_part(1)), norm_str(_part(2)), norm_str(_part(5))),
+        X.LEEF: _head(norm_str(_part(1)), norm_str(_part(2)), norm_str(_part(4))),
+        X.SYSLOG: _head(_none("string"), _part(3), F.nullif(_part(4), F.lit(""))),
+        X.XML: _head(_none("string"), F.regexp_extract(text, X.XML_ROOT, 1), _none("string")),
     }
     found = F.filter(_by_format(records, at, RECORDS), lambda r: r["value"].isNotNull())
     return {

@@ -29,12 +29,11 @@ def _issue(field: str, check: str, severity: str, *message) -> Column:
 
 
 def check_ip(field: str, ip: Column) -> Column:
-    octets = F.split(ip, r"\.")
     return (
         F.when(ip.isNull(), _issue(field, "ip_present", WARNING, "not derivable from raw event"))
         .when(~whole(ip, X.IPV4), _issue(field, "ip_format", FAIL, "malformed IPv4: ", quoted(ip)))
         .when(
-            F.exists(octets, lambda o: o.try_cast("int") > 255),
+            ip.rlike(X.OCTET_OVER_255),
             _issue(field, "ip_octets", FAIL, "octet > 255 in ", quoted(ip)),
         )
         .otherwise(_issue(field, "ip_format", PASS, "valid IPv4 ", ip))
@@ -120,14 +119,16 @@ def issue_list(event: Column) -> Column:
         check_coverage(event),
         check_header(event),
     ]
-    return F.array_compact(F.array(*[c.cast(ISSUE) for c in checks]))
+    return F.array_compact(F.array(*checks))
 
 
 def verdict(issues: Column) -> Column:
     """Struct(result, issues, checks_run, failed, warnings)."""
 
+    severities = issues["severity"]
+
     def count(severity):
-        return F.size(F.filter(issues, lambda i: i["severity"] == severity))
+        return F.size(severities) - F.size(F.array_remove(severities, severity))
 
     failed, warned = count(FAIL), count(WARNING)
     return F.struct(

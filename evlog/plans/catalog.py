@@ -154,7 +154,8 @@ def document_templates(spark, sf_dir):
 
 def apply_templates(df):
     unknown = _unknown(df)
-    registry = U.template_rows(U.discover_templates(unknown).filter(F.startswith("signature", F.lit("|"))))
+    found = U.discover_templates(unknown).filter(F.startswith("signature", F.lit("|")))
+    registry = cut(U.template_rows(found))  # a registry is a stored table
     return _records(U.apply_templates(unknown, registry))
 
 

@@ -57,6 +57,21 @@ def test_batch(raw_table):
     assert (row.processed, row.cef, row.unknown, row.leaf_count, row.verified) == (6, 1, 1, 6, True)
 
 
+def test_narrow_stages_run_on_a_stream(spark, raw_table, tmp_path):
+    source = tmp_path / "in"
+    source.mkdir()
+    lines = [x for x in LINES if x]
+    (source / "a.log").write_text("\n".join(lines))
+    stream = spark.readStream.option("lineSep", "\n").text(str(source)).select(
+        F.lit("s").alias("batch_id"), F.lit(0).cast("bigint").alias("pos"), F.col("value").alias("raw")
+    )
+    query = process(stream).writeStream.format("memory").queryName("narrow").trigger(availableNow=True).start()
+    query.awaitTermination()
+    got = spark.table("narrow").select("raw_sha256", "format", "validation.result").collect()
+    batch = process(raw_table(lines)).select("raw_sha256", "format", "validation.result").collect()
+    assert sorted(got) == sorted(batch)
+
+
 def test_stream_equals_batch(spark, raw_table, tmp_path):
     source, out = tmp_path / "in", str(tmp_path / "out")
     source.mkdir()
