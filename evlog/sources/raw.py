@@ -5,13 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from evlog.session import cut
 
-def read_raw(spark: SparkSession, path, unit: str = "line") -> DataFrame:
+
+def read_raw(spark: SparkSession, path, unit: str = "line", max_broadcast: int = 1_000_000) -> DataFrame:
     """(batch_id, pos, raw): one event per line, or each whole file as one event.
 
     ``batch_id`` is the file.  Line positions need no sort: within a file block
     the reader's row ids are consecutive, so a line's position is its distance
     from the first row of the block plus the number of lines in earlier blocks.
+
+    One pass counts the lines per block and stores the counts, a row for every
+    128 MB or so.  They are broadcast if that many rows fit, and then the lines
+    themselves are never shuffled.  Should the reader cut or pack the files
+    differently in the second pass, some row finds no block or lies outside of
+    its ids, and the job fails.
     """
     if unit == "file":
         return spark.read.text(path, wholetext=True).select(
@@ -26,11 +34,14 @@ def read_raw(spark: SparkSession, path, unit: str = "line") -> DataFrame:
         F.col("value").alias("raw"),
     )
     earlier = Window.partitionBy("batch_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    blocks = (
-        lines.groupBy("batch_id", "block")
-        .agg(F.min("seq").alias("first"), F.count(F.lit(1)).alias("n"))
-        .select("batch_id", "block", "first", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
+    counted = lines.groupBy("batch_id", "block").agg(
+        F.min("seq").alias("first"), F.max("seq").alias("last"), F.count(F.lit(1)).alias("n")
     )
-    return lines.join(blocks, ["batch_id", "block"]).select(
-        "batch_id", (F.col("before") + F.col("seq") - F.col("first")).alias("pos"), "raw"
+    blocks = cut(counted.withColumn("before", F.coalesce(F.sum("n").over(earlier), F.lit(0))).drop("n"))
+    if blocks.count() <= max_broadcast:
+        blocks = F.broadcast(blocks)
+    same = F.coalesce(F.col("seq").between(F.col("first"), F.col("last")), F.lit(False))
+    pos = F.when(same, F.col("before") + F.col("seq") - F.col("first")).otherwise(
+        F.raise_error(F.lit("the files were split differently when they were read again")).cast("bigint")
     )
+    return lines.join(blocks, ["batch_id", "block"], "left").select("batch_id", pos.alias("pos"), "raw")

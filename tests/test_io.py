@@ -1,5 +1,6 @@
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from evlog.operators.merkle import merkle_root
@@ -14,13 +15,14 @@ from lines import CEF, JSON, LEEF, SYSLOG, UNKNOWN, XML
 LINES = [UNKNOWN, CEF, "", LEEF, SYSLOG, JSON, XML + "\r"]
 
 
-def test_read_lines_in_file_order(spark, tmp_path):
+@pytest.mark.parametrize("limit", [1_000_000, 0])
+def test_read_lines_in_file_order(spark, tmp_path, limit):
     for n in ("one", "two"):
         (tmp_path / f"{n}.log").write_bytes("\n".join([n, *LINES * 400]).encode())
     before = spark.conf.get("spark.sql.files.maxPartitionBytes")
     spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
     try:
-        rows = read_raw(spark, str(tmp_path)).collect()
+        rows = read_raw(spark, str(tmp_path), max_broadcast=limit).collect()
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
     for n in ("one", "two"):
