@@ -85,7 +85,12 @@ LOWER_FIELDS = ["action", "severity"]
 IPV4 = rf"{D}{{1,3}}(?:\.{D}{{1,3}}){{3}}"
 # for texts of the shape above, whose parts have three digits at most
 OCTET_OVER_255 = r"(?:\A|\.)(?:25[6-9]|2[6-9][0-9]|[3-9][0-9][0-9])(?:\.|\z)"
-INTEGER = rf"\A[+-]?{D}+(?:_{D}+)*\z"
+# digits with single underscores between them; repeated groups would recurse on long texts, so doubled and
+# trailing underscores are a second pattern
+INTEGER = rf"\A[+-]?{D}[_\p{{Nd}}]*+\z"
+NOT_INTEGER = r"__|_\z"
+# digits beyond which a text is not read as a number
+MAX_DIGITS = 4300
 MAX_PORT = 65535
 
 # --- key tables --------------------------------------------------------------
@@ -160,6 +165,15 @@ LEEF_INCOMPLETE = "LEEF header incomplete"
 SOURCE_PREFIX = {
     CEF: "CEF extension:", LEEF: "LEEF extension:", SYSLOG: "syslog message:", XML: "XML:<",
 }
+CEF_SIGNATURE_SOURCE = "CEF header:Signature ID"
+CEF_SEVERITY_SOURCE = "CEF header:severity"
+LEEF_EVENT_SOURCE = "LEEF header:EventID"
+SYSLOG_HOST_SOURCE = "syslog header:hostname"
+SYSLOG_TIME_SOURCE = "syslog header:timestamp"
+SYSLOG_PRI_SOURCE = ("syslog PRI ", " (facility*8+severity)")  # around the PRI number
+TOKEN_SOURCE = ("token[", "]")  # around the position
+
+BLANK_REASON = "raw_event must be a non-empty string"
 
 # --- unknown lines -----------------------------------------------------------
 
@@ -174,7 +188,7 @@ TOKEN_TYPES = [  # type -> pattern of the whole token, first match wins
     ("session_id", rf"(?iu)(?:S|SES|SESSION)[-_]?{D}+"),
 ]
 IDENTIFIER = "identifier"
-LEADING_NAME = rf"[A-Za-z](?:{W}|-)*"
+LEADING_NAME = r"[A-Za-z][-A-Za-z0-9_\p{L}\p{N}]*+"
 ALPHA_TOKEN = r"\p{L}+"
 ALNUM_TOKEN = rf"[A-Za-z]+{D}+"
 ANY_PORT = rf"{NOT_AFTER_WORD}{D}{{1,5}}{NOT_BEFORE_WORD}"
@@ -200,6 +214,21 @@ ONBOARD_DETAIL = (
     "before production use."
 )
 
+# texts of the two stages, around the numbers of tokens and addresses
+FINGERPRINT_STAGE = ("FINGERPRINT", "pipe-delimited structure with ", " tokens; ", " IPv4 address(es) present")
+STRUCTURE_STAGE = ("STRUCTURE DISCOVERY", "delimiter='|', ", " tokens typed")
+
+# --- provenance --------------------------------------------------------------
+
+# methods that reports name in columns of their own; any other is counted as well
+METHODS = ["extracted", "heuristic", "derived"]
+NO_METHOD = "unknown"
+
+# --- integrity ---------------------------------------------------------------
+
+DIGEST_LENGTH = 64
+DIGEST_REASON = "{columns} must be a 64-char sha256 hex"
+
 # --- validation --------------------------------------------------------------
 
 PROTOCOLS = ["TCP", "UDP", "ICMP", "GRE", "SCTP", "ESP", "AH", "TLS", "HTTP", "HTTPS"]
@@ -209,3 +238,22 @@ ACTIONS = [
 ]
 CHECKS_RUN = 9
 FAIL_CHECKS = ["ip_format", "ip_octets", "port_range", "structure"]
+ISSUE_TEXTS = {
+    "value_absent": "not derivable from raw event",
+    "ip_malformed": "malformed IPv4: ",
+    "ip_octets": "octet > 255 in ",
+    "ip_valid": "valid IPv4 ",
+    "port_invalid": "invalid port: ",
+    "port_valid": "valid port ",
+    "word_absent": "not derivable",
+    "protocol_unusual": "unusual protocol value ",
+    "protocol_known": "recognized protocol ",
+    "action_unusual": "unrecognized action ",
+    "action_known": "recognized action ",
+    "verbatim": " (kept verbatim)",
+    "no_records": "no provenance records — nothing was derivable",
+    "records": " provenance records present",
+    "no_fields": "no canonical fields derived",
+    "header_whole": " header fields present",
+    "header_incomplete": " header incomplete",
+}

@@ -21,7 +21,9 @@ def norm_port(c: Column) -> Column:
 
 
 def _port(t: Column) -> Column:
-    n = F.when(t.rlike(X.INTEGER), F.replace(t, F.lit("_"), F.lit(""))).try_cast("int")
+    number = t.rlike(X.INTEGER) & ~t.rlike(X.NOT_INTEGER)
+    n = F.when(number, F.replace(t, F.lit("_"), F.lit("")))
+    n = F.when(F.length(n) <= X.MAX_DIGITS + F.startswith(n, F.lit("+")).cast("int") + F.startswith(n, F.lit("-")).cast("int"), n).try_cast("int")
     return let(n, lambda v: F.when((v >= 0) & (v <= X.MAX_PORT), v.cast("string")))
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from evlog.fixed import DIGEST_LENGTH, DIGEST_REASON
+from evlog.functions.text import strip
 from evlog.operators.normalize import NETWORK, SOURCE
 
 ALGORITHM = "sha256"
@@ -63,7 +65,7 @@ def verify_hashes(sealed: DataFrame, manifest: DataFrame) -> DataFrame:
     """
     got = sealed.select("batch_id", "pos", F.col("raw_sha256").alias("computed_sha256"))
     want = manifest.select(
-        "batch_id", "pos", F.lower(F.trim("expected_sha256")).alias("expected_sha256"), F.lit(True).alias("_listed")
+        "batch_id", "pos", F.lower(strip(F.col("expected_sha256"))).alias("expected_sha256"), F.lit(True).alias("_listed")
     )
     both = got.join(want, ["batch_id", "pos"], "full_outer")
     status = (
@@ -82,7 +84,7 @@ def valid_digest(df: DataFrame, *columns: str) -> tuple[DataFrame, DataFrame]:
     """(usable, quarantined): digests must be texts of 64 characters."""
     ok = F.lit(True)
     for c in columns:
-        ok = ok & F.coalesce(F.length(c) == 64, F.lit(False))
+        ok = ok & F.coalesce(F.length(c) == DIGEST_LENGTH, F.lit(False))
     return df.filter(ok), df.filter(~ok).withColumn(
-        "reason", F.lit(f"{', '.join(columns)} must be a 64-char sha256 hex")
+        "reason", F.lit(DIGEST_REASON.format(columns=", ".join(columns)))
     )

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from evlog import fixed as X
 from evlog.functions.text import kept, let, strip, whole
-from evlog.functions.values import norm_field
+from evlog.functions.values import norm_field, norm_str
 
 _TYPE_PATTERN = dict(X.TOKEN_TYPES)
 
@@ -79,7 +79,7 @@ def position_records(toks: Column) -> Column:
             value = norm_field(F.lit(field), t)
         return F.struct(
             F.lit(field).alias("canonical_field"),
-            F.lit(f"token[{at}]").alias("source_field"),
+            F.lit(f"{at}".join(X.TOKEN_SOURCE)).alias("source_field"),
             F.when(whole(t, shape), value).alias("value"),
             F.lit("heuristic").alias("method"),
             F.lit(float(score)).alias("confidence"),
@@ -104,14 +104,8 @@ def onboarding(raw: Column, records: Column) -> Column:
 
     return F.struct(
         F.array(
-            stage(
-                "FINGERPRINT",
-                F.concat(
-                    F.lit("pipe-delimited structure with "), count, F.lit(" tokens; "),
-                    ips, F.lit(" IPv4 address(es) present"),
-                ),
-            ),
-            stage("STRUCTURE DISCOVERY", F.concat(F.lit("delimiter='|', "), count, F.lit(" tokens typed"))),
+            stage(X.FINGERPRINT_STAGE[0], F.concat(F.lit(X.FINGERPRINT_STAGE[1]), count, F.lit(X.FINGERPRINT_STAGE[2]), ips, F.lit(X.FINGERPRINT_STAGE[3]))),
+            stage(X.STRUCTURE_STAGE[0], F.concat(F.lit(X.STRUCTURE_STAGE[1]), count, F.lit(X.STRUCTURE_STAGE[2]))),
         ).alias("stages"),
         typed_tokens(raw).alias("tokens"),
         (F.size(records) > 0).alias("understood"),
@@ -193,53 +187,86 @@ def discover_templates(df: DataFrame) -> DataFrame:
     )
 
 
+# how a registered value is spelled: as the mapping by position spells it, by the normaliser of its field, or as it is
+POSITIONAL, CANONICAL, VERBATIM = "positional", "canonical", "verbatim"
+
+
 def template_rows(templates: DataFrame) -> DataFrame:
-    """Registry rows (signature, position, canonical_field, confidence) from discovered layouts."""
+    """Registry rows (signature, position, canonical_field, normaliser, confidence) from discovered layouts.
+
+    They propose what the mapping by position does, so registering a layout changes no value: the leading name
+    is vendor and product, and values are spelled alike.
+    """
+    field = F.col("m.canonical_field")
+    both = F.when(field == "source.vendor", F.array(field, F.lit("source.product"))).otherwise(F.array(field))
     return templates.select("signature", F.explode("mapping").alias("m")).select(
         "signature",
         F.col("m.position").alias("position"),
-        F.col("m.canonical_field").alias("canonical_field"),
+        F.explode(both).alias("canonical_field"),
+        F.lit(POSITIONAL).alias("normaliser"),
         F.lit(0.9).alias("confidence"),
     )
 
 
-def apply_templates(df: DataFrame, registry: DataFrame, max_broadcast: int = 100_000) -> DataFrame:
-    """Map lines by the registered layout of their signature, else by position.
+_STEPS = "array<struct<position:int,canonical_field:string,normaliser:string,confidence:double>>"
+_UPPER = [f for f, _, kind, _ in X.POSITIONS if kind in ("protocol", "action", "policy_id")]
 
-    The registry is one row per signature after grouping.  It is broadcast when a
-    bounded count shows that it is small; otherwise the lines are salted, because
-    one layout may hold a large part of them, and the registry is repeated per salt.
-    """
-    step = F.struct("position", "canonical_field", "confidence")
-    known = registry.groupBy("signature").agg(F.sort_array(F.collect_set(step)).alias("steps"))
-    lines = df.withColumn("signature", kept(signature(F.col("raw"))))
-    if known.limit(max_broadcast + 1).count() <= max_broadcast:
-        joined = lines.join(F.broadcast(known), "signature", "left")
-    else:
-        salts = 64
-        salted = lines.withColumn("_salt", F.pmod(F.xxhash64("raw"), F.lit(salts)))
-        spread = known.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint"))))
-        joined = salted.join(spread, ["signature", "_salt"], "left").drop("_salt")
-
-    def by_step(toks: Column) -> Column:
-        made = F.transform(
-            F.col("steps"),
-            lambda s: F.struct(
-                s["canonical_field"].alias("canonical_field"),
-                F.concat(F.lit("token["), s["position"].cast("string"), F.lit("]")).alias("source_field"),
-                norm_field(s["canonical_field"], F.get(toks, s["position"])).alias("value"),
-                F.lit("template").alias("method"),
-                s["confidence"].cast("double").alias("confidence"),
-            ),
-        )
-        return F.filter(made, lambda r: r["value"].isNotNull())
 
+def template_records(toks: Column, steps: Column) -> Column:
+    """Records of a line's cells by the registered steps of its layout."""
+
+    def value(s: Column) -> Column:
+        text, field, how = F.get(toks, s["position"]), s["canonical_field"], s["normaliser"]
+        positional = F.when(field.isin(_UPPER), F.upper(norm_str(text))).when(field.isin(X.IP_FIELDS + X.PORT_FIELDS), norm_field(field, text)).otherwise(norm_str(text))
+        return F.when(how == VERBATIM, norm_str(text)).when(how == CANONICAL, norm_field(field, text)).otherwise(positional)
+
+    made = F.transform(
+        steps,
+        lambda s: F.struct(
+            s["canonical_field"].alias("canonical_field"),
+            F.concat(F.lit(X.TOKEN_SOURCE[0]), s["position"].cast("string"), F.lit(X.TOKEN_SOURCE[1])).alias("source_field"),
+            value(s).alias("value"),
+            F.lit("template").alias("method"),
+            s["confidence"].cast("double").alias("confidence"),
+        ),
+    )
+    return F.filter(made, lambda r: r["value"].isNotNull())
+
+
+def known_layouts(registry: DataFrame) -> DataFrame:
+    """Registry with one row per signature: signature, steps.  Without a normaliser, that of the field is taken."""
+    if "normaliser" not in registry.columns:
+        registry = registry.withColumn("normaliser", F.lit(CANONICAL))
+    step = F.struct(F.col("position").cast("int").alias("position"), "canonical_field", "normaliser", F.col("confidence").cast("double").alias("confidence"))
+    return registry.groupBy("signature").agg(F.sort_array(F.collect_set(step)).cast(_STEPS).alias("steps"))
+
+
+def with_layouts(df: DataFrame, registry: DataFrame, when: Column | None = None) -> DataFrame:
+    """Add ``signature`` and ``steps`` (null where the line's layout is not registered, or ``when`` doesn't hold).
+
+    The registry has no broadcast hint: Spark broadcasts it only if its measured size is below the session's limit.  Otherwise
+    lines are shuffled by signature and salt, because one layout may hold most of them, and the registry is repeated per salt.
+    """
+    sig = signature(F.col("raw"))
+    lines = df.withColumn("signature", kept(sig if when is None else F.when(when, sig)))
+    salts = 16
+    dealt = F.xxhash64("raw", *[c for c in ("batch_id", "pos") if c in df.columns])
+    # lines without a signature meet nothing and are dealt out by their whole hash
+    salt = F.when(F.col("signature").isNull(), dealt).otherwise(F.pmod(dealt, F.lit(salts)))
+    salted = lines.withColumn("_salt", kept(salt))
+    spread = known_layouts(registry).withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint"))))
+    return salted.join(spread, ["signature", "_salt"], "left").select(*df.columns, "signature", "steps")
+
+
+def apply_templates(df: DataFrame, registry: DataFrame) -> DataFrame:
+    """Map lines by the registered layout of their signature, else by position."""
+    joined = with_layouts(df, registry)
     raw = F.col("raw")
     return joined.select(
         *df.columns,
         "signature",
         F.col("steps").isNotNull().alias("registered"),
-        F.when(F.col("steps").isNotNull(), let(cells(raw), by_step))
+        F.when(F.col("steps").isNotNull(), let(cells(raw), lambda c: template_records(c, F.col("steps"))))
         .otherwise(let(tokens(raw), position_records))
         .alias("provenance"),
     )

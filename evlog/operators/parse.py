@@ -174,23 +174,23 @@ def _pair_records(fmt: str) -> Column:
 
 def _cef_records() -> Column:
     head = F.array(
-        record("signature_id", "CEF header:Signature ID", norm_str(_part(4))),
-        record("severity", "CEF header:severity", F.lower(norm_str(_part(6)))),
+        record("signature_id", X.CEF_SIGNATURE_SOURCE, norm_str(_part(4))),
+        record("severity", X.CEF_SEVERITY_SOURCE, F.lower(norm_str(_part(6)))),
     )
     return F.concat(head, _pair_records(X.CEF))
 
 
 def _leef_records() -> Column:
-    tail = F.array(record("signature_id", "LEEF header:EventID", norm_str(_part(4))))
+    tail = F.array(record("signature_id", X.LEEF_EVENT_SOURCE, norm_str(_part(4))))
     return F.concat(_pair_records(X.LEEF), tail)
 
 
 def _syslog_records() -> Column:
     pri = F.nullif(_part(0), F.lit(""))
-    source = F.concat(F.lit("syslog PRI "), pri, F.lit(" (facility*8+severity)"))
+    source = F.concat(F.lit(X.SYSLOG_PRI_SOURCE[0]), pri, F.lit(X.SYSLOG_PRI_SOURCE[1]))
     tail = F.array(
-        record("host", "syslog header:hostname", _part(2)),
-        record("timestamp", "syslog header:timestamp", _part(1), confidence=0.9),
+        record("host", X.SYSLOG_HOST_SOURCE, _part(2)),
+        record("timestamp", X.SYSLOG_TIME_SOURCE, _part(1), confidence=0.9),
         record("severity", source, pri_severity(pri), method="derived", confidence=0.95),
     )
     return F.concat(_pair_records(X.SYSLOG), tail)

@@ -5,10 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from evlog.fixed import METHODS, NO_METHOD
 from evlog.operators.normalize import LEAVES, NETWORK, SOURCE
 
-METHODS = ["extracted", "heuristic", "derived"]
-
 
 def provenance_table(df: DataFrame) -> DataFrame:
     """One row per record."""
@@ -38,26 +37,40 @@ def event_summary(records: Column) -> Column:
 def provenance_summary(df: DataFrame, *by: str) -> DataFrame:
     """Records, records per method and mean confidence per group; events without any count too.
 
-    Each event is reduced to a few numbers before the shuffle, so nothing is exploded.
+    ``methods`` counts whatever methods occur; the named ones and ``other`` are columns too and add up to the records.
+    Each event is reduced to a few numbers per method before the shuffle.
     """
     records = F.col("provenance")
-
-    def of(method):
-        return F.size(F.filter(records, lambda r: r["method"] == method)).cast("bigint")
-
+    used = F.transform(records, lambda r: F.coalesce(r["method"], F.lit(NO_METHOD)))
+    counts = F.transform(
+        F.array_distinct(used),
+        lambda m: F.struct(m.alias("method"), F.size(F.filter(used, lambda u: u == m)).cast("bigint").alias("n")),
+    )
     # whole millionths add up to the same sum in any order
     millionths = F.transform(records, lambda r: F.round(F.coalesce(r["confidence"], F.lit(0.0)) * 1e6).cast("bigint"))
-    total = F.aggregate(millionths, F.lit(0).cast("bigint"), lambda a, c: a + c).cast("decimal(20,0)")
-    per_event = df.select(
-        *by, F.size(records).cast("bigint").alias("_n"), total.alias("_sum"), *[of(m).alias(m) for m in METHODS]
+    total = F.aggregate(millionths, F.lit(0).cast("bigint"), lambda a, c: a + c)
+    per_event = df.select(*by, total.alias("_sum"), F.posexplode_outer(counts).alias("_at", "_m"))
+    first = F.coalesce(F.col("_at"), F.lit(0)) == 0  # what belongs to the event, not to a method, is counted once
+    per_method = per_event.groupBy(*by, F.col("_m.method").alias("_method")).agg(
+        F.coalesce(F.sum("_m.n"), F.lit(0)).alias("_n"),
+        F.count_if(first).alias("_events"),
+        F.sum(F.when(first, F.col("_sum")).cast("decimal(20,0)")).alias("_sum"),
     )
+
+    def of(method):
+        return F.coalesce(F.sum(F.when(F.col("_method") == method, F.col("_n"))), F.lit(0))
+
+    entry = F.when(F.col("_method").isNotNull(), F.struct("_method", "_n"))
+    other = ~F.coalesce(F.col("_method").isin(METHODS), F.lit(True))
     return (
-        per_event.groupBy(*by)
+        per_method.groupBy(*by)
         .agg(
-            F.count(F.lit(1)).alias("events"),
+            F.sum("_events").alias("events"),
             F.sum("_n").alias("records"),
-            *[F.sum(m).alias(m) for m in METHODS],
-            F.sum("_sum").alias("_sum"),
+            *[of(m).alias(m) for m in METHODS],
+            F.coalesce(F.sum(F.when(other, F.col("_n"))), F.lit(0)).alias("other"),
+            F.map_from_entries(F.sort_array(F.collect_list(entry))).alias("methods"),
+            F.coalesce(F.sum("_sum"), F.lit(0)).alias("_sum"),
         )
         .withColumn("mean_confidence", F.round(F.try_divide(F.col("_sum") / F.lit(1_000_000), "records"), 3).cast("double"))
         .drop("_sum")
@@ -90,11 +103,13 @@ def lineage_mismatch(df: DataFrame) -> DataFrame:
     net = F.col("canonical.network")
     value = F.when(F.lit(False), "")
     for n in NETWORK:
-        value = value.when(F.col("r.canonical_field") == f"network.{n}", net[n].cast("string"))
-    rows = df.select("batch_id", "pos", "canonical", F.posexplode("provenance").alias("record_no", "r"))
+        value = value.when(F.col("r.canonical_field") == f"network.{n}", F.col("_net")[n].cast("string"))
+    # records of other fields are left out before anything is exploded, and only the network block goes along
+    numbered = F.transform("provenance", lambda r, i: F.struct(i.alias("record_no"), r.alias("r")))
+    wanted = F.filter(numbered, lambda x: F.startswith(x["r"]["canonical_field"], F.lit("network.")))
+    rows = df.select("batch_id", "pos", net.alias("_net"), F.explode(wanted).alias("_x")).select("batch_id", "pos", "_net", "_x.record_no", "_x.r")
     return (
         rows.withColumn("canonical_value", value)
-        .filter(F.startswith("r.canonical_field", F.lit("network.")))
         .filter(~F.col("r.value").eqNullSafe(F.col("canonical_value")))
         .select(
             "batch_id", "pos", "record_no", "r.canonical_field", "r.source_field", "r.value", "canonical_value"

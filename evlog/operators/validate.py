@@ -16,6 +16,8 @@ from evlog.functions.text import kept, quoted, whole
 
 ISSUE = "struct<field:string,check:string,severity:string,message:string>"
 PASS, WARNING, FAIL = "PASS", "WARNING", "FAIL"
+USABLE, HELD = "usable", "held"
+TEXT = X.ISSUE_TEXTS
 
 
 def _issue(field: str, check: str, severity: str, *message) -> Column:
@@ -30,52 +32,52 @@ def _issue(field: str, check: str, severity: str, *message) -> Column:
 
 def check_ip(field: str, ip: Column) -> Column:
     return (
-        F.when(ip.isNull(), _issue(field, "ip_present", WARNING, "not derivable from raw event"))
-        .when(~whole(ip, X.IPV4), _issue(field, "ip_format", FAIL, "malformed IPv4: ", quoted(ip)))
+        F.when(ip.isNull(), _issue(field, "ip_present", WARNING, TEXT["value_absent"]))
+        .when(~whole(ip, X.IPV4), _issue(field, "ip_format", FAIL, TEXT["ip_malformed"], quoted(ip)))
         .when(
             ip.rlike(X.OCTET_OVER_255),
-            _issue(field, "ip_octets", FAIL, "octet > 255 in ", quoted(ip)),
+            _issue(field, "ip_octets", FAIL, TEXT["ip_octets"], quoted(ip)),
         )
-        .otherwise(_issue(field, "ip_format", PASS, "valid IPv4 ", ip))
+        .otherwise(_issue(field, "ip_format", PASS, TEXT["ip_valid"], ip))
     )
 
 
 def check_port(field: str, port: Column) -> Column:
     text = port.cast("string")
     return (
-        F.when(port.isNull(), _issue(field, "port_present", WARNING, "not derivable from raw event"))
-        .when(~port.between(0, X.MAX_PORT), _issue(field, "port_range", FAIL, "invalid port: ", text))
-        .otherwise(_issue(field, "port_range", PASS, "valid port ", text))
+        F.when(port.isNull(), _issue(field, "port_present", WARNING, TEXT["value_absent"]))
+        .when(~port.between(0, X.MAX_PORT), _issue(field, "port_range", FAIL, TEXT["port_invalid"], text))
+        .otherwise(_issue(field, "port_range", PASS, TEXT["port_valid"], text))
     )
 
 
 def check_protocol(proto: Column) -> Column:
     field = "network_protocol"
     return (
-        F.when(proto.isNull(), _issue(field, "protocol_present", WARNING, "not derivable"))
+        F.when(proto.isNull(), _issue(field, "protocol_present", WARNING, TEXT["word_absent"]))
         .when(
             ~F.upper(proto).isin(X.PROTOCOLS),
-            _issue(field, "protocol_value", WARNING, "unusual protocol value ", quoted(proto), " (kept verbatim)"),
+            _issue(field, "protocol_value", WARNING, TEXT["protocol_unusual"], quoted(proto), TEXT["verbatim"]),
         )
-        .otherwise(_issue(field, "protocol_value", PASS, "recognized protocol ", proto))
+        .otherwise(_issue(field, "protocol_value", PASS, TEXT["protocol_known"], proto))
     )
 
 
 def check_action(action: Column) -> Column:
     return (
-        F.when(action.isNull(), _issue("action", "action_present", WARNING, "not derivable"))
+        F.when(action.isNull(), _issue("action", "action_present", WARNING, TEXT["word_absent"]))
         .when(
             ~F.lower(action).isin(X.ACTIONS),
-            _issue("action", "action_value", WARNING, "unrecognized action ", quoted(action), " (kept verbatim)"),
+            _issue("action", "action_value", WARNING, TEXT["action_unusual"], quoted(action), TEXT["verbatim"]),
         )
-        .otherwise(_issue("action", "action_value", PASS, "recognized action ", action))
+        .otherwise(_issue("action", "action_value", PASS, TEXT["action_known"], action))
     )
 
 
 def check_provenance(records: Column) -> Column:
-    none = _issue("provenance", "structure", FAIL, "no provenance records — nothing was derivable")
+    none = _issue("provenance", "structure", FAIL, TEXT["no_records"])
     some = _issue(
-        "provenance", "structure", PASS, F.size(records).cast("string"), " provenance records present"
+        "provenance", "structure", PASS, F.size(records).cast("string"), TEXT["records"]
     )
     return F.when(F.coalesce(F.size(records), F.lit(0)) <= 0, none).otherwise(some)
 
@@ -87,7 +89,7 @@ def check_coverage(event: Column) -> Column:
         net["destination_port"].cast("string"), event["action"], event["policy_id"], event["severity"],
     )
     return F.when(
-        derived.isNull(), _issue("coverage", "semantic_coverage", WARNING, "no canonical fields derived")
+        derived.isNull(), _issue("coverage", "semantic_coverage", WARNING, TEXT["no_fields"])
     )
 
 
@@ -95,8 +97,8 @@ def check_header(event: Column) -> Column:
     src = event["source"]
 
     def row(check, label, whole_header):
-        return F.when(whole_header, _issue("source", check, PASS, f"{label} header fields present")).otherwise(
-            _issue("source", check, WARNING, f"{label} header incomplete")
+        return F.when(whole_header, _issue("source", check, PASS, label, TEXT["header_whole"])).otherwise(
+            _issue("source", check, WARNING, label, TEXT["header_incomplete"])
         )
 
     cef = event["signature_id"].isNotNull() & src["vendor"].isNotNull()
@@ -158,10 +160,19 @@ def issues_table(df: DataFrame) -> DataFrame:
     )
 
 
-def split_verdict(df: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(usable, held back): events that failed or were not understood are held back."""
+def route_verdict(df: DataFrame) -> DataFrame:
+    """Add ``route``: ``held`` for events that failed or were not understood, else ``usable``.
+
+    One pass; written once partitioned by route, either part is read without the other.
+    """
     usable = (F.col("validation.result") != FAIL) & F.col("understood")
-    return df.filter(usable), df.filter(~usable)
+    return df.withColumn("route", F.when(usable, USABLE).otherwise(HELD))
+
+
+def split_verdict(df: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(usable, held back) of rows with a ``route``, best of a stored table: each part is a scan of its own."""
+    routed = df if "route" in df.columns else route_verdict(df)
+    return routed.filter(F.col("route") == USABLE), routed.filter(F.col("route") == HELD)
 
 
 def quality_report(df: DataFrame) -> DataFrame:

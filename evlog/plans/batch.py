@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from evlog import fixed as X
 from evlog.operators.ingest import seal
 from evlog.operators.integrity import canonical_hash
-from evlog.operators.merkle import merkle_root, verify_batch
+from evlog.operators.merkle import folded_batches
 from evlog.plans.process import validated_events
 
 
@@ -17,9 +17,9 @@ def leaves(df: DataFrame) -> DataFrame:
     return seal(df).select("batch_id", "pos", F.col("raw_sha256").alias("leaf"))
 
 
-def process_batch(df: DataFrame) -> DataFrame:
+def process_batch(df: DataFrame, registry: DataFrame | None = None) -> DataFrame:
     """Per event: raw, raw_sha256, event_id, format, canonical_sha256, validation."""
-    return validated_events(df).select(
+    return validated_events(df, registry).select(
         "batch_id",
         "pos",
         "raw",
@@ -31,19 +31,25 @@ def process_batch(df: DataFrame) -> DataFrame:
     )
 
 
-def batch_summary(df: DataFrame, max_leaves: int | None = None) -> DataFrame:
-    """Per batch: events, formats, verdicts, Merkle root and the outcome of its own verification."""
-    done = validated_events(df)
-    counts = done.groupBy("batch_id").agg(
-        F.count(F.lit(1)).alias("processed"),
-        *[F.count_if(F.col("format") == f).alias(f.lower()) for f in [*X.KNOWN_FORMATS, X.UNKNOWN]],
-        *[
-            F.count_if(F.col("validation.result") == r).alias(n)
-            for r, n in (("PASS", "passed"), ("WARNING", "warned"), ("FAIL", "failed"))
-        ],
+def batch_summary(df: DataFrame, registry: DataFrame | None = None) -> DataFrame:
+    """Per batch: events, formats, verdicts, Merkle root and the outcome of its own verification.
+
+    One scan: the counts ride along with the leaves in the fold of the tree.
+    """
+    done = validated_events(df, registry)
+    flags = {
+        **{f.lower(): F.col("format") == f for f in [*X.KNOWN_FORMATS, X.UNKNOWN]},
+        **{n: F.col("validation.result") == r for r, n in (("PASS", "passed"), ("WARNING", "warned"), ("FAIL", "failed"))},
+    }
+    leaves = done.select(
+        "batch_id", "pos", F.col("raw_sha256").alias("leaf"), *[f.cast("int").cast("bigint").alias(n) for n, f in flags.items()]
     )
-    hashed = leaves(df)
-    checked = verify_batch(hashed, merkle_root(hashed, max_leaves), max_leaves)
-    return counts.join(
-        checked.select("batch_id", F.col("rebuilt_root").alias("merkle_root"), "leaf_count", "verified"), "batch_id"
+    folded = folded_batches(leaves, sums=tuple(flags))
+    return folded.select(
+        "batch_id",
+        F.col("leaf_count").alias("processed"),
+        *flags,
+        F.col("root").alias("merkle_root"),
+        "leaf_count",
+        F.col("all_leaf_proofs_valid").alias("verified"),
     )

@@ -14,15 +14,13 @@ from evlog.operators import parse as P
 from evlog.operators import provenance as V
 from evlog.operators import validate as Q
 from evlog.operators.detect import detect, format_mix
-from evlog.operators.ingest import seal, split_blank
+from evlog.operators.ingest import mark_blank, seal
 from evlog.operators.normalize import LEAVES, merge_fields, leaf_struct, normalize
 from evlog.plans import batch as B
 from evlog.plans.process import canonical_events, process, validated_events
-from evlog.session import cut
 from evlog.sources.lines import event_lines, read_table, rendered_lines
 
 
-
 def _events(run):
     """Query over the rendered raw lines."""
 
@@ -85,10 +83,7 @@ def quarantine(spark, sf_dir):
     lines = rendered_lines(spark, sf_dir).select(
         "batch_id", "pos", F.when(F.col("event_type") == "signup", F.lit(" \t \n")).otherwise(F.col("raw")).alias("raw")
     )
-    kept, blank = split_blank(lines)
-    return kept.select("batch_id", "pos", F.lit(None).cast("string").alias("reason")).unionByName(
-        blank.select("batch_id", "pos", "reason")
-    )
+    return mark_blank(lines).select("batch_id", "pos", "reason")
 
 
 # --- parsing -----------------------------------------------------------------
@@ -139,24 +134,51 @@ def unknown_mapping(df):
     return _records(U.onboard(_unknown(df)))
 
 
-def discover_templates(df):
-    found = U.discover_templates(_unknown(df))
+def _layouts(found):
     steps = F.transform(
         "mapping", lambda m: F.concat(m["position"].cast("string"), F.lit("="), m["canonical_field"])
     )
-    return found.select("signature", "events", "sample", "arity", F.array_join(steps, ",").alias("mapping"))
+    return found.select("signature", "events", "sample", "arity", F.array_join(steps, ",").alias("mapping"), "leading_values")
+
+
+def discover_templates(df):
+    """Layouts; the estimate of leading names is shown where there are few, since a single cell is the whole line."""
+    found = _layouts(U.discover_templates(_unknown(df)))
+    return found.withColumn("leading_values", F.when(F.col("arity") > 1, F.col("leading_values")))
 
 
 def document_templates(spark, sf_dir):
-    found = U.discover_templates(_document_lines(spark, sf_dir))
-    return found.groupBy("arity").agg(F.sum("events").alias("events"))
+    return _layouts(U.discover_templates(_document_lines(spark, sf_dir))).drop("leading_values")
+
+
+def _registry(df):
+    found = U.discover_templates(_unknown(df)).filter(F.startswith("signature", F.lit("|")))
+    return U.template_rows(found)
 
 
 def apply_templates(df):
-    unknown = _unknown(df)
-    found = U.discover_templates(unknown).filter(F.startswith("signature", F.lit("|")))
-    registry = cut(U.template_rows(found))  # a registry is a stored table
-    return _records(U.apply_templates(unknown, registry))
+    return _records(U.apply_templates(_unknown(df), _registry(df)))
+
+
+def templated_events(df):
+    """Canonical leaves of unknown lines when their layouts are registered: the same as by position."""
+    done = canonical_events(df, _registry(df)).filter(F.col("format") == X.UNKNOWN)
+    return done.select("batch_id", "pos", *_leaf_columns(), F.size("provenance").cast("bigint").alias("records"))
+
+
+def template_summary(df):
+    return _summary(U.apply_templates(_unknown(df), _registry(df)))
+
+
+def long_tokens(spark, sf_dir):
+    """Each document as one word before a bar: words of any length go through the whole pipeline."""
+    docs = read_table(spark, sf_dir, "documents", "doc_id", "text")
+    word = F.translate("text", " \t\r\n|", "")
+    lines = docs.select(F.lit("docs").alias("batch_id"), F.col("doc_id").alias("pos"), F.concat(word, F.lit("|drop|tcp")).alias("raw"))
+    return process(lines).select(
+        F.col("pos").alias("doc_id"), "format", F.length("canonical_event.source.vendor").cast("bigint").alias("vendor_chars"),
+        "canonical_event.action", "canonical_event.network_protocol",
+    )
 
 
 # --- events ------------------------------------------------------------------
@@ -208,8 +230,13 @@ def provenance_table(df):
     return _records(canonical_events(df))
 
 
+def _summary(df, *by):
+    methods = F.transform(F.map_entries("methods"), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string")))
+    return V.provenance_summary(df, *by).withColumn("methods", F.array_join(methods, ";"))
+
+
 def provenance_summary(df):
-    return V.provenance_summary(canonical_events(df), "format")
+    return _summary(canonical_events(df), "format")
 
 
 def event_provenance(df):
@@ -258,10 +285,7 @@ def quality_report(df):
 
 
 def split_verdict(df):
-    usable, held = Q.split_verdict(validated_events(df))
-    return usable.select("batch_id", "pos", "format", F.lit("usable").alias("route")).unionByName(
-        held.select("batch_id", "pos", "format", F.lit("held").alias("route"))
-    )
+    return Q.route_verdict(validated_events(df)).select("batch_id", "pos", "format", "route")
 
 
 # --- integrity ---------------------------------------------------------------
@@ -272,11 +296,11 @@ def canonical_hash(df):
 
 
 def verify_hashes(spark, sf_dir):
-    """Manifest with upper-case hashes, wrong ones for errors, and no entry for views."""
+    """Manifest with upper-case hashes between white space of several kinds, wrong ones for errors, and no entry for views."""
     lines = rendered_lines(spark, sf_dir)
     manifest = (
         lines.filter("event_type <> 'view'")
-        .withColumn("expected_sha256", F.concat(F.lit(" "), F.upper(F.sha2("raw", 256))))
+        .withColumn("expected_sha256", F.concat(F.lit("\t \u00a0"), F.upper(F.sha2("raw", 256)), F.lit("\r\n\u2003")))
         .withColumn("expected_sha256", F.when(F.col("event_type") == "error", F.lit("0" * 64)).otherwise(F.col("expected_sha256")))
     )
     sealed = seal(lines.filter("event_type <> 'click'"))
@@ -291,10 +315,16 @@ def valid_digest(spark, sf_dir):
 
 
 def leaf_positions(spark, sf_dir):
-    """Dense positions of the non-signup lines, all in one batch."""
-    lines = rendered_lines(spark, sf_dir).filter("event_type <> 'signup'")
-    rows = lines.select(F.lit("all").alias("batch_id"), "event_id")
-    return M.leaf_positions(rows, "event_id").select("event_id", "pos")
+    """Dense positions of all lines in one batch, in the order of a hash."""
+    rows = rendered_lines(spark, sf_dir).select(F.lit("all").alias("batch_id"), "event_id", F.md5(F.col("event_id").cast("string")).alias("at"))
+    return M.leaf_positions(rows, "at").select("event_id", "pos")
+
+
+def bad_positions(spark, sf_dir):
+    """Lines of which some were lost, some lost their position, and some got their neighbour's."""
+    lines = rendered_lines(spark, sf_dir).filter("event_id % 50 <> 11")
+    pos = F.when(F.col("event_id") % 50 == 7, None).when(F.col("event_id") % 50 == 3, F.col("pos") + 1).otherwise(F.col("pos"))
+    return M.position_faults(lines.select("batch_id", pos.alias("pos")))
 
 
 def one_batch_root(spark, sf_dir):
@@ -320,38 +350,46 @@ def merkle_proofs(df):
 
 
 def verify_proofs(df):
-    """Proofs of the whole table, checked; first leaves are replaced and must be refused."""
+    """Proofs of the whole table, checked; some leaves and some steps are replaced and must be refused."""
     proofs = M.merkle_proofs(B.leaves(df))
-    forged = F.when(F.col("pos") == 0, F.sha2(F.lit("tampered"), 256)).otherwise(F.col("leaf"))
-    return M.verify_proofs(proofs.withColumn("leaf", forged)).select("batch_id", "pos", "valid")
+    forged = F.when(F.col("pos") % 500 == 0, F.sha2(F.lit("tampered"), 256)).otherwise(F.col("leaf"))
+    step = F.transform(
+        "proof",
+        lambda s, i: F.struct(F.when((F.col("pos") % 7 == 3) & (i == 1), F.sha2(s["hash"], 256)).otherwise(s["hash"]).alias("hash"), s["position"].alias("position")),
+    )
+    return M.verify_proofs(proofs.withColumn("leaf", forged).withColumn("proof", step)).select("batch_id", "pos", "valid")
+
+
+def _shorter(df):
+    """The table before: its first batch ends early."""
+    return df.filter("not (batch_id = 'b0' and pos >= 900)")
 
 
 def _tampered(df):
-    """Every first line of a batch changed."""
-    return df.withColumn("raw", F.when(F.col("pos") == 0, F.concat("raw", F.lit("x"))).otherwise(F.col("raw")))
+    """The table after: inner and last lines changed, the second batch cut off, the third lost."""
+    changed = F.when(F.expr("pos % 512 = 317 or pos = 899"), F.concat("raw", F.lit("x"))).otherwise(F.col("raw"))
+    return df.withColumn("raw", changed).filter("not (batch_id = 'b1' and pos >= 4000) and batch_id <> 'b2'")
 
 
 def verify_batch(df):
-    """Roots claimed for the original lines, checked against a table in which batch b0 was changed."""
-    claimed = M.merkle_root(B.leaves(df))
-    changed = df.withColumn("raw", F.when(F.col("batch_id") == "b0", F.concat("raw", F.lit("x"))).otherwise(F.col("raw")))
-    return M.verify_batch(B.leaves(changed), claimed).select(
-        "batch_id", "claimed_root", "leaf_count", "root_rebuilt_matches", "all_leaf_proofs_valid", "verified"
-    )
+    """Claims of the original lines against changed ones: a batch changed inside, one with a cut claim, one lost, one that nobody claims."""
+    roots = M.merkle_root(B.leaves(df)).withColumn("root", F.when(F.col("batch_id") == "b1", F.substring("root", 1, 40)).otherwise(F.col("root")))
+    lost = df.filter("batch_id = 'b0' and pos = 0").select(F.lit("lost").alias("batch_id"), F.sha2("raw", 256).alias("root"))
+    changed = df.withColumn("raw", F.when(F.expr("batch_id = 'b0' and pos = 317"), F.concat("raw", F.lit("x"))).otherwise(F.col("raw")))
+    unclaimed = df.filter("batch_id = 'b0' and pos < 5").withColumn("batch_id", F.lit("new"))
+    return M.verify_batch(B.leaves(changed.unionByName(unclaimed)), roots.select("batch_id", "root").unionByName(lost))
 
 
 def tamper_diff(df):
-    return M.tamper_diff(B.leaves(df), B.leaves(_tampered(df)))[1]
+    return M.tamper_diff(B.leaves(_shorter(df)), B.leaves(_tampered(df)))[1]
 
 
 def tamper_roots(df):
-    return M.tamper_diff(B.leaves(df), B.leaves(_tampered(df)))[0]
+    return M.tamper_diff(B.leaves(_shorter(df)), B.leaves(_tampered(df)))[0]
 
 
 def tamper_locate(df):
-    nodes = cut(M.merkle_nodes(B.leaves(df)))
-    changed = cut(M.merkle_nodes(B.leaves(_tampered(df))))
-    return M.tamper_locate(nodes, changed)
+    return M.tamper_locate(M.merkle_nodes(B.leaves(_shorter(df))), M.merkle_nodes(B.leaves(_tampered(df))))
 
 
 QUERIES = {
@@ -376,6 +414,9 @@ QUERIES = {
     "discover_templates": _events(discover_templates),
     "document_templates": document_templates,
     "apply_templates": _events(apply_templates),
+    "templated_events": _events(templated_events),
+    "template_summary": _events(template_summary),
+    "long_tokens": long_tokens,
     "canonical_events": _events(event_leaves),
     "merged_fields": _events(merged_fields),
     "field_confidence": _events(field_confidence),
@@ -394,6 +435,7 @@ QUERIES = {
     "verify_hashes": verify_hashes,
     "valid_digest": valid_digest,
     "leaf_positions": leaf_positions,
+    "bad_positions": bad_positions,
     "merkle_root": _events(merkle_root),
     "one_batch_root": one_batch_root,
     "merkle_nodes": _events(merkle_nodes),

@@ -9,26 +9,38 @@ from evlog import fixed as X
 from evlog.operators.ingest import seal
 from evlog.operators.integrity import canonical_hash, integrity_block
 from evlog.operators.normalize import normalize
-from evlog.operators.onboard import onboarding
+from evlog.functions.text import kept, let
+from evlog.operators.onboard import cells, onboarding, template_records, with_layouts
 from evlog.operators.parse import classify, parse
 from evlog.operators.validate import validate
 
 
-def canonical_events(df: DataFrame) -> DataFrame:
-    """(batch_id, pos, raw) -> sealed, classified, parsed and normalised rows."""
-    return normalize(parse(classify(seal(df))))
+def canonical_events(df: DataFrame, registry: DataFrame | None = None) -> DataFrame:
+    """(batch_id, pos, raw) -> sealed, classified, parsed and normalised rows.
 
+    With a ``registry`` of layouts, unknown lines of a registered layout are mapped by it instead of by position.
+    Put filters on input columns before this: a stage column is computed before any filter that follows it.
+    """
+    found = classify(seal(df))
+    if registry is None:
+        return normalize(parse(found))
+    found = with_layouts(found, registry, F.col("format") == X.UNKNOWN)
+    parsed = parse(found)
+    by_layout = let(cells(F.col("raw")), lambda c: template_records(c, F.col("steps")))
+    mapped = F.when(F.col("steps").isNotNull(), by_layout).otherwise(F.col("provenance"))
+    return normalize(parsed.withColumn("provenance", kept(mapped)).drop("signature", "steps"))
 
-def validated_events(df: DataFrame) -> DataFrame:
+
+def validated_events(df: DataFrame, registry: DataFrame | None = None) -> DataFrame:
     """``canonical_events`` with ``validation`` and ``understood``."""
     known = (F.col("format") != X.UNKNOWN) & (F.col("parse.status") == "ok")
     found = (F.col("format") == X.UNKNOWN) & (F.size("provenance") > 0)
-    return validate(canonical_events(df)).withColumn("understood", known | found)
+    return validate(canonical_events(df, registry)).withColumn("understood", known | found)
 
 
-def process(df: DataFrame) -> DataFrame:
+def process(df: DataFrame, registry: DataFrame | None = None) -> DataFrame:
     """The whole result per event.  ``processed_at`` is in no hash."""
-    done = validated_events(df).withColumn("_hash", canonical_hash(F.col("canonical")))
+    done = validated_events(df, registry).withColumn("_hash", canonical_hash(F.col("canonical")))
     event_id = F.col("canonical.event_id")
     return done.select(
         "batch_id",

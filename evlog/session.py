@@ -1,10 +1,10 @@
-"""Session settings and reliable lineage cuts."""
+"""Session settings and places for stored intermediate tables."""
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
 
 def local_session(cores: str = "*", partitions: int = 8, memory: str = "8g") -> SparkSession:
@@ -14,6 +14,8 @@ def local_session(cores: str = "*", partitions: int = 8, memory: str = "8g") ->
         .appName("evlog")
         .config("spark.sql.shuffle.partitions", str(partitions))
         .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.sql.files.maxPartitionBytes", "512k")  # small test tables still use all cores
+        .config("spark.sql.files.openCostInBytes", "64k")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", memory)
@@ -21,26 +23,19 @@ def local_session(cores: str = "*", partitions: int = 8, memory: str = "8g") ->
     )
 
 
-def checkpoint_dir(spark: SparkSession) -> str:
-    """Folder for lineage cuts: the one the cluster names in ``spark.checkpoint.dir``.
+def work_path(spark: SparkSession, name: str) -> str:
+    """A new path for a stored intermediate table, below the folder that the cluster names in ``spark.checkpoint.dir``.
 
-    Only a local session, which has no other machines, may fall back to a
-    temporary folder.
+    A session that names none is refused: a folder of one machine would not be there for the others.
     """
-    context = spark.sparkContext
-    current = context.getCheckpointDir()
-    if current:
-        return current
-    named = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not named:
-        if not context.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        named = tempfile.mkdtemp(prefix="evlog-checkpoint-")
-    context.setCheckpointDir(named)
-    return named
+        raise ValueError(f"set spark.checkpoint.dir to a folder that all executors share, or name a path for {name}")
+    return f"{named.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write the rows to reliable storage and go on from there."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def drop_path(spark: SparkSession, path: str) -> None:
+    """Delete a folder, wherever it is stored."""
+    context = spark.sparkContext
+    hadoop = context._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(context._jsc.hadoopConfiguration()).delete(hadoop, True)

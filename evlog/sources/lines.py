@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 BATCH_SIZE = 4096
 
 _COLUMNS = """
-SELECT event_id, ts, user_id, event_type, props, event_id % 10 AS kind,
+SELECT event_id, ts, user_id, event_type, props, event_id % 14 AS kind,
   '10.' || cast(user_id % 256 as string) || '.' || cast(cast(floor(event_id / 256) as bigint) % 256 as string)
     || '.' || cast(event_id % 256 as string) AS src_ip,
   cast(1024 + event_id % 60000 as string) AS src_port,
@@ -26,27 +26,31 @@ SELECT event_id, ts, user_id, event_type, props, event_id % 10 AS kind,
 FROM {events}"""
 
 _LINE = """CASE kind
-  WHEN 0 THEN 'FW-X|' || act || '|' || proto || '|' || src_ip || '|' || src_port || '|' || dst_ip || '|' || dst_port
+  WHEN 0 THEN 'LOCK-4|' || act || '|' || proto || '|' || src_ip || '|' || src_port || '|' || dst_ip || '|' || dst_port
     || '|P' || policy
-  WHEN 1 THEN 'CEF:0|Cyberdyne|FireWall-X|12.1|' || policy || '|Port scan|7|src=' || src_ip || ' spt=' || src_port
+  WHEN 1 THEN 'CEF:0|Norwind|Gatepost|4.2|' || policy || '|Sweep of many ports|7|src=' || src_ip || ' spt=' || src_port
     || ' dst=' || dst_ip || ' dpt=' || dst_port || ' proto=' || proto || ' act=' || act || ' cs1=P-' || policy
-    || ' cs1Label=Policy ID'
-  WHEN 2 THEN 'LEEF:2.0|SemperFire|Perimeter-500|1.0|' || policy || '|src=' || src_ip || chr(9) || 'dst=' || dst_ip
+    || ' cs1Label=Rule name'
+  WHEN 2 THEN 'LEEF:2.0|Halyard|Seawall|30.1|' || policy || '|src=' || src_ip || chr(9) || 'dst=' || dst_ip
     || chr(9) || 'proto=' || lower(proto) || chr(9) || 'usrName=u' || user_id || chr(9) || 'sev=5'
   WHEN 3 THEN '<' || cast(event_id % 192 as string) || '>Jan ' || lpad(cast(day(ts) as string), 2, ' ') || ' ' || hms
-    || ' fw-edge' || user_id || ' secuwall: action=' || act || ' src=' || src_ip || ' spt=' || src_port || ' dst='
+    || ' quay' || user_id || ' tidegate: action=' || act || ' src=' || src_ip || ' spt=' || src_port || ' dst='
     || dst_ip || ' dpt=' || dst_port || ' proto=' || proto || ' policy=P-' || policy
-  WHEN 4 THEN '{"timestamp":"2024-01-01T' || hms || 'Z","vendor":"Aegis","product":"SensorMesh","src_ip":"' || src_ip
+  WHEN 4 THEN '{"timestamp":"2024-01-01T' || hms || 'Z","vendor":"Osier","product":"Reedbed","src_ip":"' || src_ip
     || '","src_port":' || src_port || ',"dst_ip":"' || dst_ip || '","dst_port":' || dst_port || ',"proto":"'
     || lower(proto) || '","action":"' || act || '","policy_id":"P-' || policy || '","severity":"High","user":"u'
     || user_id || '","custom":' || props || '}'
-  WHEN 5 THEN '<Event><timestamp>2024-01-01T' || hms || 'Z</timestamp><src>' || src_ip || '</src><dst>' || dst_ip
+  WHEN 5 THEN '<Alarm><timestamp>2024-01-01T' || hms || 'Z</timestamp><src>' || src_ip || '</src><dst>' || dst_ip
     || '</dst><proto>' || lower(proto) || '</proto><action>' || act || '</action><note>n' || policy
-    || '</note></Event>'
-  WHEN 6 THEN 'Jan ' || lpad(cast(day(ts) as string), 2, ' ') || ' ' || hms || ' fw-edge' || user_id
-    || ' CEF:0|Vendor|Prod|1|' || policy || '|Event|5|src=' || src_ip
-  WHEN 7 THEN 'FW-Z|' || act || '|' || proto || '|300.' || user_id || '.9.2|70000|' || dst_ip || '|99999|P' || policy
-  WHEN 8 THEN '<134>1 2024-01-01T' || hms || 'Z host app ' || policy || ' - - src=' || src_ip
+    || '</note></Alarm>'
+  WHEN 6 THEN 'Jan ' || lpad(cast(day(ts) as string), 2, ' ') || ' ' || hms || ' quay' || user_id
+    || ' CEF:0|Marram|Dune|2|' || policy || '|Probe|5|src=' || src_ip
+  WHEN 7 THEN 'LOCK-9|' || act || '|' || proto || '|300.' || user_id || '.9.2|70000|' || dst_ip || '|99999|P' || policy
+  WHEN 8 THEN '<134>1 2024-01-01T' || hms || 'Z pier mooring ' || policy || ' - - src=' || src_ip
+  WHEN 10 THEN 'LEEF:3.0 Halyard ' || policy || ' src=' || src_ip
+  WHEN 11 THEN 'relay' || user_id || ' LEEF:1.0|Halyard|Seawall|30.1|' || policy || '|src=' || src_ip
+  WHEN 12 THEN 'CEF:draft|Norwind|Gatepost|4.2|' || policy || '|src=' || src_ip
+  WHEN 13 THEN 'Jan ' || lpad(cast(day(ts) as string), 2, ' ') || ' ' || hms || ' quay' || user_id || ' ' || policy
   ELSE 'free text line ' || event_type || ' ' || src_ip END"""
 
 
@@ -61,18 +65,8 @@ def lines_sql(events: str = "events") -> str:
     )
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Use all cores when the input has fewer splits than there are cores.
-
-    A small table in one file is one split.  Big tables have more splits than the
-    cluster has cores and are left as they are, so they are never shuffled here.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
-
-
 def read_table(spark: SparkSession, sf_dir: str, name: str, key: str, *columns: str) -> DataFrame:
-    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet").select(key, *columns), key)
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet").select(key, *columns)
 
 
 def rendered_lines(spark: SparkSession, sf_dir: str) -> DataFrame:

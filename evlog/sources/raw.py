@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from evlog.session import cut
+from evlog.session import work_path
 
 
-def read_raw(spark: SparkSession, path, unit: str = "line", max_broadcast: int = 1_000_000) -> DataFrame:
+def read_raw(spark: SparkSession, path, unit: str = "line", counts: str | None = None) -> DataFrame:
     """(batch_id, pos, raw): one event per line, or each whole file as one event.
 
     ``batch_id`` is the file.  Line positions need no sort: within a file block
@@ -16,10 +16,11 @@ def read_raw(spark: SparkSession, path, unit: str = "line", max_broadcast: int =
     from the first row of the block plus the number of lines in earlier blocks.
 
     One pass counts the lines per block and stores the counts, a row for every
-    128 MB or so.  They are broadcast if that many rows fit, and then the lines
-    themselves are never shuffled.  Should the reader cut or pack the files
-    differently in the second pass, some row finds no block or lies outside of
-    its ids, and the job fails.
+    128 MB or so, at the path ``counts`` (a new one below ``spark.checkpoint.dir`` if
+    none is named).  Spark broadcasts them if their measured size is below the
+    session's limit, and then the lines themselves are never shuffled.  Should
+    the reader cut or pack the files differently in the second pass, some row finds
+    no block or lies outside of its ids, and the job fails.
     """
     if unit == "file":
         return spark.read.text(path, wholetext=True).select(
@@ -37,9 +38,10 @@ def read_raw(spark: SparkSession, path, unit: str = "line", max_broadcast: int =
     counted = lines.groupBy("batch_id", "block").agg(
         F.min("seq").alias("first"), F.max("seq").alias("last"), F.count(F.lit(1)).alias("n")
     )
-    blocks = cut(counted.withColumn("before", F.coalesce(F.sum("n").over(earlier), F.lit(0))).drop("n"))
-    if blocks.count() <= max_broadcast:
-        blocks = F.broadcast(blocks)
+    counts = counts or work_path(spark, "line-counts")
+    blocks = counted.withColumn("before", F.coalesce(F.sum("n").over(earlier), F.lit(0))).drop("n")
+    blocks.write.mode("overwrite").parquet(counts)
+    blocks = spark.read.parquet(counts)
     same = F.coalesce(F.col("seq").between(F.col("first"), F.col("last")), F.lit(False))
     pos = F.when(same, F.col("before") + F.col("seq") - F.col("first")).otherwise(
         F.raise_error(F.lit("the files were split differently when they were read again")).cast("bigint")

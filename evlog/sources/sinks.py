@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evlog.operators.merkle import merkle_root
+from evlog.operators.merkle import merkle_nodes, merkle_root
 from evlog.operators.provenance import provenance_table
-from evlog.operators.validate import issues_table
+from evlog.operators.validate import FAIL, HELD, USABLE, issues_table
 
 EXPORT = [
     "event_id", "raw_evidence", "raw_sha256", "format_detection", "canonical_event",
@@ -15,28 +15,48 @@ EXPORT = [
 ]
 
 
+# results that other stored columns hold already
+DERIVED = ["provenance", "raw_sha256", "event_id"]
+
+
 def export_json(results: DataFrame, path: str, mode: str = "errorifexists") -> None:
     """One JSON document per event with evidence, canonical event, provenance and hashes."""
-    results.select(*EXPORT).write.mode(mode).option("ignoreNullFields", "false").json(path)
+    whole_results(results).select(*EXPORT).write.mode(mode).option("ignoreNullFields", "false").json(path)
+
+
+def whole_results(events: DataFrame) -> DataFrame:
+    """The result rows of a stored events table: columns that are stored once, inside the canonical event, are put back."""
+    event = F.col("canonical_event")
+    missing = {c: event[c] for c in DERIVED if c not in events.columns}
+    return events.withColumns(missing) if missing else events
+
+
+def read_events(spark: SparkSession, path: str) -> DataFrame:
+    """Events that ``write_tables`` stored, as the rows of ``process`` with their route."""
+    return whole_results(spark.read.parquet(f"{path}/events"))
 
 
-def write_tables(results: DataFrame, path: str, quarantine: DataFrame | None = None, part: str = "") -> None:
-    """Write events, provenance, issues, Merkle roots and quarantine below ``path``.
+def write_tables(results: DataFrame, path: str, quarantine: DataFrame | None = None, part: str = "", nodes: bool = False) -> None:
+    """Write events, provenance, issues, Merkle roots and quarantine below ``path``, and with ``nodes`` all nodes by level.
 
-    The events table is computed once and written by format; the other tables are
-    read from it, with only the columns they need.  Each part is overwritten as a
-    whole, so writing the same part again changes nothing.
+    The events table is computed once and written by route (usable or held back) and format; the other tables are
+    read from it, with only the columns they need.  Provenance and hashes are stored once, inside the canonical
+    event.  Each part is overwritten as a whole, so writing the same part again changes nothing.
     """
     spark = results.sparkSession
 
     def at(table):
         return f"{path}/{table}" + (f"/part={part}" if part else "")
 
-    results.write.mode("overwrite").partitionBy("format").parquet(at("events"))
-    events = spark.read.schema(results.schema).parquet(at("events"))
+    usable = (F.col("validation.result") != FAIL) & F.col("understood")
+    routed = results.withColumn("route", F.when(usable, USABLE).otherwise(HELD)).drop(*DERIVED)
+    routed.write.mode("overwrite").partitionBy("route", "format").parquet(at("events"))
+    events = whole_results(spark.read.schema(routed.schema).parquet(at("events")))
     provenance_table(events).write.mode("overwrite").parquet(at("provenance"))
     issues_table(events).write.mode("overwrite").parquet(at("issues"))
     leaves = events.select("batch_id", "pos", F.col("raw_sha256").alias("leaf"))
     merkle_root(leaves).write.mode("overwrite").parquet(at("roots"))
+    if nodes:
+        merkle_nodes(leaves).write.mode("overwrite").partitionBy("level").parquet(at("nodes"))
     if quarantine is not None:
         quarantine.write.mode("overwrite").parquet(at("quarantine"))

@@ -9,6 +9,7 @@ from pyspark.sql.streaming import StreamingQuery
 from evlog.operators.ingest import split_blank
 from evlog.operators.merkle import leaf_positions
 from evlog.plans.process import process
+from evlog.session import drop_path
 from evlog.sources.sinks import write_tables
 
 
@@ -24,12 +25,13 @@ def read_raw_stream(spark: SparkSession, path: str, max_files: int = 1000) -> Da
     )
 
 
-def process_stream(stream: DataFrame, out: str, checkpoint: str, **trigger) -> StreamingQuery:
+def process_stream(stream: DataFrame, out: str, checkpoint: str, registry: DataFrame | None = None, **trigger) -> StreamingQuery:
     """Seal each micro-batch as one batch and write its tables and Merkle root.
 
     Every table part is keyed by the micro-batch number and overwritten, so a
     micro-batch that runs again after a failure leaves the same result.  The lines
-    are landed first; positions and hashes are computed from what was landed.
+    are landed first; positions and hashes are computed from what was landed, and
+    the landed part goes once its tables are written.  Unknown lines of a layout in ``registry`` are mapped by it.
     """
 
     def seal_batch(batch: DataFrame, number: int) -> None:
@@ -41,7 +43,8 @@ def process_stream(stream: DataFrame, out: str, checkpoint: str, **trigger) -> S
         )
         accepted, blank = split_blank(landed)
         numbered = leaf_positions(accepted, "_at").select("batch_id", "pos", "raw")
-        write_tables(process(numbered), out, blank.select("batch_id", "raw", "reason"), part=str(number))
+        write_tables(process(numbered, registry), out, blank.select("batch_id", "raw", "reason"), part=str(number))
+        drop_path(spark, landing)
 
     return (
         stream.writeStream.foreachBatch(seal_batch)

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from evlog.operators.integrity import canonical_json, valid_digest, verify_hashes
 from evlog.operators.onboard import apply_templates, discover_templates, fingerprint, onboard, template_rows
-from evlog.operators.provenance import event_summary, lineage_mismatch
+from evlog.operators.provenance import event_summary, lineage_mismatch, provenance_summary
 from evlog.operators.validate import ISSUE, check_ip, check_port
 from evlog.plans.process import canonical_events, process, validated_events
 
@@ -60,13 +60,13 @@ def leaves(row):
 
 
 EXPECTED = {
-    "cef": ({"source_ip": "203.0.113.45", "source_port": 51500, "destination_ip": "198.51.100.10",
-             "destination_port": 22, "network_protocol": "TCP", "action": "block", "policy_id": "P-101",
-             "severity": "7", "signature_id": "100", "message": "Port scan detected", "vendor": "Cyberdyne",
-             "product": "FireWall-X"}, {"cs1Label": "PolicyID"}),
-    "leef": ({"source_ip": "203.0.113.45", "destination_ip": "198.51.100.10", "network_protocol": "TCP",
-              "user": "j.doe", "severity": "5", "signature_id": "90011", "message": "90011", "vendor": "SemperFire",
-              "product": "Perimeter-500"}, None),
+    "cef": ({"source_ip": "198.18.0.14", "source_port": 40022, "destination_ip": "198.18.7.3",
+             "destination_port": 3389, "network_protocol": "UDP", "action": "deny", "policy_id": "R-88",
+             "severity": "4", "signature_id": "771", "message": "Login refused thrice", "vendor": "Larkfield",
+             "product": "Weir"}, {"cs1Label": "RuleName"}),
+    "leef": ({"source_ip": "198.18.0.14", "destination_ip": "198.18.7.3", "network_protocol": "GRE",
+              "user": "m.reed", "severity": "8", "signature_id": "EV-31", "message": "EV-31", "vendor": "Quayside",
+              "product": "Breakwater"}, None),
     "json_bad_ip": ({"action": "block"}, None),
     "json_next_key": ({"source_ip": "1.2.3.4", "source_port": 80}, {"a": '{"c":2}'}),
     "json_bad_port": ({"source_ip": "1.2.3.4", "action": "block"}, None),
@@ -94,8 +94,8 @@ EXPECTED = {
                   "vendor": "ve"}, {"a.b-c": "q", "src": "x"}),
     "bare_word": ({"vendor": "word", "product": "word"}, None),
     "gaps": ({"vendor": "FW", "product": "FW", "action": "BLK", "network_protocol": "TCP", "source_ip": "1.2.3.4"}, None),
-    "odd_ports": ({"vendor": "FW-Z", "product": "FW-Z", "network_protocol": "UDP", "source_ip": "10.44.9.2",
-                   "destination_ip": "10.44.9.9", "action": "ALLOW", "policy_id": "P77"}, None),
+    "odd_ports": ({"vendor": "GATE-5", "product": "GATE-5", "network_protocol": "TCP", "source_ip": "172.16.8.1",
+                   "destination_ip": "172.16.8.2", "action": "PASS", "policy_id": "P9"}, None),
 }
 
 
@@ -177,18 +177,75 @@ def test_fingerprint_and_onboard(raw_table):
     assert onboard(raw_table(["  "])).first().onboarding.understood is False
 
 
-@pytest.mark.parametrize("limit", [100_000, 0])
-def test_templates(raw_table, limit):
+@pytest.mark.parametrize("limit", ["10m", "-1"])
+def test_templates(spark, raw_table, limit):
     lines = ["A||10.0.0.1|80|drop", "B||10.0.0.2|81|PASS", UNKNOWN, "plain words"]
     table = raw_table(lines)
     found = {r.signature: r for r in discover_templates(table).collect()}
     assert found["|/5/identifier,empty,ipv4,port,action"].events == 2
     registry = template_rows(discover_templates(table.filter("pos < 2")))
-    rows = {r.pos: r for r in apply_templates(table, registry, max_broadcast=limit).collect()}
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    try:
+        rows = {r.pos: r for r in apply_templates(table, registry).collect()}
+        events = {r.pos: r for r in canonical_events(raw_table([*lines, CEF, "A||10.0.0.1|80|drop|"]), registry).collect()}
+        plain = {r.pos: r for r in canonical_events(raw_table([*lines, CEF])).collect()}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     got = {p.canonical_field: (p.source_field, p.value) for p in rows[0].provenance}
-    assert got == {"source.vendor": ("token[0]", "A"), "network.source_ip": ("token[2]", "10.0.0.1"),
-                   "network.source_port": ("token[3]", "80"), "action": ("token[4]", "drop")}
+    assert got == {"source.vendor": ("token[0]", "A"), "source.product": ("token[0]", "A"), "network.source_ip": ("token[2]", "10.0.0.1"),
+                   "network.source_port": ("token[3]", "80"), "action": ("token[4]", "DROP")}
     assert rows[0].registered and not rows[2].registered and len(rows[2].provenance) == 9 and rows[3].provenance == []
+    assert events[0].canonical.network.source_port == 80 and events[0].canonical.action == "DROP"
+    assert plain[0].canonical.network.source_port is None
+    assert events[2].canonical.asDict(True) == plain[2].canonical.asDict(True) and events[4].canonical.asDict(True) == plain[4].canonical.asDict(True)
+
+
+@pytest.mark.parametrize("how, want", [("verbatim", "dRop"), ("canonical", "drop"), ("positional", "DROP")])
+def test_registered_spelling(spark, raw_table, how, want):
+    table = raw_table(["A|dRop"])
+    registry = spark.createDataFrame([("|/2/identifier,action", 1, "action", how, 0.7)], "signature string, position int, canonical_field string, normaliser string, confidence double")
+    assert [(p.value, p.confidence) for p in apply_templates(table, registry).first().provenance] == [(want, 0.7)]
+
+
+LONG = 1_000_000
+LONG_LINES = {
+    "word": "a" * LONG,
+    "hex": "f0" * (LONG // 2) + "|DROP|tcp",
+    "cells": "|".join(["ab1"] * 50_000),
+    "port": '{"src_port":"' + "9_" * (LONG // 2) + '9","src_ip":"1.2.3.4"}',
+    "zeros": '{"src_port":"' + "0" * 4000 + '7"}',
+    "json_key": '{"' + "k" * LONG + '":"v"}',
+    "json_value": '{"message":"' + "v" * LONG + '"}',
+    "cef_value": "CEF:0|V|P|1|9|N|3|msg=" + "x" * LONG + " src=1.1.1.1",
+    "cef_key": "CEF:0|V|P|1|9|N|3|" + "k" * LONG + "=1 src=1.1.1.1",
+    "leef_value": "LEEF:1.0|V|P|1|E1|usrName=" + "u" * LONG + "\tsrc=1.1.1.1",
+    "syslog_value": "<134>May  1 10:31:07 h p: user=" + "u" * LONG + " src=1.1.1.1",
+    "syslog_key": "<134>May  1 10:31:07 h p: " + "k" * LONG + "=u src=1.1.1.1",
+    "xml_tag": f"<a><{'t' * LONG}>x</{'t' * LONG}><src>1.1.1.1</src></a>",
+    "xml_value": "<a><src>1.1.1.1</src><note>" + "n" * LONG + "</note></a>",
+}
+
+
+def test_long_texts_in_all_formats(raw_table):
+    """Texts of a million characters, wherever a format has room for one, are ordinary rows."""
+    rows = {list(LONG_LINES)[r.pos]: r for r in process(raw_table(list(LONG_LINES.values()))).collect()}
+    assert set(rows) == set(LONG_LINES)
+    assert len(rows["word"].canonical_event.source.vendor) == LONG and rows["hex"].canonical_event.action == "DROP"
+    assert rows["port"].canonical_event.network.source_port is None and rows["port"].canonical_event.network.source_ip == "1.2.3.4"
+    assert rows["zeros"].canonical_event.network.source_port == 7
+    assert all(rows[n].canonical_event.network.source_ip == "1.1.1.1" for n in LONG_LINES if n.startswith(("cef", "leef", "syslog", "xml")))
+
+
+def test_summary_counts_every_method(spark, raw_table):
+    table = raw_table(["A||10.0.0.1|80|drop", "odd one"])
+    rows = apply_templates(table, template_rows(discover_templates(table.filter("pos = 0"))))
+    got = provenance_summary(rows).first()
+    assert (got.events, got.records, got.other, got.methods) == (2, 5, 5, {"template": 5})
+    assert got.extracted + got.heuristic + got.derived + got.other == got.records
+    none = rows.withColumn("provenance", F.expr("transform(provenance, r -> named_struct('canonical_field', r.canonical_field, 'source_field', r.source_field, 'value', r.value, 'method', cast(null as string), 'confidence', r.confidence))"))
+    assert provenance_summary(none).first().methods == {"unknown": 5}
+    empty = provenance_summary(table.withColumn("provenance", F.array().cast(rows.schema["provenance"].dataType))).first()
+    assert (empty.events, empty.records, empty.mean_confidence, empty.methods) == (2, 0, None, {})
 
 
 def test_manifest_and_digests(spark, raw_table):
@@ -196,7 +253,7 @@ def test_manifest_and_digests(spark, raw_table):
 
     sealed = seal(raw_table(["a", "b", "c"]))
     manifest = spark.createDataFrame(
-        [("b", 0, " CA978112CA1BBDCAFAC231B39A23DC4DA786EFF8147C4E72B9807785AFEE48BB "), ("b", 1, "0" * 64), ("b", 9, "x")],
+        [("b", 0, "\t CA978112CA1BBDCAFAC231B39A23DC4DA786EFF8147C4E72B9807785AFEE48BB\u00a0\r"), ("b", 1, "0" * 64), ("b", 9, "x")],
         "batch_id string, pos bigint, expected_sha256 string",
     )
     assert {r.pos: r.status for r in verify_hashes(sealed, manifest).collect()} == {

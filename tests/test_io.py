@@ -3,11 +3,11 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from evlog.operators.merkle import merkle_root
+from evlog.operators.merkle import merkle_nodes, merkle_root, tamper_locate
 from evlog.plans.batch import batch_summary, leaves, process_batch
 from evlog.plans.process import process
 from evlog.sources.raw import read_raw
-from evlog.sources.sinks import export_json, write_tables
+from evlog.sources.sinks import export_json, read_events, write_tables
 from evlog.streaming.jobs import process_stream, read_raw_stream
 
 from lines import CEF, JSON, LEEF, SYSLOG, UNKNOWN, XML
@@ -15,15 +15,19 @@ from lines import CEF, JSON, LEEF, SYSLOG, UNKNOWN, XML
 LINES = [UNKNOWN, CEF, "", LEEF, SYSLOG, JSON, XML + "\r"]
 
 
-@pytest.mark.parametrize("limit", [1_000_000, 0])
+@pytest.mark.parametrize("limit", ["10m", "-1"])
 def test_read_lines_in_file_order(spark, tmp_path, limit):
+    folder = tmp_path / "logs"
+    folder.mkdir()
     for n in ("one", "two"):
-        (tmp_path / f"{n}.log").write_bytes("\n".join([n, *LINES * 400]).encode())
+        (folder / f"{n}.log").write_bytes("\n".join([n, *LINES * 400]).encode())
     before = spark.conf.get("spark.sql.files.maxPartitionBytes")
     spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
     try:
-        rows = read_raw(spark, str(tmp_path), max_broadcast=limit).collect()
+        rows = read_raw(spark, str(folder), counts=str(tmp_path / "counts")).collect()
     finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
     for n in ("one", "two"):
         got = sorted((r.pos, r.raw) for r in rows if r.batch_id.endswith(f"{n}.log"))
@@ -33,7 +37,7 @@ def test_read_lines_in_file_order(spark, tmp_path, limit):
 def test_read_whole_files(spark, tmp_path):
     (tmp_path / "e.json").write_text(json.dumps(json.loads(JSON), indent=2) + "\n")
     row = process(read_raw(spark, str(tmp_path), unit="file")).first()
-    assert row.format == "JSON" and row.canonical_event.network.source_ip == "203.0.113.45"
+    assert row.format == "JSON" and row.canonical_event.network.source_ip == "198.18.0.14"
 
 
 def test_tables_and_export(spark, raw_table, tmp_path):
@@ -41,7 +45,10 @@ def test_tables_and_export(spark, raw_table, tmp_path):
     out = str(tmp_path / "out")
     write_tables(results, out)
     write_tables(results, out)
-    events = spark.read.parquet(f"{out}/events")
+    events = read_events(spark, out)
+    stored = spark.read.parquet(f"{out}/events")
+    assert not {"provenance", "raw_sha256", "event_id"} & set(stored.columns) and set(events.columns) == set(results.columns) | {"route"}
+    assert {r.route for r in stored.select("route").distinct().collect()} <= {"usable", "held"}
     assert events.count() == 6 and events.filter("format = 'CEF'").count() == 1
     assert spark.read.parquet(f"{out}/provenance").count() == events.agg(F.sum(F.size("provenance"))).first()[0]
     assert spark.read.parquet(f"{out}/issues").filter("severity = 'PASS'").count() > 0
@@ -81,10 +88,27 @@ def test_stream_equals_batch(spark, raw_table, tmp_path):
     stream = read_raw_stream(spark, str(source))
     for _ in range(2):  # the second run finds nothing new
         process_stream(stream, out, str(tmp_path / "chk")).awaitTermination()
-    events = spark.read.parquet(f"{out}/events")
+    events = read_events(spark, out)
+    assert not list((tmp_path / "out" / "landing").glob("part=*"))
     batch = process(raw_table([x for x in LINES if x], batch="stream-0"))
     columns = ["pos", "event_id", "raw_sha256", "integrity.canonical_sha256", "validation.result"]
     assert sorted(events.select(columns).collect()) == sorted(batch.select(columns).collect())
     assert spark.read.parquet(f"{out}/quarantine").count() == 1
     expected = merkle_root(leaves(raw_table([x for x in LINES if x]))).first().root
     assert spark.read.parquet(f"{out}/roots").first().root == expected
+
+
+def test_counts_need_a_place(spark, tmp_path):
+    (tmp_path / "a.log").write_text("x")
+    if not spark.conf.get("spark.checkpoint.dir", None):
+        with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+            read_raw(spark, str(tmp_path))
+
+
+def test_tampering_is_found_in_stored_nodes(spark, raw_table, tmp_path):
+    lines = [x for x in LINES if x]
+    for name, last in (("a", lines[-1]), ("b", "changed")):
+        write_tables(process(raw_table([*lines[:-1], last])), str(tmp_path / name), nodes=True)
+    a, b = (spark.read.parquet(str(tmp_path / n / "nodes")) for n in "ab")
+    assert "level" in a.columns and a.select("batch_id", "pos", "hash").count() == merkle_nodes(leaves(raw_table(lines))).count()
+    assert [(r.batch_id, r.pos) for r in tamper_locate(a, b).collect()] == [("b", len(lines) - 1)]
