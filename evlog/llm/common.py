@@ -85,8 +85,8 @@ def join_hot(left: DataFrame, right: DataFrame, key: str, count: str, total: int
     least = max(1, total // hot_share)
     values = [c for c in right.columns if c not in (key, count)]
     hot = right.filter(F.col(count) > least).select(F.col(key), F.struct(*values).alias("_hot"))
-    cold = right.filter(F.col(count) <= least).select(F.col(key).alias("_key"), F.lit(False).alias("_spread"), F.struct(*values).alias("_cold"))
+    cold = right.filter(F.col(count) <= least).select(F.col(key).alias("_cold_key"), F.lit(False).alias("_cold_only"), F.struct(*values).alias("_cold"))
     spread = F.col("_hot").isNotNull()
-    met = left.join(F.broadcast(hot), key, "left").withColumn("_k2", F.when(spread, F.xxhash64(*left.columns)).otherwise(F.col(key)))
-    met = met.withColumn("_s2", spread).join(cold, (F.col("_k2") == F.col("_key")) & (F.col("_s2") == F.col("_spread")), "left")
+    met = left.join(F.broadcast(hot), key, "left").withColumn("_dealt", F.when(spread, F.xxhash64(*left.columns).cast(left.schema[key].dataType)).otherwise(F.col(key)))
+    met = met.withColumn("_is_hot", spread).join(cold, (F.col("_dealt") == F.col("_cold_key")) & (F.col("_is_hot") == F.col("_cold_only")), "left")
     return met.select(*left.columns, *[F.coalesce(F.col("_hot")[v], F.col("_cold")[v]).alias(v) for v in values])

@@ -4,23 +4,64 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontaminate, packing, quality, simhash, substrings
-from .common import table
+from . import decontaminate, extract, language, neighbours, packing, quality, simhash, substrings, urlfilter, warc
+from .common import shared_folder, stored, table
+
+DAY, START, YEAR = 86_400, 1_704_067_200, 31_536_000
+
+
+def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page judged at its fetch time, which follows from its id, by two lists.
+
+    The tables hold no lists, so dated entries are made from all pages: a pattern of a page's URL gets an entry on the
+    page's day if the hash of pattern and day says so; further digits of it choose the list and the action.
+    """
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    captures = pages.withColumn("fetch_time", F.lit(START) + F.pmod(F.col("page_id") * 7919, F.lit(YEAR)))
+    seen = captures.select(F.explode(urlfilter.patterns_of(F.col("url"))).alias("pattern"), F.floor(F.col("fetch_time") / DAY).alias("day")).filter("day is not null").distinct()
+    digest = seen.withColumn("h", F.md5(F.concat_ws("#", "pattern", F.col("day").cast("string")))).filter(F.substring("h", 1, 1) < "4")
+    action = F.when(F.substring("h", 2, 1) < "8", urlfilter.BLOCK).when(F.substring("h", 2, 1) < "c", urlfilter.ALLOW).otherwise(urlfilter.REMOVE)
+    entries = digest.select(F.when(F.substring("h", 3, 1) < "8", "abuse").otherwise("brand").alias("list"), "pattern", action.alias("action"), (F.col("day") * DAY).alias("effective"))
+    return urlfilter.judge(captures, urlfilter.validity_intervals(entries))
+
+
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = shared_folder(spark)
+    warc.write_streams(table(spark, sf_dir, "pages"), f"{folder}/streams")
+    index = warc.normalise(spark, f"{folder}/streams", f"{folder}/archives")
+    records = stored(warc.read_members(index, with_payload=False).withColumn("page_id", F.col("page_id").cast("long")))
+    return warc.mark_revisits(records).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url")
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
 
+def op4_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return extract.extract(pages, extract.train(pages))
+
+
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per region of a document that repeats a passage of a benchmark item."""
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op6_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return neighbours.search(vectors, vectors.filter("vec_id % 100 = 0"))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), with_ids=False)
 
 
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    found = language.identify(docs.select("doc_id", "text"), language.train(docs))
+    return found.select("doc_id", (language.part_of("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = quality.train(docs, table(spark, sf_dir, "labels"))
@@ -35,9 +76,39 @@ def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op3_simhash, op5_decontaminate, op7_packing, op9_quality, op10_substrings)
+    for f in (
+        op1_url_filter, op2_warc, op3_simhash, op4_extract, op5_decontaminate, op6_neighbours, op7_packing, op8_language, op9_quality, op10_substrings,
+    )
 }
 
+OP1 = r"""
+WITH c AS (SELECT row_number() OVER () AS r, page_id, url, 1704067200 + (page_id * 7919) % 31536000 AS fetch_time FROM pages),
+ h AS (SELECT *, rtrim(lower(regexp_extract(coalesce(url, ''), '^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1)), '.') AS host,
+  list_filter(string_split(regexp_extract(coalesce(url, ''), '^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*([^?#]*)', 1), '/'), lambda s: s <> '') AS steps FROM c),
+ p AS (SELECT DISTINCT r, page_id, url, fetch_time, unnest(
+   list_transform(range(1, len(string_split(host, '.')) + 1), lambda i: array_to_string(list_slice(string_split(host, '.'), i, 1000000), '.'))
+   || list_transform(range(1, len(steps) + 1), lambda i: host || '/' || array_to_string(list_slice(steps, 1, i), '/'))) AS pattern FROM h WHERE host <> ''),
+ s AS (SELECT DISTINCT pattern, CAST(floor(fetch_time / 86400) AS BIGINT) AS day FROM p WHERE fetch_time IS NOT NULL),
+ e AS (SELECT pattern, day * 86400 AS effective, substr(m, 2, 1) AS a, CASE WHEN substr(m, 3, 1) < '8' THEN 'abuse' ELSE 'brand' END AS list
+  FROM (SELECT *, md5(pattern || '#' || day) AS m FROM s) x WHERE substr(m, 1, 1) < '4'),
+ v AS (SELECT *, lead(effective) OVER (PARTITION BY list, pattern ORDER BY effective) AS valid_to FROM e),
+ m AS (SELECT p.r, v.list, v.pattern, v.effective, CASE WHEN v.a < '8' THEN 'block' ELSE 'allow' END AS action
+  FROM p JOIN v ON p.pattern = v.pattern AND v.a < 'c' AND effective <= fetch_time AND (valid_to IS NULL OR fetch_time < valid_to)),
+ b AS (SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY r ORDER BY length(pattern) DESC, action, list, pattern) = 1)
+SELECT page_id, url, fetch_time, coalesce(action, 'none') AS verdict, list, pattern, effective AS valid_from FROM c LEFT JOIN b USING (r)
+"""
+
+OP2 = r"""
+WITH d AS (SELECT page_id, url, octet_length(encode(coalesce(html, ''))) AS n, sha1(coalesce(html, '')) AS h FROM pages),
+ r AS (SELECT *, min(page_id) OVER (PARTITION BY h, n) AS first FROM d)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes,
+ array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + CAST(
+  (((strpos('0123456789abcdef', substr(h, CAST(floor(5 * i / 4) AS INTEGER) + 1, 1)) - 1) * 16 + (strpos('0123456789abcdef', substr(h, CAST(floor(5 * i / 4) AS INTEGER) + 2, 1)) - 1))
+   >> (3 - CAST(5 * i % 4 AS INTEGER))) & 31 AS INTEGER), 1)), '') AS payload_digest,
+ CASE WHEN page_id IS DISTINCT FROM first AND first IS NOT NULL THEN 'revisit' ELSE 'response' END AS record_type,
+ CASE WHEN page_id IS DISTINCT FROM first THEN first END AS refers_to, url FROM r
+"""
+
 OP10 = r"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
  s AS (SELECT r, i, array_to_string(w[i:i + 34], ' ') AS win FROM (SELECT r, w, unnest(range(1, len(w) - 33)) AS i FROM d WHERE len(w) >= 35) x),
@@ -48,4 +119,4 @@ WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(regexp_extract_all
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - len(kept) AS BIGINT) AS n_removed, sha256(array_to_string(kept, ' ')) AS kept_sha256 FROM k
 """
 
-ORACLE = {"op10_substrings": OP10}
+ORACLE = {"op1_url_filter": OP1, "op2_warc": OP2, "op10_substrings": OP10}
