@@ -11,12 +11,12 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from .common import join_hot, stored
 
-#: Vectors that the codebooks are fitted on, most codewords of each half, share of distinct vectors that a query reranks, and at least.
-SAMPLE, CODEWORDS, SHARE, LEAST = 20_000, 256, 0.12, 4_000
-#: Distinct vectors that a cell should hold, which decides the number of codewords up to the above.
-CELL = 64
-#: Distinct vectors, and queries, of one cell that one task row holds.
-CHUNK, QUERY_CHUNK = 2_000, 500
+#: Vectors that codebooks and scanned share are fitted on, most codewords of each half, distinct vectors that a cell should hold.
+SAMPLE, CODEWORDS, CELL = 20_000, 256, 4
+#: Recall that the scanned share is fitted for, queries it is measured with, and entries that are scanned at least.
+RECALL, TRIALS, LEAST = 0.95, 300, 4_000
+#: Distinct vectors of a block of cells, which one task ranks: at least, and as a part of all; distances computed at once.
+CHUNK, BLOCKS, AT_ONCE = 2_000, 2_048, 2_000_000
 
 
 def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
@@ -66,18 +66,53 @@ def traverse(left: np.ndarray, right: np.ndarray, size: np.ndarray, enough: int)
     return cells
 
 
+def fitted_share(points: np.ndarray, books: tuple[np.ndarray, np.ndarray], k: int, recall: float, rng: np.random.Generator) -> float:
+    """Share of all entries that cells must hold to keep ``recall`` of the k nearest, measured by brute force on the sample."""
+    n, half = len(points), books[0].shape[1]
+    if n <= k + 1:
+        return 1.0
+    asked = rng.choice(n, min(TRIALS, n), replace=False)
+    far = distances(points[asked], points)
+    far[np.arange(len(asked)), asked] = np.inf
+    true = np.argpartition(far, k, axis=1)[:, :k]
+    cell = nearest(points[:, :half], books[0]) * len(books[1]) + nearest(points[:, half:], books[1])
+    size = np.bincount(cell, minlength=len(books[0]) * len(books[1]))
+    needed = []
+    for i, row in enumerate(asked):
+        left, right = distances(points[row : row + 1, :half], books[0])[0], distances(points[row : row + 1, half:], books[1])[0]
+        order = np.argsort((left[:, None] + right[None, :]).ravel(), kind="stable")
+        before = np.empty(len(order))
+        before[order] = np.cumsum(size[order]) - size[order]
+        needed.append(before[cell[true[i]]])
+    return float(min(1.0, (np.quantile(np.concatenate(needed), recall) + 1) / n))
+
+
+def laid_out(size: np.ndarray, chunk: int) -> tuple[np.ndarray, np.ndarray]:
+    """First block and number of blocks of each cell: neighbouring cells share a block, a large one gets several."""
+    first, parts = np.zeros(len(size), np.int64), np.maximum(1, -(-size // chunk))
+    block = held = 0
+    for cell, n in enumerate(size):
+        if held and (held + n > chunk):
+            block, held = block + 1, 0
+        first[cell] = block
+        held += n
+        if parts[cell] > 1:
+            block, held = block + parts[cell], 0
+    return first, parts
+
+
 def matrix(column, width: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, width) if len(column) else np.zeros((0, width))
 
 
-def search(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", most_codewords: int = CODEWORDS, share: float = SHARE, least: int = LEAST) -> DataFrame:
+def search(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", most_codewords: int = CODEWORDS, recall: float = RECALL, share: float | None = None, least: int = LEAST) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found for each row of ``queries`` (rows of the same table), itself left out.
 
     Each half of a vector is quantised by a codebook fitted on a bounded sample; all vectors are indexed by their pair of
     codewords. A query visits cells by growing summed distance until they hold ``share`` of the distinct vectors
     (``least`` at least), and the entries are ranked by their exact Euclidean distance in double precision, ties to
-    the smaller id. Equal vectors are one entry with its k + 1 smallest ids, which is all a query can return, so groups of
-    copies of any size cost one entry; large cells are dealt out in chunks.
+    the smaller id. Without a share, that which keeps ``recall`` on the sample is taken. Equal vectors are one entry with its k + 1 smallest ids, which is all a query can return, so groups of
+    copies of any size cost one entry; entries are ranked by blocks of cells, and large cells are dealt out to several.
     Rows with a null id, or a vector that is null, empty, zero, of another length than the most frequent, or has null or non-finite components take no part,
     on either side. A repeated query id is asked once for each different vector; rows repeating an id and vector are
     one candidate. Other columns are left out; without candidates there are no rows.
@@ -115,8 +150,10 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "v
     for r in cells:
         size[r["_cell"]] = r["count"]
     total = int(size.sum())
+    if share is None:
+        share = fitted_share(sampled, books, k, recall, rng)
     enough = min(total, max(least, int(np.ceil(share * total))))
-    chunks = np.maximum(1, -(-size // CHUNK))
+    first, parts = laid_out(size, max(CHUNK, total // BLOCKS))
 
     asked = usable(queries, id_col, vector_col).filter(F.size("_v") == dim).distinct()
     asked = asked.withColumn("_q", F.concat(F.hex(F.xxhash64("_v")), F.lit("."), F.hex(F.xxhash64("_v", F.lit(1)))))
@@ -128,44 +165,56 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "v
                 part = batch.slice(lo, 64)
                 v = matrix(part.column("_v"), dim)
                 left, right = distances(v[:, :half], books[0]), distances(v[:, half:], books[1])
-                row, cell, chunk = [], [], []
+                row, block, cells = [], [], []
                 for i in range(len(v)):
-                    for c in traverse(left[i], right[i], size, enough):
-                        for s in range(chunks[c]):
+                    visited = np.array(sorted(traverse(left[i], right[i], size, enough)), np.int32)
+                    at = first[visited]
+                    edge = np.flatnonzero(np.diff(at, prepend=-1, append=-1))
+                    for lo_, hi in zip(edge[:-1], edge[1:]):
+                        for s in range(int(parts[visited[lo_]])):  # a cell of several blocks is alone in each
                             row.append(i)
-                            cell.append(c)
-                            chunk.append(s)
-                at = pa.array(row, pa.int64())
-                yield pa.RecordBatch.from_arrays([part.column("_v").take(at), part.column("_q").take(at), part.column("_n").take(at), pa.array(cell, pa.int32()), pa.array(chunk, pa.int32())], names=["_v", "_q", "_n", "_cell", "_chunk"])
+                            block.append(int(at[lo_]) + s)
+                            cells.append(visited[lo_:hi])
+                take = pa.array(row, pa.int64())
+                yield pa.RecordBatch.from_arrays([part.column("_v").take(take), part.column("_q").take(take), part.column("_n").take(take), pa.array(block, pa.int32()), pa.array(cells, pa.list_(pa.int32()))], names=["_v", "_q", "_n", "_block", "_cells"])
+
+    probes = questions.mapInArrow(probe, "_v array<double>, _q string, _n long, _block int, _cells array<int>")
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cell = batch.column("_cell").to_numpy()
+            key = batch.column("_key").to_numpy().view(np.uint64)
+            block = first[cell] + (key % parts[cell].astype(np.uint64)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column("_v"), batch.column("_ids"), batch.column("_cell"), pa.array(block.astype(np.int32))], names=["_v", "_ids", "_cell", "_block"])
 
-    probes = questions.mapInArrow(probe, "_v array<double>, _q string, _n long, _cell int, _chunk int")
-    parts = F.create_map(*[F.lit(int(x)) for c in np.flatnonzero(chunks > 1) for x in (c, chunks[c])]) if (chunks > 1).any() else None
-    n_chunks = F.coalesce(parts[F.col("_cell")], F.lit(1)) if parts is not None else F.lit(1)
-    placed = entries.withColumn("_chunk", F.pmod(F.xxhash64("_key", F.lit(1)), n_chunks).cast("int")).select("_v", "_ids", "_cell", "_chunk")
+    placed = entries.mapInArrow(place, f"_v array<double>, _ids array<{id_type}>, _cell int, _block int")
 
     def rank(left: pa.Table, right: pa.Table) -> pa.Table:
-        """The k + 1 nearest entries of one chunk for each of its queries."""
-        entry, ids = matrix(right.column("_v").combine_chunks(), dim), right.column("_ids").combine_chunks()
-        question = matrix(left.column("_v").combine_chunks(), dim)
+        """The nearest entries of one block for each of its queries, among the cells that the query visits."""
+        entry, ids, cell = matrix(right.column("_v").combine_chunks(), dim), right.column("_ids").combine_chunks(), right.column("_cell").to_numpy()
+        question, cells = matrix(left.column("_v").combine_chunks(), dim), left.column("_cells").combine_chunks()
         owner, found, score = [], [], []
-        if len(entry):
-            for lo in range(0, len(question), QUERY_CHUNK):
-                part = question[lo : lo + QUERY_CHUNK]
-                rough = distances(part, entry)
-                if rough.shape[1] > 2 * k + 2:  # rounding may swap close ones: take a few more, then measure exactly
-                    top = np.argpartition(rough, 2 * k + 1, axis=1)[:, : 2 * k + 2]
-                else:
-                    top = np.tile(np.arange(rough.shape[1]), (len(part), 1))
-                exact = np.sqrt(((entry[top] - part[:, None, :]) ** 2).sum(axis=2))
-                owner.append(np.repeat(np.arange(lo, lo + len(part)), top.shape[1]))
-                found.append(top.ravel())
-                score.append(exact.ravel())
+        here, local = np.unique(cell, return_inverse=True)
+        step = max(1, AT_ONCE // max(1, len(entry)))
+        for lo in range(0, len(question) if len(entry) else 0, step):
+            part = question[lo : lo + step]
+            visited = np.zeros((len(part), len(here)), bool)
+            for i in range(len(part)):
+                visited[i] = np.isin(here, cells[lo + i].values.to_numpy())
+            rough = np.where(visited[:, local], distances(part, entry), np.inf)
+            width = min(rough.shape[1], 2 * k + 2)  # rounding may swap close ones: take a few more, then measure exactly
+            top = np.argpartition(rough, width - 1, axis=1)[:, :width]
+            real = np.isfinite(np.take_along_axis(rough, top, 1))
+            exact = np.sqrt(((entry[top] - part[:, None, :]) ** 2).sum(axis=2))
+            owner.append(np.repeat(np.arange(lo, lo + len(part)), width)[real.ravel()])
+            found.append(top[real])
+            score.append(exact[real])
         owner, found = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (owner, found))
         score = np.concatenate([np.zeros(0), *score])
         owner = pa.array(owner)
         return pa.table({"_q": left.column("_q").combine_chunks().take(owner), "_n": left.column("_n").combine_chunks().take(owner), "score": score, "_ids": ids.take(pa.array(found))})
 
-    near = probes.groupBy("_cell", "_chunk").cogroup(placed.groupBy("_cell", "_chunk")).applyInArrow(rank, f"_q string, _n long, score double, _ids array<{id_type}>")
+    near = probes.groupBy("_block").cogroup(placed.groupBy("_block")).applyInArrow(rank, f"_q string, _n long, score double, _ids array<{id_type}>")
     single = near.select("_q", "_n", "score", F.explode("_ids").alias("vec_id"))
     ordered = Window.partitionBy("_q").orderBy("score", "vec_id")
     best = single.withColumn("_r", F.row_number().over(ordered)).filter(F.col("_r") <= k + 1).groupBy("_q", "_n").agg(F.array_sort(F.collect_list(F.struct("score", "vec_id"))).alias("_best"))

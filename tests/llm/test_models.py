@@ -129,7 +129,7 @@ def as_lists(rows):
 def test_recall_against_brute_force(spark):
     vectors = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").select("vec_id", "embedding")
     rows = [(r.vec_id, r.embedding) for r in vectors.collect()]
-    got = as_lists(neighbours.search(vectors, vectors.filter("vec_id % 100 = 0"), least=400).collect())
+    got = as_lists(neighbours.search(vectors, vectors.filter("vec_id % 100 = 0"), least=50).collect())
     want = exact(rows, {i for i, _ in rows if i % 100 == 0})
     assert set(got) == set(want) and all(len(x) == 10 for x in got.values())
     recall = np.mean([len({i for i, _ in got[q]} & {i for i, _ in want[q]}) / 10 for q in want])
