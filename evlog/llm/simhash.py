@@ -202,11 +202,12 @@ def links(prints: DataFrame, total: int, radius: int = RADIUS, shard: int = SHAR
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), g << 20 | leaf, np.int32)), pa.array(values[rows].view(np.int64)), pa.array(home)], names=["leaf", "_fp", "home"])
 
     routed = prints.mapInArrow(route, "leaf int, _fp long, home boolean")
-    if total > 2 * shard:  # at most 4 * 2 ** depth leaves: the table of the large ones is small
-        sizes = routed.groupBy("leaf").count()
-        large = {r["leaf"]: -(-r["count"] // (2 * shard)) for r in sizes.filter(F.col("count") > 4 * shard).collect()}
-    else:
-        large = {}
+    # leaves that hold far more than the others are told by the sample; that steers the size of tasks only
+    held: dict[int, float] = {}
+    for g, (shift, width, near) in enumerate(groups):
+        for leaf, rows, _ in visits(trees[g], depth, sampled >> np.uint64(shift) & np.uint64((1 << width) - 1), near) if depth else ():
+            held[g << 20 | leaf] = len(rows) * total / len(sampled)
+    large = {leaf: int(-(-n // (2 * shard))) for leaf, n in held.items() if n > 4 * shard}
     if large:
         blocks = F.coalesce(F.create_map(*[F.lit(x) for kv in large.items() for x in kv])[F.col("leaf")], F.lit(1))
         own = F.pmod(F.xxhash64("_fp", F.lit(1)), F.col("_n")).cast("int")
