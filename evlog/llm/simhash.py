@@ -11,52 +11,77 @@ from pyspark.sql import DataFrame, functions as F
 from .common import join_hot, row_key, stored, texts_of
 
 SHINGLE, RADIUS = 4, 4
-#: Fingerprints that one shard should hold, and the most that the trees are fitted on.
-SHARD, SAMPLE = 40_000, 20_000
+#: Wide fingerprints have four words; they tell how similar two texts are, not only that they are almost equal: at a Jaccard
+#: similarity of 0.8 two texts differ in 39 of 256 bits on average (2 J / (1 + J) is the cosine, its angle the share of bits).
+WIDE_WORDS, WIDE_RADIUS, WIDE_SHINGLE = 4, 40, 5
+#: Bits of a group, each of which has a tree; prints that a shard should hold; most prints that the trees are fitted on.
+GROUP, SHARD, SAMPLE = 16, 40_000, 20_000
 PAIRS_AT_ONCE = 1 << 20
-ONE = np.uint64(1)
 
 
 # ---- fingerprints ---------------------------------------------------------------------------------------------------
 
 
-def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
-    """Unsigned fingerprint of a whole text: a bit is set if it is set in over half of the shingles' hashes."""
+def fingerprint(text: str | None, shingle: int = SHINGLE, words: int = 1) -> bytes:
+    """Little-endian fingerprint of a whole text, 64 bits a word: a bit is set if it is set in over half of the shingles' hashes."""
     import xxhash
 
-    words = (text or "").encode("utf-8", "replace").lower().split()  # bytes: only A-Z, and only ASCII white space
-    if not words:
-        return 0
-    grams = [b" ".join(words[i : i + shingle]) for i in range(max(1, len(words) - shingle + 1))]
-    hashes = np.fromiter((xxhash.xxh64_intdigest(g, 42) for g in grams), np.dtype("<u8"), len(grams))
-    counts = np.zeros(64, np.int64)
-    for at in range(0, len(hashes), 1 << 16):
-        bits = np.unpackbits(hashes[at : at + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        counts += bits.sum(axis=0, dtype=np.int64)
-    return int(np.packbits(counts * 2 > len(hashes), bitorder="little").view("<u8")[0])
-
-
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """id, _row (key of the row's id and text) and _fp (the fingerprint's bits as a signed long)."""
+    tokens = (text or "").encode("utf-8", "replace").lower().split()  # bytes: only A-Z, and only ASCII white space
+    if not tokens:
+        return bytes(8 * words)
+    grams = [b" ".join(tokens[i : i + shingle]) for i in range(max(1, len(tokens) - shingle + 1))]
+    counts = np.zeros(64 * words, np.int64)
+    for at in range(0, len(grams), 1 << 15):
+        part = grams[at : at + (1 << 15)]
+        if words == 1:
+            hashes = np.fromiter((xxhash.xxh64_intdigest(g, 42) for g in part), np.dtype("<u8"), len(part)).view(np.uint8)
+        else:
+            hashes = np.frombuffer(b"".join([xxhash.xxh3_128_digest(g, seed) for g in part for seed in range(words // 2)]), np.uint8)
+        counts += np.unpackbits(hashes.reshape(len(part), 8 * words), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return np.packbits(counts * 2 > len(grams), bitorder="little").tobytes()
+
+
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, words: int = 1) -> DataFrame:
+    """id, _row (key of the row's id and text), _bits (the fingerprint) and _fp: its bits as a long, or of wide ones a hash."""
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
         for batch in batches:
-            prints = np.fromiter((fingerprint(t, shingle) for t in texts_of(batch, text_col)), np.uint64, batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column(id_col), batch.column("_row"), pa.array(prints.view(np.int64))], names=[id_col, "_row", "_fp"])
+            bits = [fingerprint(t, shingle, words) for t in texts_of(batch, text_col)]
+            fp = [int.from_bytes(b, "little") if words == 1 else xxhash.xxh3_64_intdigest(b) for b in bits]
+            names = [id_col, "_row", "_bits", "_fp"]
+            yield pa.RecordBatch.from_arrays([batch.column(id_col), batch.column("_row"), pa.array(bits, pa.binary()), pa.array(np.array(fp, np.uint64).view(np.int64))], names=names)
 
     rows = docs.select(id_col, text_col, row_key(id_col, text_col).alias("_row"))
-    return rows.mapInArrow(compute, f"{id_col} {id_type}, _row long, _fp long")
+    return rows.mapInArrow(compute, f"{id_col} {id_type}, _row long, _bits binary, _fp long")
+
+
+def words_of(column: pa.Array, words: int) -> np.ndarray:
+    """Fingerprints as rows of 64-bit words."""
+    return np.frombuffer(b"".join(column.to_pylist()), "<u8").reshape(-1, words)
+
+
+def apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Differing bits of fingerprints, word by word."""
+    total = np.bitwise_count(a[..., 0] ^ b[..., 0]).astype(np.int16)
+    for w in range(1, a.shape[-1]):
+        total += np.bitwise_count(a[..., w] ^ b[..., w])
+    return total
 
 
 # ---- vantage-point trees ----------------------------------------------------------------------------------------------
 
 
-def groups_of(radius: int, bits: int = 64) -> list[tuple[int, int, int]]:
-    """(shift, width, radius) of bit groups: two prints within the radius lie within the group's radius in some group."""
-    n = 4 if radius >= 4 else max(1, radius)
-    width = bits // n
-    return [(g * width, width, radius // n) for g in range(n)]
+def group_values(prints: np.ndarray, group: int) -> np.ndarray:
+    """The bits of one group of each print.
+
+    Of g groups, two prints that differ in at most 2 g - 1 bits differ in at most one bit of some group: 7 of 64 bits, 31 of
+    256. Beyond that a pair may be missed, if every group differs in two bits: for 40 of 256 bits about one pair in 200.
+    """
+    per_word = 64 // GROUP
+    return prints[:, group // per_word] >> np.uint64(GROUP * (group % per_word)) & np.uint64((1 << GROUP) - 1)
 
 
 def grow(values: np.ndarray, depth: int, rng: np.random.Generator) -> list[tuple[int, int]]:
@@ -120,18 +145,14 @@ class Parts:
                 self.label = up
 
 
-def linked(prints: np.ndarray, home: np.ndarray, shift: int, width: int, group_radius: int, radius: int) -> np.ndarray:
-    """Component label of each print of a shard. Compared are those whose group values lie within the group's radius."""
-    mask = np.uint64((1 << width) - 1)
-    values = prints >> np.uint64(shift) & mask
+def linked(prints: np.ndarray, home: np.ndarray, group: int, radius: int) -> np.ndarray:
+    """Component label of each print of a shard. Compared are those whose group values differ in one bit at most."""
+    values = group_values(prints, group)
     order = np.argsort(values, kind="stable")
     prints, values, home = prints[order], values[order], home[order]
     keys, first, size = np.unique(values, return_index=True, return_counts=True)
     parts = Parts(len(prints))
-    masks = [0] + [1 << b for b in range(width)] * (group_radius >= 1)
-    if group_radius > 1:
-        raise ValueError("groups with a radius over 1 are not implemented")
-    for flip in masks:
+    for flip in [0, *(1 << b for b in range(GROUP))]:
         other = keys ^ np.uint64(flip)
         at = np.searchsorted(keys, other)
         found = at < len(keys)
@@ -153,7 +174,9 @@ def linked(prints: np.ndarray, home: np.ndarray, shift: int, width: int, group_r
             which = np.repeat(np.arange(lo, hi), w)
             k = np.arange(w.sum()) - np.repeat(np.cumsum(w) - w, w)
             x, y = first[a[which]] + k // size[b[which]], first[b[which]] + k % size[b[which]]
-            near = (np.bitwise_count(prints[x] ^ prints[y]) <= radius) & (home[x] | home[y]) & (x != y)
+            some = (home[x] | home[y]) & (x < y if flip == 0 else True)
+            x, y = x[some], y[some]
+            near = apart(prints[x], prints[y]) <= radius
             parts.join(x[near], y[near])
     label = np.empty(len(order), np.int64)
     label[order] = order[parts.label]
@@ -170,43 +193,43 @@ def link_blocks(prints: np.ndarray, parts: Parts, a: np.ndarray, b: np.ndarray,
         at += len(rows)
         labels = np.unique(parts.label[rows])
         rest = b[parts.label[b] != labels[0]] if len(labels) == 1 else b
-        for lo in range(0, len(rest), PAIRS_AT_ONCE // block):
-            cols = rest[lo : lo + PAIRS_AT_ONCE // block]
-            x, y = np.nonzero(np.bitwise_count(prints[rows][:, None] ^ prints[cols][None, :]) <= radius)
+        for lo in range(0, len(rest), max(1, PAIRS_AT_ONCE // block)):
+            cols = rest[lo : lo + max(1, PAIRS_AT_ONCE // block)]
+            x, y = np.nonzero(apart(prints[rows][:, None, :], prints[cols][None, :, :]) <= radius)
             parts.join(rows[x], cols[y])
 
 
 # ---- the whole table --------------------------------------------------------------------------------------------------------
 
 
-def links(prints: DataFrame, total: int, radius: int = RADIUS, shard: int = SHARD, sample: int = SAMPLE) -> DataFrame:
-    """Links (a, b) between distinct prints ``_fp``: a forest per shard whose components are those of all near pairs.
+def links(prints: DataFrame, total: int, radius: int = RADIUS, words: int = 1, shard: int = SHARD, sample: int = SAMPLE) -> DataFrame:
+    """Links (a, b) between distinct prints (_fp, _bits): a forest per shard whose components are those of all near pairs.
 
-    A pair within the radius lies within a quarter of it in one of four bit groups. Each group has a vantage-point tree,
+    A near pair differs in one bit at most of some group of bits (``group_values``). Each group has a vantage-point tree,
     fitted on a bounded sample; a print goes to its own leaf and to those its ball reaches. A leaf with far more
     prints than ``shard`` is cut into blocks, and each pair of blocks is a task of its own.
     """
-    spark = prints.sparkSession
-    depth = max(0, int(np.ceil(np.log2(max(1, total) / shard))))
-    depth = min(depth, 14)
+    depth = min(14, max(0, int(np.ceil(np.log2(max(1, total) / shard)))))
     some = prints.orderBy(F.xxhash64("_fp")).limit(sample) if depth else prints.limit(1)
-    sampled = np.array([r[0] for r in some.collect()], np.int64).view(np.uint64)
-    groups, rng = groups_of(radius), np.random.default_rng(7)
-    trees = [grow(sampled >> np.uint64(s) & np.uint64((1 << w) - 1), depth, rng) for s, w, _ in groups]
+    rows = [bytes(r[0]) for r in some.select("_bits").collect()]
+    sampled, groups, rng = np.frombuffer(b"".join(rows), "<u8").reshape(-1, words), 64 * words // GROUP, np.random.default_rng(7)
+    trees = [grow(group_values(sampled, g), depth, rng) for g in range(groups)]
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            values = batch.column("_fp").to_numpy(zero_copy_only=False).view(np.uint64)
-            for g, (shift, width, near) in enumerate(groups):
-                for leaf, rows, home in visits(trees[g], depth, values >> np.uint64(shift) & np.uint64((1 << width) - 1), near):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), g << 20 | leaf, np.int32)), pa.array(values[rows].view(np.int64)), pa.array(home)], names=["leaf", "_fp", "home"])
-
-    routed = prints.mapInArrow(route, "leaf int, _fp long, home boolean")
+            found = words_of(batch.column("_bits"), words)
+            for g in range(groups):
+                for leaf, at, home in visits(trees[g], depth, group_values(found, g), 1):
+                    take = pa.array(at)
+                    columns = [pa.array(np.full(len(at), g << 20 | leaf, np.int32)), batch.column("_fp").take(take), batch.column("_bits").take(take), pa.array(home)]
+                    yield pa.RecordBatch.from_arrays(columns, names=["leaf", "_fp", "_bits", "home"])
+
+    routed = prints.select("_fp", "_bits").mapInArrow(route, "leaf int, _fp long, _bits binary, home boolean")
     # leaves that hold far more than the others are told by the sample; that steers the size of tasks only
     held: dict[int, float] = {}
-    for g, (shift, width, near) in enumerate(groups):
-        for leaf, rows, _ in visits(trees[g], depth, sampled >> np.uint64(shift) & np.uint64((1 << width) - 1), near) if depth else ():
-            held[g << 20 | leaf] = len(rows) * total / len(sampled)
+    for g in range(groups if depth else 0):
+        for leaf, at, _ in visits(trees[g], depth, group_values(sampled, g), 1):
+            held[g << 20 | leaf] = len(at) * total / len(sampled)
     large = {leaf: int(-(-n // (2 * shard))) for leaf, n in held.items() if n > 4 * shard}
     if large:
         blocks = F.coalesce(F.create_map(*[F.lit(x) for kv in large.items() for x in kv])[F.col("leaf")], F.lit(1))
@@ -217,13 +240,13 @@ def links(prints: DataFrame, total: int, radius: int = RADIUS, shard: int = SHAR
         routed = routed.withColumn("pair", F.lit(0))
 
     def search(key: tuple, rows: pa.Table) -> pa.Table:
-        shift, width, near = groups[key[0].as_py() >> 20]
-        values = rows.column("_fp").to_numpy().view(np.uint64)
-        label = linked(values, rows.column("home").to_numpy(zero_copy_only=False).astype(bool), shift, width, near, radius)
+        rows = rows.combine_chunks()
+        fp = rows.column("_fp").to_numpy()
+        label = linked(words_of(rows.column("_bits"), words), rows.column("home").to_numpy(zero_copy_only=False).astype(bool), key[0].as_py() >> 20, radius)
         other = label != np.arange(len(label))
-        return pa.table({"a": values[other].view(np.int64), "b": values[label[other]].view(np.int64)})
+        return pa.table({"a": fp[other], "b": fp[label[other]]})
 
-    return routed.select("leaf", "pair", "_fp", "home").groupBy("leaf", "pair").applyInArrow(search, "a long, b long").distinct()
+    return routed.select("leaf", "pair", "_fp", "_bits", "home").groupBy("leaf", "pair").applyInArrow(search, "a long, b long").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -248,30 +271,34 @@ def components(edges: DataFrame) -> DataFrame:
         now = small.unionByName(low.select("u", F.col("m").alias("v"))).distinct()
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
-    """id, _row, fingerprint (16 hex digits), component_id and _root (its key) of every row of ``docs``.
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, radius: int = RADIUS, words: int = 1) -> DataFrame:
+    """id, _row, fingerprint (16 hex digits a word), component_id and _root (its key) of every row of ``docs``.
 
     Fingerprints within ``radius`` bits are linked; component_id is the smallest id of all rows reachable. Equal
     fingerprints are one node, so groups of copies cost no pairs. A null or wordless text has fingerprint zero, linked
     like any other. Rows with a null id take part and get the smallest other id of their component (null if there is
     none); repeated rows are each returned; other columns are left out; an empty table gives no rows.
     """
-    rows = stored(fingerprints(docs, id_col, text_col, shingle))
-    prints = stored(rows.groupBy("_fp").agg(F.min(id_col).alias("_least"), F.count("*").alias("_n")))
+    rows = stored(fingerprints(docs, id_col, text_col, shingle, words))
+    prints = stored(rows.groupBy("_fp", "_bits").agg(F.min(id_col).alias("_least"), F.count("*").alias("_n")))
     total, documents = prints.agg(F.count("*"), F.coalesce(F.sum("_n"), F.lit(0))).first()
-    roots = components(links(prints.select("_fp"), total, radius))
+    roots = components(links(prints, total, radius, words))
     labelled = prints.join(roots, F.col("_fp") == F.col("node"), "left").withColumn("_root", F.coalesce("root", "_fp")).drop("node", "root")
     least = labelled.groupBy("_root").agg(F.min("_least").alias("component_id"))
     labelled = stored(labelled.join(least, "_root").select("_fp", "_n", "_root", "component_id"))
     grouped = join_hot(rows, labelled, "_fp", "_n", documents)
-    return grouped.select(id_col, "_row", F.lower(F.lpad(F.hex("_fp"), 16, "0")).alias("fingerprint"), "component_id", "_root")
+    fingerprint_text = F.lower(F.lpad(F.hex("_fp"), 16, "0")) if words == 1 else F.lower(F.hex("_bits"))
+    return grouped.select(id_col, "_row", fingerprint_text.alias("fingerprint"), "component_id", "_root")
+
 
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = WIDE_SHINGLE, radius: int = WIDE_RADIUS, words: int = WIDE_WORDS) -> DataFrame:
+    """The rows of ``docs``, one of each component: that with the smallest id (null ids last), and of repeated rows one.
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of ``docs``, one of each component: that with the smallest id (null ids last), and of repeated rows one."""
-    found = near_duplicates(docs, id_col, text_col, **options)
+    By default texts with a similarity of about 0.8 of their five-word shingles are linked, told by wide fingerprints.
+    """
+    found = near_duplicates(docs, id_col, text_col, shingle, radius, words)
     rank = F.struct(F.col(id_col).isNull(), F.col(id_col), F.col("_row"))
-    best = found.groupBy("_root").agg(F.min(rank).alias("_best")).select(F.col("_best._row").alias("_row"), F.lit(1).alias("_kept")).distinct()
+    best = found.groupBy("_root").agg(F.min(rank).alias("_best")).select(F.col("_best._row").alias("_row")).distinct()
     kept = docs.withColumn("_row", row_key(id_col, text_col)).join(best, "_row", "left_semi")
     repeated = found.groupBy("_row").count().filter("count > 1").select("_row", F.lit(True).alias("_again"))
     kept = kept.join(repeated, "_row", "left")

@@ -82,7 +82,7 @@ def test_near_duplicates(spark, rows):
 
 def test_fingerprint_matches_its_definition():
     for _, text in ODD + corpus(4, 20):
-        assert simhash.fingerprint(text) == plain_print(text)
+        assert int.from_bytes(simhash.fingerprint(text), "little") == plain_print(text)
 
 
 @pytest.mark.parametrize("shard", [8, 50])
@@ -105,7 +105,7 @@ def test_trees_and_blocks_lose_no_pair(spark, shard):
     want = simhash.Parts(len(prints))
     a, b = np.nonzero(near)
     want.join(a, b)
-    df = spark.createDataFrame([(int(p),) for p in prints.view(np.int64)], "_fp long")
+    df = spark.createDataFrame([(int(p), p.tobytes()) for p in prints.view(np.int64)], "_fp long, _bits binary")
     edges = simhash.links(df, len(prints), shard=shard)
     roots = {r.node: r.root for r in simhash.components(edges).collect()}
     got = [roots.get(int(p), int(p)) for p in prints.view(np.int64)]
@@ -117,13 +117,31 @@ def test_large_buckets_are_linked_in_blocks(monkeypatch):
     monkeypatch.setattr(simhash, "PAIRS_AT_ONCE", 64)
     rng = np.random.default_rng(5)
     prints = np.unique(rng.integers(0, 1 << 10, 400, dtype=np.uint64) << np.uint64(40))
-    label = simhash.linked(prints, np.ones(len(prints), bool), 0, 16, 1, 4)
+    label = simhash.linked(prints[:, None], np.ones(len(prints), bool), 0, 4)
     near = np.bitwise_count(prints[:, None] ^ prints[None, :]) <= 4
     want = simhash.Parts(len(prints))
     want.join(*np.nonzero(near))
     assert len(set(label)) == len(set(want.label))
 
 
+def test_wide_prints_tell_similarity(spark):
+    """Similar texts are linked and others are not, with room on either side of the threshold."""
+    rng = random.Random(9)
+    rows, near = [], []
+    for i in range(60):
+        words = [f"w{rng.randrange(3000)}" for _ in range(300)]
+        rows.append((10 * i, " ".join(words)))
+        for k, changes in enumerate((2, 6, 40)):  # each changed word touches five shingles: similarities 0.93, 0.82 and 0.2
+            changed = list(words)
+            for at in rng.sample(range(0, 300, 5), changes):
+                changed[at] = f"x{rng.randrange(10**6)}"
+            rows.append((10 * i + k + 1, " ".join(changed)))
+        near.append(10 * i)
+    found = {r.doc_id: r.component_id for r in simhash.near_duplicates(docs_of(spark, rows), shingle=5, radius=simhash.WIDE_RADIUS, words=4).collect()}
+    assert all(found[d + 1] == d for d in near) and sum(found[d + 2] == d for d in near) > 40
+    assert all(found[d + 3] == d + 3 for d in near) and all(found[d] == d for d in near)
+
+
 def test_components_of_a_long_chain_and_a_star(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 60)] + [(7, 7)]
     roots = {r.node: r.root for r in simhash.components(spark.createDataFrame(edges, "a long, b long")).collect()}
