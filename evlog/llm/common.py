@@ -1,4 +1,4 @@
-"""Helpers that several operators share."""
+"""Helpers that several operators share. Columns whose names start with ``_llm`` are their own, for the time of a join."""
 
 from __future__ import annotations
 
@@ -84,9 +84,9 @@ def join_hot(left: DataFrame, right: DataFrame, key: str, count: str, total: int
     """
     least = max(1, total // hot_share)
     values = [c for c in right.columns if c not in (key, count)]
-    hot = right.filter(F.col(count) > least).select(F.col(key), F.struct(*values).alias("_hot"))
-    cold = right.filter(F.col(count) <= least).select(F.col(key).alias("_cold_key"), F.lit(False).alias("_cold_only"), F.struct(*values).alias("_cold"))
-    spread = F.col("_hot").isNotNull()
-    met = left.join(F.broadcast(hot), key, "left").withColumn("_dealt", F.when(spread, F.xxhash64(*left.columns).cast(left.schema[key].dataType)).otherwise(F.col(key)))
-    met = met.withColumn("_is_hot", spread).join(cold, (F.col("_dealt") == F.col("_cold_key")) & (F.col("_is_hot") == F.col("_cold_only")), "left")
-    return met.select(*left.columns, *[F.coalesce(F.col("_hot")[v], F.col("_cold")[v]).alias(v) for v in values])
+    hot = right.filter(F.col(count) > least).select(F.col(key), F.struct(*values).alias("_llm_hot"))
+    cold = right.filter(F.col(count) <= least).select(F.col(key).alias("_llm_cold_key"), F.lit(False).alias("_llm_cold_only"), F.struct(*values).alias("_llm_cold"))
+    spread = F.col("_llm_hot").isNotNull()
+    met = left.join(F.broadcast(hot), key, "left").withColumn("_llm_dealt", F.when(spread, F.xxhash64(*left.columns).cast(left.schema[key].dataType)).otherwise(F.col(key)))
+    met = met.withColumn("_llm_is_hot", spread).join(cold, (F.col("_llm_dealt") == F.col("_llm_cold_key")) & (F.col("_llm_is_hot") == F.col("_llm_cold_only")), "left")
+    return met.select(*left.columns, *[F.coalesce(F.col("_llm_hot")[v], F.col("_llm_cold")[v]).alias(v) for v in values])

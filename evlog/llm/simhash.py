@@ -298,9 +298,9 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
     """
     found = near_duplicates(docs, id_col, text_col, shingle, radius, words)
     rank = F.struct(F.col(id_col).isNull(), F.col(id_col), F.col("_row"))
-    best = found.groupBy("_root").agg(F.min(rank).alias("_best")).select(F.col("_best._row").alias("_row")).distinct()
-    kept = docs.withColumn("_row", row_key(id_col, text_col)).join(best, "_row", "left_semi")
-    repeated = found.groupBy("_row").count().filter("count > 1").select("_row", F.lit(True).alias("_again"))
-    kept = kept.join(repeated, "_row", "left")
-    one = kept.filter(F.col("_again").isNull()).unionByName(kept.filter(F.col("_again")).dropDuplicates(["_row"]))
-    return one.drop("_row", "_again")
+    best = found.groupBy("_root").agg(F.min(rank).alias("_best")).select(F.col("_best._row").alias("_llm_row")).distinct()
+    kept = docs.withColumn("_llm_row", row_key(id_col, text_col)).join(best, "_llm_row", "left_semi")
+    repeated = found.groupBy("_row").count().filter("count > 1").select(F.col("_row").alias("_llm_row"), F.lit(True).alias("_llm_again"))
+    kept = kept.join(repeated, "_llm_row", "left")
+    one = kept.filter(F.col("_llm_again").isNull()).unionByName(kept.filter(F.col("_llm_again")).dropDuplicates(["_llm_row"]))
+    return one.select(docs.columns)

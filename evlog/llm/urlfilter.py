@@ -55,18 +55,18 @@ def judge(captures: DataFrame, intervals: DataFrame, url_col: str = "url", time_
     Repeated rows and other columns stay; columns named as the results are replaced; empty tables are no special case.
     """
     results = ["verdict", "list", "pattern", "valid_from"]
-    rows = captures.drop(*results).withColumn("_key", F.concat_ws(" ", F.col(time_col).cast("string"), url_col))
-    once = rows.select("_key", F.col(url_col).alias("_url"), F.col(time_col).cast("long").alias("_time")).dropna().groupBy("_key", "_url", "_time").agg(F.count("*").alias("_n"))
-    asked = once.select("_key", "_n", "_time", F.floor(F.col("_time") / bucket).alias("_bucket"), F.explode(patterns_of(F.col("_url"))).alias("pattern"))
+    rows = captures.drop(*results).withColumn("_llm_key", F.concat_ws(" ", F.col(time_col).cast("string"), url_col))
+    once = rows.select("_llm_key", F.col(url_col).alias("_llm_url"), F.col(time_col).cast("long").alias("_llm_time")).dropna().groupBy("_llm_key", "_llm_url", "_llm_time").agg(F.count("*").alias("_llm_n"))
+    asked = once.select("_llm_key", "_llm_n", "_llm_time", F.floor(F.col("_llm_time") / bucket).alias("_llm_bucket"), F.explode(patterns_of(F.col("_llm_url"))).alias("pattern"))
     reach = captures.agg(F.min(F.col(time_col).cast("long")).alias("first"), F.max(F.col(time_col).cast("long")).alias("last"), F.count("*").alias("n")).first()
     first, last = reach["first"] or 0, reach["last"] or 0
     start = F.greatest(F.col("valid_from"), F.lit(first))
     end = F.least(F.coalesce(F.col("valid_to") - 1, F.lit(last)), F.lit(last))
-    spread = intervals.filter(start <= end).withColumn("_bucket", F.explode(F.sequence(F.floor(start / bucket), F.floor(end / bucket))))
-    active = (F.col("valid_from") <= F.col("_time")) & (F.col("valid_to").isNull() | (F.col("_time") < F.col("valid_to")))
-    met = asked.join(spread, ["pattern", "_bucket"]).filter(active)
+    spread = intervals.filter(start <= end).withColumn("_llm_bucket", F.explode(F.sequence(F.floor(start / bucket), F.floor(end / bucket))))
+    active = (F.col("valid_from") <= F.col("_llm_time")) & (F.col("valid_to").isNull() | (F.col("_llm_time") < F.col("valid_to")))
+    met = asked.join(spread, ["pattern", "_llm_bucket"]).filter(active)
     # one number ranks an entry by length and action; of equals the smallest list name decides
     rank = F.length("pattern") * 2 + F.when(F.col("action") == ALLOW, 1).otherwise(0)
-    best = met.groupBy("_key", "_n").agg(F.min(F.struct((-rank).alias("rank"), "list", "pattern", "action", "valid_from")).alias("_best"))
-    found = join_hot(rows, best, "_key", "_n", reach["n"])
-    return found.select(*captures.drop(*results).columns, F.coalesce("_best.action", F.lit("none")).alias("verdict"), F.col("_best.list").alias("list"), F.col("_best.pattern").alias("pattern"), F.col("_best.valid_from").alias("valid_from"))
+    best = met.groupBy("_llm_key", "_llm_n").agg(F.min(F.struct((-rank).alias("rank"), "list", "pattern", "action", "valid_from")).alias("_llm_best"))
+    found = join_hot(rows, best, "_llm_key", "_llm_n", reach["n"])
+    return found.select(*captures.drop(*results).columns, F.coalesce("_llm_best.action", F.lit("none")).alias("verdict"), F.col("_llm_best.list").alias("list"), F.col("_llm_best.pattern").alias("pattern"), F.col("_llm_best.valid_from").alias("valid_from"))

@@ -221,7 +221,7 @@ def mark_revisits(records: DataFrame, id_col: str = "page_id", at_least: int | C
     payloads that only records without id have, and further rows with the smallest id itself, are responses.
     """
     long = records.filter(F.col("payload_bytes") >= at_least)
-    groups = long.groupBy("payload_digest").agg(F.count("*").alias("_n"), F.min(id_col).alias("_first")).filter("_n > 1")
-    met = join_hot(records, groups, "payload_digest", "_n", records.count())
-    other = (F.col("payload_bytes") >= at_least) & F.col("_first").isNotNull() & ~F.col(id_col).eqNullSafe(F.col("_first"))
-    return met.withColumn("record_type", F.when(other, "revisit").otherwise("response")).withColumn("refers_to", F.when(other, F.col("_first"))).drop("_first")
+    groups = long.groupBy("payload_digest").agg(F.count("*").alias("_llm_n"), F.min(id_col).alias("_llm_first")).filter("_llm_n > 1")
+    met = join_hot(records, groups, "payload_digest", "_llm_n", records.count())
+    other = (F.col("payload_bytes") >= at_least) & F.col("_llm_first").isNotNull() & ~F.col(id_col).eqNullSafe(F.col("_llm_first"))
+    return met.withColumn("record_type", F.when(other, "revisit").otherwise("response")).withColumn("refers_to", F.when(other, F.col("_llm_first"))).drop("_llm_first")

@@ -219,6 +219,9 @@ def test_cover_holds_every_difference():
 
 
 def test_clashing_columns(spark):
-    docs = docs_of(spark, [(1, "x y"), (2, "z")]).selectExpr("*", "1 as n_words", "'q' as kept_text", "2 as fingerprint", "3 as key", "4 as at", "5 as _text")
-    assert {r.n_words for r in substrings.remove_repeats(docs).collect()} == {1, 2}
+    docs = docs_of(spark, [(1, "x y"), (2, "z")]).selectExpr("*", "1 as n_words", "'q' as kept_text", "2 as fingerprint", "3 as key", "4 as at", "5 as _text", "6 as _row", "7 as _starts", "8 as node", "9 as a", "10 as _root")
+    cut = substrings.remove_repeats(docs)
+    assert {r.n_words for r in cut.collect()} == {1, 2} and {(r._row, r._starts, r._text) for r in cut.collect()} == {(6, 7, 5)}
     assert simhash.near_duplicates(docs).count() == 2
+    kept = simhash.keep_one(docs)
+    assert kept.columns == docs.columns and {(r._row, r._root) for r in kept.collect()} == {(6, 10)}

@@ -55,7 +55,9 @@ def test_captures_meet_the_entries_of_their_time(spark):
     entries = [(rng.choice("AB"), rng.choice(patterns), rng.choice(["block", "allow", "remove"]), rng.randrange(0, 40) * 864_000) for _ in range(150)]
     entries += [("A", "x.test", "block", 0), ("A", "x.test", "allow", 0), (None, "x.test", "block", 0), ("A", None, "block", 0), ("A", "x.test", "odd", 0), ("A", "org", "block", None), ("B", "x.test", None, 1)]
     intervals = urlfilter.validity_intervals(spark.createDataFrame(entries + entries[:9], ENTRIES))
-    got = urlfilter.judge(spark.createDataFrame(rows, CAPTURES), intervals)
+    got = urlfilter.judge(spark.createDataFrame(rows, CAPTURES).selectExpr("*", "1 as _key", "2 as action", "3 as _hot"), intervals)
+    assert {(r._key, r.action, r._hot) for r in got.collect()} == {(1, 2, 3)}
+    got = got.drop("_key", "action", "_hot")
     assert got.columns == ["page_id", "url", "fetch_time", "verdict", "list", "pattern", "valid_from"]
     assert Counter(map(tuple, got.collect())) == Counter((i, u, t, *plain_verdict(u, t, entries)) for i, u, t, _ in rows)
 
