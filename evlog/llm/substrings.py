@@ -107,7 +107,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     Words are the runs between ASCII white space, unchanged; kept words are joined by one space. Null texts have no words.
     Null ids and repeated rows are kept, and a repeated row repeats its whole text. All columns of ``docs`` stay,
     except that the four named above are replaced; an empty table stays empty.
-    Rows with the same id and text share a 64-bit key; windows have 128-bit hashes.
+    Rows with the same id and text share a 64-bit key; windows have 96-bit hashes.
     """
     span = window - PERIOD + 1
     if span < 1:
@@ -144,15 +144,15 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                     np.add.at(marks, np.maximum(at - (window - span), 0), 1)
                     np.add.at(marks, at + 1, -1)
                     start = np.flatnonzero(np.cumsum(marks)[:n] > 0).astype(np.int32)
-                    first, second = rolling(hashes, window, BASES[0])[start], rolling(hashes, window, BASES[1])[start]
+                    first, second = rolling(hashes, window, BASES[0])[start], rolling(hashes, window, BASES[1])[start] >> np.uint64(32)
                     yield np.stack([first, second], axis=1), np.full(len(start), row, np.int64), start
 
         yield from wide_places(chunks())
 
     joined = texts.join(nominated, "_row")
-    found = joined.select("_text", "_row", "at").mapInArrow(windows, "key long, key2 long, _row long, at int, weight int")
+    found = joined.select("_text", "_row", "at").mapInArrow(windows, "key long, key2 int, _row long, at int, weight int")
     total = F.sum("weight").over(Window.partitionBy("key", "key2"))
-    starts = stored(found.withColumn("_all", total).filter("_all >= 2").groupBy("_row").agg(F.collect_list("at").alias("_starts")))
+    starts = stored(found.withColumn("_all", total).filter("_all >= 2").groupBy(F.col("_row").alias("_llm_row")).agg(F.collect_list("at").alias("_llm_starts")))
 
     rest = [c for c in docs.columns]
     types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
@@ -161,7 +161,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             count, gone, sums, kept_texts = [], [], [], []
-            for text, starts in zip(texts_of(batch, text_col), batch.column("_starts")):
+            for text, starts in zip(texts_of(batch, text_col), batch.column("_llm_starts")):
                 words = words_of(text)
                 removed = 0
                 if starts.is_valid:
@@ -184,12 +184,12 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 names.append("kept_text")
             yield pa.RecordBatch.from_arrays(out, names=names)
 
-    met = docs.withColumn("_row", row_key(id_col, text_col)).join(starts, "_row", "left")
-    return met.drop("_row").mapInArrow(cut, schema)
+    met = docs.withColumn("_llm_row", row_key(id_col, text_col)).join(starts, "_llm_row", "left")
+    return met.drop("_llm_row").mapInArrow(cut, schema)
 
 
 def wide_places(chunks: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
-    """As ``places``, for keys of two 64-bit halves."""
+    """As ``places``, for keys of 64 and 32 bits."""
     keys, rows, at, held = [], [], [], 0
 
     def flush() -> pa.RecordBatch:
@@ -204,7 +204,7 @@ def wide_places(chunks: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]) ->
         own = ~new
         both[own, 0] = row[own].view(np.uint64)
         both[own, 1] = pos[own].astype(np.uint64)
-        columns = [both[:, 0].copy().view(np.int64), both[:, 1].copy().view(np.int64), row, pos, weight]
+        columns = [both[:, 0].copy().view(np.int64), both[:, 1].astype(np.uint32).view(np.int32), row, pos, weight]
         return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["key", "key2", "_row", "at", "weight"])
 
     for k, r, p in chunks:
