@@ -64,6 +64,17 @@ def row_key(id_col: str, text_col: str) -> Column:
     return F.xxhash64(F.col(id_col), F.col(text_col))
 
 
+def bounded_sample(df: DataFrame, want: int, total: int, *columns: str) -> DataFrame:
+    """At most ``want`` rows of about ``total``, chosen by a hash of the columns: the same ones on every run.
+
+    A hash threshold leaves about twice as many before they are ordered, so that all tasks together send a bounded number.
+    """
+    key = F.xxhash64(*columns, F.lit(5))
+    if total > 2 * want:
+        df = df.filter(F.pmod(key, F.lit(1 << 40)) < int(2 * want / total * (1 << 40)))
+    return df.orderBy(key, *columns).limit(want)
+
+
 def per_process(name: str, make: Callable):
     """``make()`` once for each Python worker process, whatever number of tasks it runs."""
     store = sys.modules.setdefault("_evlog_llm_store", types.ModuleType("_evlog_llm_store")).__dict__
@@ -72,6 +83,14 @@ def per_process(name: str, make: Callable):
     return store[name]
 
 
+def latest(slot: str, name: str, make: Callable):
+    """As ``per_process``, but a slot holds only the value made last: another name takes its place."""
+    store = per_process("latest", dict)
+    if store.get(slot, (None,))[0] != name:
+        store[slot] = (name, make())
+    return store[slot][1]
+
+
 def texts_of(batch: pa.RecordBatch, name: str) -> list:
     return batch.column(name).to_pylist()
 

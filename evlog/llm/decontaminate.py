@@ -2,19 +2,20 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import per_process, texts_of
+from .common import latest, per_process, texts_of
 
-GRAM = 12
+GRAM = 10
 #: Edits allowed per character of a benchmark passage; characters of a passage, and from one passage of a long item to the next.
-EDITS, PASSAGE, STEP = 0.05, 400, 200
+EDITS, PASSAGE, STEP = 0.08, 400, 200
 #: Bytes of benchmark text that one pass over the documents holds; a larger benchmark takes more passes.
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 2 << 20
 SLOT_BITS = 20
 FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
@@ -220,10 +221,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     fields = f"{id_col} {id_type}, {item_col} {item_type}, item_start int, start int, end int, edits int, shared int"
     out = None
     for items in blocks_of(benchmark, item_col, item_text_col, block_bytes):
-        sent = docs.sparkSession.sparkContext.broadcast(items)
+        sent, name = docs.sparkSession.sparkContext.broadcast(items), uuid.uuid4().hex
 
-        def search(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            index = Index(sent.value, edits=edits)
+        def search(batches: Iterator[pa.RecordBatch], sent=sent, name=name) -> Iterator[pa.RecordBatch]:
+            index = latest("benchmark", name, lambda: Index(sent.value, edits=edits))
             for batch in batches:
                 row, found = [], []
                 for i, text in enumerate(texts_of(batch, text_col)):
@@ -243,10 +244,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 def keep_clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", edits: float = EDITS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The rows of ``docs``, as they are, that hold no region of ``contaminated``; all columns stay."""
     for items in blocks_of(benchmark, item_col, item_text_col, block_bytes):
-        sent = docs.sparkSession.sparkContext.broadcast(items)
+        sent, name = docs.sparkSession.sparkContext.broadcast(items), uuid.uuid4().hex
 
-        def clean(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            index = Index(sent.value, edits=edits)
+        def clean(batches: Iterator[pa.RecordBatch], sent=sent, name=name) -> Iterator[pa.RecordBatch]:
+            index = latest("benchmark", name, lambda: Index(sent.value, edits=edits))
             for batch in batches:
                 yield batch.filter(pa.array([not index.matches(t) for t in texts_of(batch, text_col)], pa.bool_()))
 

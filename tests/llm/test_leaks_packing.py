@@ -56,7 +56,7 @@ def test_regions_within_the_edit_budget(spark, benchmark):
         text = prose(rng, rng.randrange(0, 120))
         if d % 3 == 0:
             item, passage = benchmark[rng.randrange(0, 4)]
-            budget = int(0.05 * len(passage))
+            budget = int(decontaminate.EDITS * len(passage))
             text = f"{text} {edited(rng, passage, rng.randrange(0, budget + 1))} {prose(rng, 20)}"
             if d % 2:
                 text = text.upper().replace(" ", "\n")
@@ -73,7 +73,7 @@ def test_regions_within_the_edit_budget(spark, benchmark):
     for r in found:  # each region holds the passage with the edits it tells, and no more than the budget
         region = texts[r.doc_id][r.start : r.end].lower().replace("\n", " ")
         if r.item_id != 4:
-            assert edit_distance(passages[r.item_id].strip(), region) <= r.edits <= 0.05 * len(passages[r.item_id])
+            assert edit_distance(passages[r.item_id].strip(), region) <= r.edits <= decontaminate.EDITS * len(passages[r.item_id])
     clean = {r[0] for r in rows} - {r.doc_id for r in found}
     assert clean >= set(range(120)) - set(leaks) | {500, 501}
     kept = decontaminate.keep_clean(docs, items)
