@@ -12,7 +12,7 @@ from math import log
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import texts_of
+from .common import bounded_sample, texts_of
 
 #: Pages that the weights are learned from, and how many words they must have inside and outside of their article.
 LABELLED_PAGES, LEAST_COUNT = 600, 5
@@ -189,7 +189,8 @@ def train(pages: DataFrame, html_col: str = "html", limit: int = LABELLED_PAGES)
     """Weights from at most ``limit`` pages, chosen by a hash, with exactly one article element; none: the fixed ones."""
     low = F.lower(F.col(html_col))
     once = (F.regexp_count(low, F.lit("<article[ >]")) == 1) & low.contains("</article>")
-    some = pages.filter(once & (F.length(html_col) < 200_000)).orderBy(F.xxhash64(html_col), html_col).limit(limit)
+    usable = pages.filter(once & (F.length(html_col) < 200_000))
+    some = bounded_sample(usable, limit, pages.count() // 2, html_col)  # enough if half of all pages are usable; else fewer teach
     return learn([r[0] for r in some.select(html_col).collect()])
 
 

@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import per_process, texts_of
+from .common import bounded_sample, per_process, texts_of
 
 #: Documents of each language that training looks at, the longest of them, and the languages it can hold.
 TRAIN_DOCS, TRAIN_CHARS, LANGUAGES = 600, 20_000, 64
@@ -120,11 +120,11 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     """
     known = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).filter("id is not null and lang is not null")
     known = known.filter(part_of("id", parts) != held).filter(F.length("text").between(1, TRAIN_CHARS))
-    names = [r.lang for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()]
+    names = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()
     texts: dict[str, list[str]] = {}
-    for name in names:
-        some = known.filter(F.col("lang") == name).orderBy(F.xxhash64("id", F.lit(5)), "id", "text").limit(docs_each)
-        texts[name] = [r.text for r in some.select("text").collect()]
+    for r in names:
+        some = bounded_sample(known.filter(F.col("lang") == r.lang), docs_each, r.n, "id", "text")
+        texts[r.lang] = [t.text for t in some.select("text").collect()]
     return build(texts)
 
 

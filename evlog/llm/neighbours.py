@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import join_hot, stored
+from .common import bounded_sample, join_hot, stored
 
 #: Vectors that codebooks and scanned share are fitted on, most codewords of each half, distinct vectors that a cell should hold.
 SAMPLE, CODEWORDS, CELL = 20_000, 256, 4
@@ -131,9 +131,10 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "v
     salted = rows.withColumn("_salt", F.pmod(F.xxhash64("_id"), F.lit(32))).distinct()
     local = salted.withColumn("_r", F.row_number().over(Window.partitionBy("_v", "_salt").orderBy("_id"))).filter(F.col("_r") <= k + 1)
     entries = local.groupBy("_v").agg(F.slice(F.sort_array(F.collect_list("_id")), 1, k + 1).alias("_ids")).withColumn("_key", key)
-    sampled = np.array([r[0] for r in rows.select("_v").orderBy(F.xxhash64("_id", F.lit(3))).limit(SAMPLE).collect()]).reshape(-1, dim)
+    count = rows.count()
+    sampled = np.array([r["_v"] for r in bounded_sample(rows, SAMPLE, count, "_id", "_v").collect()]).reshape(-1, dim)
     rng = np.random.default_rng(11)
-    codewords = int(min(most_codewords, max(4, round((rows.count() / CELL) ** 0.5))))
+    codewords = int(min(most_codewords, max(4, round((count / CELL) ** 0.5))))
     books = codebook(sampled[:, :half], codewords, rng), codebook(sampled[:, half:], codewords, rng)
     across = len(books[1])
 

@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import texts_of
+from .common import bounded_sample, texts_of
 
 #: Documents of each class that training looks at, the longest of them, dictionary size and level.
 TRAIN_DOCS, TRAIN_CHARS, DICTIONARY, LEVEL = 1_500, 20_000, 1 << 18, 5
@@ -64,7 +64,7 @@ def calibrated(x: np.ndarray, y: np.ndarray, weight: np.ndarray, turns: int = 50
 
 
 def dictionary(texts: list[str], size: int) -> bytes:
-    """The last ``size`` bytes of samples in turn, so that every document gives a part."""
+    """Equal shares from the middle of each training text."""
     share = max(64, size // max(1, len(texts)))
     parts = []
     for t in texts:
@@ -86,7 +86,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     frequent = {r.label: r["count"] for r in known.groupBy("label").count().collect()}
     by_label = []
     for k in (0, 1):
-        ids = known.filter(F.col("label") == k).select("_id").distinct().orderBy(F.xxhash64("_id", F.lit(k)), "_id").limit(2 * docs_per_class)
+        ids = bounded_sample(known.filter(F.col("label") == k).select("_id").distinct(), 2 * docs_per_class, frequent.get(k, 0), "_id")
         rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text")).filter(f"length(trim(text)) between 1 and {TRAIN_CHARS}").join(F.broadcast(ids), "_id")
         by_label.append([r.text for r in rows.orderBy(F.xxhash64("text"), "text").limit(docs_per_class).select("text").collect()])
     if not all(by_label):
