@@ -109,6 +109,14 @@ SELECT page_id, CAST(n AS BIGINT) AS payload_bytes,
  CASE WHEN page_id IS DISTINCT FROM first THEN first END AS refers_to, url FROM r
 """
 
+#: The given pages have one article each, of headings and paragraphs, and no character references but those of ampersands and quotes in it.
+OP4 = r"""
+WITH a AS (SELECT page_id, url, regexp_replace(regexp_extract(coalesce(html, ''), '<article>(.*?)</article>', 1, 's'), '<br>', ' ', 'g') AS inside FROM pages),
+ b AS (SELECT page_id, url, array_to_string(list_filter(list_transform(string_split_regex(inside, '</?(?:p|h1)>'),
+  lambda x: trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(x, '<[^>]+>', '', 'g'), '&quot;?', '"', 'g'), '&amp;?', '&', 'g'), '\s+', ' ', 'g'))), lambda x: x <> ''), chr(10)) AS text FROM a)
+SELECT page_id, url, text, CAST(length(text) AS BIGINT) AS n_chars FROM b
+"""
+
 OP10 = r"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
  s AS (SELECT r, i, array_to_string(w[i:i + 34], ' ') AS win FROM (SELECT r, w, unnest(range(1, len(w) - 33)) AS i FROM d WHERE len(w) >= 35) x),
@@ -119,4 +127,4 @@ WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(regexp_extract_all
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - len(kept) AS BIGINT) AS n_removed, sha256(array_to_string(kept, ' ')) AS kept_sha256 FROM k
 """
 
-ORACLE = {"op1_url_filter": OP1, "op2_warc": OP2, "op10_substrings": OP10}
+ORACLE = {"op1_url_filter": OP1, "op2_warc": OP2, "op4_extract": OP4, "op10_substrings": OP10}
