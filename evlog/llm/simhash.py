@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import join_hot, row_key, stored, texts_of
+from .common import bounded_sample, join_hot, row_key, stored, texts_of
 
 SHINGLE, RADIUS = 4, 4
 #: Wide fingerprints have four words; they tell how similar two texts are, not only that they are almost equal: at a Jaccard
@@ -210,7 +210,7 @@ def links(prints: DataFrame, total: int, radius: int = RADIUS, words: int = 1, s
     prints than ``shard`` is cut into blocks, and each pair of blocks is a task of its own.
     """
     depth = min(14, max(0, int(np.ceil(np.log2(max(1, total) / shard)))))
-    some = prints.orderBy(F.xxhash64("_fp")).limit(sample) if depth else prints.limit(1)
+    some = bounded_sample(prints, sample, total, "_fp") if depth else prints.limit(1)
     rows = [bytes(r[0]) for r in some.select("_bits").collect()]
     sampled, groups, rng = np.frombuffer(b"".join(rows), "<u8").reshape(-1, words), 64 * words // GROUP, np.random.default_rng(7)
     trees = [grow(group_values(sampled, g), depth, rng) for g in range(groups)]
@@ -284,8 +284,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     total, documents = prints.agg(F.count("*"), F.coalesce(F.sum("_n"), F.lit(0))).first()
     roots = components(links(prints, total, radius, words))
     labelled = prints.join(roots, F.col("_fp") == F.col("node"), "left").withColumn("_root", F.coalesce("root", "_fp")).drop("node", "root")
-    least = labelled.groupBy("_root").agg(F.min("_least").alias("component_id"))
-    labelled = stored(labelled.join(least, "_root").select("_fp", "_n", "_root", "component_id"))
+    least = labelled.groupBy("_root").agg(F.min("_least").alias("component_id"), F.count("*").alias("_prints"))
+    labelled = stored(join_hot(labelled, least, "_root", "_prints", total).select("_fp", "_n", "_root", "component_id"))
     grouped = join_hot(rows, labelled, "_fp", "_n", documents)
     fingerprint_text = F.lower(F.lpad(F.hex("_fp"), 16, "0")) if words == 1 else F.lower(F.hex("_bits"))
     return grouped.select(id_col, "_row", fingerprint_text.alias("fingerprint"), "component_id", "_root")
