@@ -14,6 +14,8 @@ from .common import latest, per_process, texts_of
 GRAM = 10
 #: Edits allowed per character of a benchmark passage; characters of a passage, and from one passage of a long item to the next.
 EDITS, PASSAGE, STEP = 0.08, 400, 200
+#: Characters of a window of a passage, and from one window to the next: a quote of WINDOW + WINDOW_STEP - 1 holds a window.
+WINDOW, WINDOW_STEP = 120, 30
 #: Bytes of benchmark text that one pass over the documents holds; a larger benchmark takes more passes.
 BLOCK_BYTES = 2 << 20
 SLOT_BITS = 20
@@ -85,6 +87,12 @@ class Index:
         # the lemma's bound; passages too short for it at this budget get the largest budget that leaves one q-gram
         self.budget = np.maximum(np.minimum(self.budget, (size - q) // q), 0)
         self.bound = np.maximum(size - q + 1 - self.budget * q, 1)
+        # windows of each passage longer than one, the last at its end; the grams of a passage serve its windows too
+        self.last = size - WINDOW
+        self.windows = np.where(self.last > 0, -(-self.last // WINDOW_STEP) + 1, 0)
+        self.window_budget = max(0, min(int(edits * WINDOW), (WINDOW - q) // q))
+        self.window_bound = max(1, WINDOW - q + 1 - self.window_budget * q)
+        self.least = np.where(self.windows > 0, np.minimum(self.bound, self.window_bound), self.bound)
         grams = [grams_of(c, q) for _, _, c in self.passages]
         keys = np.concatenate([np.zeros(0, np.uint64), *grams])
         owner = np.repeat(np.arange(len(grams)), [len(g) for g in grams])
@@ -96,8 +104,11 @@ class Index:
         self.slots[(self.keys >> np.uint64(64 - SLOT_BITS)).astype(np.int64)] = True
         self.short = [(p, c) for p, (_, _, c) in enumerate(self.passages) if len(c) < q]
 
-    def bands(self, codes: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
-        """(passage, first diagonal, last diagonal, shared q-grams) of bands that reach the passage's bound."""
+    def bands(self, codes: np.ndarray) -> Iterator[tuple[int, int, int, int, int]]:
+        """(passage, window, first diagonal, last diagonal, shared q-grams) of bands that reach the bound.
+
+        Those of whole passages come first, with -1 for the window.
+        """
         grams = grams_of(codes, self.q)
         at = np.flatnonzero(self.slots[(grams >> np.uint64(64 - SLOT_BITS)).astype(np.int64)])
         if not len(at):
@@ -110,7 +121,7 @@ class Index:
             return
         entry = np.repeat(self.first[k] - np.cumsum(n) + n, n) + np.arange(n.sum())
         owner, place, pos = self.owner[entry], self.place[entry], np.repeat(at, n)
-        enough = np.bincount(owner, minlength=len(self.bound)) >= self.bound  # cheap: counts without regard to bands
+        enough = np.bincount(owner, minlength=len(self.bound)) >= self.least  # cheap: counts without regard to bands
         some = enough[owner]
         owner, place, pos = owner[some], place[some], pos[some]
         if not len(owner):
@@ -124,14 +135,39 @@ class Index:
         for (p, b), shared in zip(keys, count):
             if shared >= self.bound[p]:
                 width = int(self.budget[p]) + 1
-                yield int(p), int(b) * width, int(b + 2) * width - 1, int(shared)
+                yield int(p), -1, int(b) * width, int(b + 2) * width - 1, int(shared)
+        width, rows = self.window_budget + 1, []
+        band = diagonal // width
+        for back in range(-1, (WINDOW - self.q) // WINDOW_STEP + 1):  # the windows that a gram may lie in
+            window = place // WINDOW_STEP - back
+            begin = np.minimum(window * WINDOW_STEP, self.last[owner])
+            within = (window >= 0) & (window < self.windows[owner]) & (begin <= place) & (place <= begin + WINDOW - self.q)
+            for b in (band, band - 1):
+                rows.append(np.stack([owner, window, b, place], 1)[within])
+        keys, count = np.unique(np.unique(np.concatenate(rows), axis=0)[:, :3], axis=0, return_counts=True)
+        for (p, w, b), shared in zip(keys, count):
+            if shared >= self.window_bound:
+                yield int(p), int(w), int(b) * width, int(b + 2) * width - 1, int(shared)
 
     def matches(self, text: str | None) -> list[tuple]:
-        """(item, item_start, start, end, edits, shared): regions of a text within a passage's edit budget, the best of each place."""
+        """(item, item_start, start, end, edits, shared): regions of a text within the edit budget of a passage or window, the best of each place.
+
+        A window's region is told where it meets no region of the same item that is a whole passage's or a better window's.
+        """
         codes = codes_of(text)
         found: dict[tuple, tuple] = {}
-        for p, low, high, shared in self.bands(codes):
+        parts: list[tuple] = []
+        for p, w, low, high, shared in self.bands(codes):
             item, item_start, passage = self.passages[p]
+            if w >= 0:
+                begin = min(w * WINDOW_STEP, int(self.last[p]))
+                middle = (low + high) // 2 + begin + WINDOW // 2
+                if any(m[0] == item and m[2] <= middle < m[3] for m in found.values()):
+                    continue  # inside a whole passage's region
+                hit = aligned(passage[begin : begin + WINDOW], codes, low + begin, high + begin, self.window_budget)
+                if hit:
+                    parts.append((item, item_start + begin, *hit, shared))
+                continue
             hit = aligned(passage, codes, low, high, int(self.budget[p]))
             if hit:
                 start, end, edits = hit
@@ -146,6 +182,9 @@ class Index:
         for m in sorted(found.values(), key=lambda m: (m[0], m[1], m[4], m[2])):  # neighbouring bands may find one place twice
             if not any(m[0] == o[0] and m[1] == o[1] and m[2] < o[3] and o[2] < m[3] for o in kept):
                 kept.append(m)
+        for m in sorted(parts, key=lambda m: (m[0], m[4], m[2], m[1])):
+            if not any(m[0] == o[0] and m[2] < o[3] and o[2] < m[3] for o in kept):
+                kept.append(m)
         return kept
 
 
@@ -210,9 +249,11 @@ def blocks_of(benchmark: DataFrame, id_col: str, text_col: str, limit: int) -> I
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", edits: float = EDITS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """One row per region of a document that repeats a benchmark passage: id, item_id, item_start, start, end, edits, shared.
 
-    Passages are whole items, or overlapping passages of items over 600 characters. Characters are compared after folding
+    Passages are whole items, or overlapping passages of items over 600 characters, and all windows of 120 characters of
+    these, every 30: any quote of 149 characters of an item holds a window, wherever it begins, so it is found. Shorter
+    ones are found if they hold a window or are a whole item. Characters are compared after folding
     case and white space, one for one, so start and end count the code points of the document. A region is
-    kept if its edit distance to the passage is at most ``edits`` per character; shared is its number of common q-grams.
+    kept if its edit distance to the passage or window is at most ``edits`` per character; shared is its number of common q-grams.
     A passage too short for that budget under the lemma gets the largest budget it allows; one shorter than a q-gram must
     occur exactly. Null and empty texts on either side match nothing; null ids are carried; repeated
     rows are each reported; equal items once; other columns are left out. Narrow: the benchmark goes to the tasks in blocks of bounded size.

@@ -106,6 +106,44 @@ def test_benchmark_in_blocks_and_empty_tables(spark, benchmark):
     assert decontaminate.keep_clean(docs, items.limit(0)).count() == 2
 
 
+def test_partial_quotes_of_any_offset():
+    """Every verbatim slice of WINDOW + WINDOW_STEP - 1 characters is found, of short items and long ones."""
+    rng = random.Random(12)
+    for n in (180, 300, 394, 600, 601, 1200, 1333):
+        text = prose(rng, n)[:n].strip().ljust(n, "z")
+        index = decontaminate.Index([(1, text)])
+        size = decontaminate.WINDOW + decontaminate.WINDOW_STEP - 1
+        for start in [*range(0, n - size, 17), n - size]:
+            lead = prose(rng, 20) + "#"  # no item has it
+            (item, item_start, begin, end, edits, _), *more = index.matches(f"{lead}{text[start : start + size]}#{prose(rng, 20)}")
+            assert (item, edits) == (1, 0) and start <= item_start <= start + size - decontaminate.WINDOW and not more
+            assert begin == len(lead) + item_start - start and end - begin == decontaminate.WINDOW
+    whole = index.matches(text)
+    assert whole and all(m[4] == 0 for m in whole)
+
+
+def test_edited_quotes_against_brute_force(spark):
+    """A document with part of an item is reported exactly if some window, or the item, is within its budget."""
+    rng = random.Random(13)
+    items = [(i, prose(rng, n)) for i, n in enumerate((24, 45, 70))]
+    rows = []
+    for d in range(45):
+        text = items[d % 3][1]
+        at = rng.randrange(0, max(1, len(text) - 135))
+        rows.append((d, f"{prose(rng, 6)} {edited(rng, text[at : at + 135], d // 3)} {prose(rng, 4)}", 0))
+    docs, table = spark.createDataFrame(rows, DOCS), spark.createDataFrame(items, "item_id long, text string")
+    found = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(docs, table).collect()}
+    size, step = decontaminate.WINDOW, decontaminate.WINDOW_STEP
+    want = set()
+    for d, text, _ in rows:
+        i, item = items[d % 3]
+        starts = [*range(0, max(0, len(item) - size), step), max(0, len(item) - size)]
+        if any(edit_distance(item[s : s + size], text) <= int(decontaminate.EDITS * size) for s in starts):
+            want.add((d, i))
+    assert found == want and 5 < len(want) < 45
+    assert {r.doc_id for r in decontaminate.keep_clean(docs, table).collect()} == {r[0] for r in rows} - {d for d, _ in want}
+
+
 # ---- packing --------------------------------------------------------------------------------------------------------------
 
 ODD = [(1, None), (2, ""), (3, "a  b \n c"), (None, "null id"), (4, "word " * 5000), (4, "word " * 5000), (5, "<|endoftext|> inside"), (6, "x" * 3000 + " y"), (7, "ünïcode — 日本語 🙂   end"), (8, " " * 700 + "!" * 400), (9, "tab\tand\r\nline")]
