@@ -105,7 +105,9 @@ def join_hot(left: DataFrame, right: DataFrame, key: str, count: str, total: int
     values = [c for c in right.columns if c not in (key, count)]
     hot = right.filter(F.col(count) > least).select(F.col(key), F.struct(*values).alias("_llm_hot"))
     cold = right.filter(F.col(count) <= least).select(F.col(key).alias("_llm_cold_key"), F.lit(False).alias("_llm_cold_only"), F.struct(*values).alias("_llm_cold"))
-    spread = F.col("_llm_hot").isNotNull()
-    met = left.join(F.broadcast(hot), key, "left").withColumn("_llm_dealt", F.when(spread, F.xxhash64(*left.columns).cast(left.schema[key].dataType)).otherwise(F.col(key)))
+    spread, kind = F.col("_llm_hot").isNotNull(), left.schema[key].dataType
+    own = F.xxhash64(*left.columns)
+    own = own.cast("string").cast(kind) if kind.typeName() == "binary" else own.cast(kind)
+    met = left.join(F.broadcast(hot), key, "left").withColumn("_llm_dealt", F.when(spread, own).otherwise(F.col(key)))
     met = met.withColumn("_llm_is_hot", spread).join(cold, (F.col("_llm_dealt") == F.col("_llm_cold_key")) & (F.col("_llm_is_hot") == F.col("_llm_cold_only")), "left")
     return met.select(*left.columns, *[F.coalesce(F.col("_llm_hot")[v], F.col("_llm_cold")[v]).alias(v) for v in values])

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontaminate, extract, language, neighbours, packing, quality, simhash, substrings, urlfilter, warc
+from . import alignment, decontaminate, exact, extract, interaction, language, neighbours, packing, quality, simhash, substrings, urlfilter, warc
 from .common import shared_folder, stored, table
 
 DAY, START, YEAR = 86_400, 1_704_067_200, 31_536_000
@@ -74,10 +74,23 @@ def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.remove_repeats(docs, with_text=False).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op11_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact.exact_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(table(spark, sf_dir, "documents"))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return interaction.interactions(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_url_filter, op2_warc, op3_simhash, op4_extract, op5_decontaminate, op6_neighbours, op7_packing, op8_language, op9_quality, op10_substrings,
+        op11_exact, op12_alignment, op13_filter_audit,
     )
 }
 
@@ -127,4 +140,33 @@ WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(regexp_extract_all
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - len(kept) AS BIGINT) AS n_removed, sha256(array_to_string(kept, ' ')) AS kept_sha256 FROM k
 """
 
-ORACLE = {"op1_url_filter": OP1, "op2_warc": OP2, "op4_extract": OP4, "op10_substrings": OP10}
+OP11 = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, length(coalesce(text, '')) AS n, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS t FROM documents),
+ g AS (SELECT *, first_value(doc_id) OVER w AS keep_id, row_number() OVER w AS k, count(*) OVER (PARTITION BY t) AS group_size
+  FROM d WINDOW w AS (PARTITION BY t ORDER BY n DESC, doc_id NULLS LAST, r))
+SELECT doc_id, keep_id, group_size, k = 1 AS kept, sha256(t) AS text_sha256 FROM g
+"""
+
+#: Every order is walked; a filter's share is the plain sum of its removals over all of them.
+OP13 = r"""
+WITH d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+ l AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+ f AS (SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic,
+   CASE WHEN len(w) < 50 THEN 'A' ELSE '' END || CASE WHEN 100 * len(list_distinct(w)) < 65 * len(w) THEN 'B' ELSE '' END
+   || CASE WHEN 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 5 * length(t) THEN 'C' ELSE '' END
+   || CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 'D' ELSE '' END || CASE WHEN first < doc_id THEN 'E' ELSE '' END AS fails
+  FROM (SELECT d.*, min(d.doc_id) OVER (PARTITION BY t) AS first, l.good, l.toxic FROM d LEFT JOIN l ON d.doc_id = l.doc_id) x),
+ n AS (SELECT part, fails, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic FROM f GROUP BY part, fails),
+ x AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+ o AS (SELECT a.x || b.x || c.x || d.x || e.x AS o FROM x a JOIN x b ON b.x <> a.x JOIN x c ON c.x NOT IN (a.x, b.x) JOIN x d ON d.x NOT IN (a.x, b.x, c.x) JOIN x e ON e.x NOT IN (a.x, b.x, c.x, d.x)),
+ s AS (SELECT o, k, substr(o, k, 1) AS x, substr(o, 1, k - 1) AS earlier FROM o, range(1, 6) r(k)),
+ c AS (SELECT part, o, k, x, n, good, toxic, contains(fails, x) AS hit, fails = x AS only_x, fails <> '' AND earlier <> '' AND len(list_intersect(string_split(fails, ''), string_split(earlier, ''))) > 0 AS gone FROM s, n),
+ t AS (SELECT part, o AS filter_order, k AS step, x, coalesce(sum(n) FILTER (NOT gone AND NOT hit), 0) AS kept, coalesce(sum(n) FILTER (NOT gone AND hit), 0) AS removed,
+   coalesce(sum(n) FILTER (gone AND hit), 0) AS redundant, coalesce(sum(n) FILTER (only_x), 0) AS unique_fails,
+   coalesce(sum(good) FILTER (NOT gone AND hit), 0) AS good_lost, coalesce(sum(toxic) FILTER (NOT gone AND hit), 0) AS toxic_lost FROM c GROUP BY ALL)
+SELECT part, filter_order, CAST(step AS INTEGER) AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant,
+ CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost,
+ CAST(sum(removed) OVER (PARTITION BY part, x) AS BIGINT) AS shapley FROM t
+"""
+
+ORACLE = {"op1_url_filter": OP1, "op2_warc": OP2, "op4_extract": OP4, "op10_substrings": OP10, "op11_exact": OP11, "op13_filter_audit": OP13}
