@@ -16,6 +16,8 @@ from .common import bounded_sample, texts_of
 
 #: Pages that the weights are learned from, and how many words they must have inside and outside of their article.
 LABELLED_PAGES, LEAST_COUNT = 600, 5
+#: Containers around a text, from the innermost, whose marks are learned.
+NEAREST = 64
 
 # Names of HTML elements by their kind, and words that sites name their page furniture by.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -33,13 +35,14 @@ FURNITURE_NAMES = frozenset(
 )
 FURNITURE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar toolbar".split())
 ATTRIBUTES = re.compile(r"""([a-zA-Z_:][-\w:.]*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
-TOKEN = re.compile(
-    r"""<!--.*?(?:--!?>|\Z)"""
-    r"""|<(?P<raw>script|style|textarea|title|xmp|iframe|noembed|noframes|noscript|template)\b(?:[^>"']+|"[^"]*"|'[^']*')*+>.*?(?:</(?P=raw)\s*>|\Z)"""
-    r"""|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>"']+|"[^"]*"|'[^']*')*+)>"""
-    r"""|</?[a-zA-Z][^>]*>|<[!?/][^>]*>""",
-    re.DOTALL | re.IGNORECASE,
-)
+#: Elements whose content is no markup; parts of class names that say what a container hasn't, or has beside itself; and
+#: parts that say no more than that something is held.
+RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript template".split())
+BESIDE = frozenset("no not without has with".split())
+HOLDERS = frozenset("area bar block body bottom box button buttons col column container content group holder inner item items left link links list main outer panel post posts right row section text top wrap wrapper".split())
+TAG_START = re.compile(r"<(?:(?P<comment>!--)|(?P<other>[!?])|(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)|/)")
+COMMENT_END = re.compile(r"--!?>")
+UNQUOTED = re.compile(r"""[^>"']*""")
 
 
 @dataclass
@@ -62,15 +65,31 @@ class Weights:
         return self.tags.get(name, -0.5)
 
 
+def names_of(word: str) -> set[str]:
+    """A class or id and what it says about its container: the last part of a compound, and the first if the last only holds.
+
+    ``no-sidebar``, ``has-sidebar`` and ``with-header`` are about something else than the container itself.
+    """
+    parts = [p for p in re.split(r"[-_]+", word) if p]
+    if len(parts) < 2 or parts[0] in BESIDE:
+        return {word}
+    return {word, parts[-1]} | ({parts[0]} if parts[-1] in HOLDERS or parts[-1].isdigit() else set())
+
+
 def marks_of(name: str, attrs: str) -> list[str]:
-    """A container's own marks: its name where that has a meaning, its classes and id, their parts, and its role."""
+    """A container's own marks: its name where that has a meaning, its classes and id, their parts, and its role.
+
+    The whole page is never judged by its names: sites put layout classes on ``html`` and ``body``.
+    """
     out = [f"tag:{name}"] if name in CONTENT or name in FURNITURE else []
+    if name in ("html", "body"):
+        return out
     if attrs and "=" in attrs or "hidden" in attrs:
         for m in ATTRIBUTES.finditer(attrs):
             key, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
             if key in ("class", "id"):
                 for word in value.split():
-                    out += [f"name:{p}" for p in {word, *re.split(r"[-_]+", word)}]
+                    out += [f"name:{p}" for p in names_of(word)]
             elif key == "role":
                 out.append(f"role:{value.strip()}")
             elif key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and re.search(r"display\s*:\s*none", value):
@@ -78,57 +97,131 @@ def marks_of(name: str, attrs: str) -> list[str]:
     return out
 
 
-Event = tuple[str, str, tuple[str, ...]]
+class Node:
+    """An open container with marks of its own, the one around it, and how many articles stand in it."""
+
+    __slots__ = ("above", "name", "marks", "articles", "verdict")
+
+    def __init__(self, above: Node | None, name: str, marks: list[str]):
+        self.above, self.name, self.marks, self.articles, self.verdict = above, name, marks, 0, None
+
+
+def tags_of(page: str) -> Iterator[tuple[int, int, str, str, bool]]:
+    """(start, end, name, attributes, closing) of every tag; comments and raw elements have no name. In time with the length.
+
+    A quoted attribute may hold ``>``. Where quotes leave a tag without an end, quotes mean nothing from there on.
+    """
+    at, quotes, lower = 0, True, page.lower() if len(page) else page
+    while True:
+        m = TAG_START.search(page, at)
+        if not m:
+            return
+        if m["comment"]:
+            end = COMMENT_END.search(page, m.end())
+            at = end.end() if end else len(page)
+            yield m.start(), at, "", "", False
+            continue
+        end = -1
+        if m["name"] and quotes:
+            k = m.end()
+            while True:
+                k = UNQUOTED.match(page, k).end()
+                if k >= len(page):
+                    quotes = False  # for the rest of the page, so this is met once
+                    break
+                if page[k] == ">":
+                    end = k
+                    break
+                k = page.find(page[k], k + 1) + 1
+                if not k:
+                    quotes = False
+                    break
+        if end < 0:
+            end = page.find(">", m.end())
+            if end < 0:
+                return  # no tag ends after this place: the rest is text
+        name = (m["name"] or "").lower()
+        attrs = page[m.end("name") : end] if name else ""
+        if name in RAW and not m["end"]:
+            close = lower.find(f"</{name}", end) if len(lower) == len(page) else re.compile(f"</{name}", re.IGNORECASE).search(page, end)
+            close = close if isinstance(close, int) else close.start() if close else -1
+            end = page.find(">", close) if close >= 0 else -1
+            at = end + 1 if end >= 0 else len(page)
+            yield m.start(), at, "", "", False
+            continue
+        at = end + 1
+        yield m.start(), at, name, attrs, bool(m["end"])
+
+
+Event = tuple[str, str, "Node | None"]
 
 
 def events_of(page: str) -> Iterator[Event]:
-    """(kind, value, marks of all open containers): kind is ``text``, or ``open`` or ``close`` with an element's name."""
-    stack: list[tuple[str, tuple[str, ...]]] = []
+    """(kind, value, innermost container with marks): kind is ``text``, or ``open`` or ``close`` with an element's name."""
+    stack: list[tuple[str, Node | None, int]] = []  # element, its node or the one around it, place of the innermost block
+    opened: Counter[str] = Counter()
     at = 0
-    for m in TOKEN.finditer(page):
-        if m.start() > at:
-            yield "text", page[at : m.start()], stack[-1][1] if stack else ()
-        at = m.end()
-        name = m["name"]
+
+    def cut(k: int) -> None:
+        while len(stack) > k:
+            name, node, _ = stack.pop()
+            opened[name] -= 1
+            above = stack[-1][1] if stack else None
+            if above is not None and node is not above:
+                above.articles += node.articles + (node.name == "article")
+
+    for start, end, name, attrs, closing in tags_of(page):
+        if start > at:
+            yield "text", page[at:start], stack[-1][1] if stack else None
+        at = end
         if not name:
             continue
-        name = name.lower()
-        if m["end"]:
-            if any(n == name for n, _ in stack):
-                while stack.pop()[0] != name:
-                    pass
-            yield "close", name, ()
+        if closing:
+            if opened[name]:
+                k = len(stack) - 1
+                while stack[k][0] != name:
+                    k -= 1
+                cut(k)
+            yield "close", name, None
             continue
-        if name in BLOCKS:  # a new block ends an open paragraph, a list item the one before it
-            closes = "li" if name == "li" else "p"
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == closes:
-                    del stack[k:]
-                    break
-                if stack[k][0] in BLOCKS:
-                    break
-        yield "open", name, ()
-        if name not in VOID and not m["attrs"].endswith("/"):
-            above = stack[-1][1] if stack else ()
-            own = marks_of(name, m["attrs"])
-            stack.append((name, (*above, *own) if own else above))
+        if name in BLOCKS and stack and stack[-1][2] >= 0:  # a new block ends an open paragraph, a list item the one before it
+            k = stack[-1][2]
+            if stack[k][0] == ("li" if name == "li" else "p"):
+                cut(k)
+        yield "open", name, None
+        if name not in VOID and not attrs.endswith("/"):
+            above = stack[-1][1] if stack else None
+            own = marks_of(name, attrs)
+            node = Node(above, name, own) if own else above
+            stack.append((name, node, len(stack) if name in BLOCKS else stack[-1][2] if stack else -1))
+            opened[name] += 1
     if at < len(page):
-        yield "text", page[at:], stack[-1][1] if stack else ()
+        yield "text", page[at:], stack[-1][1] if stack else None
+    cut(0)
 
 
 def learn(pages: list[str]) -> Weights:
     """Weights from pages whose main text is labelled by one ``article`` element: log odds of standing inside or outside of it."""
     inside, outside, tags_in, tags_out = Counter(), Counter(), Counter(), Counter()
     for page in pages:
-        depth = 0
-        for kind, value, marks in events_of(page):
+        depth, words, nodes = 0, {}, {}
+        for kind, value, node in events_of(page):
             if kind == "text":
                 n = len(value.split())
-                (inside if depth else outside).update({m: n for m in set(marks)} | {"": n})
+                (inside if depth else outside)[""] += n
+                if node is not None:
+                    nodes[id(node)] = node
+                    words[id(node), depth > 0] = words.get((id(node), depth > 0), 0) + n
             elif value == "article":
                 depth += 1 if kind == "open" else -1
             elif kind == "open":
                 (tags_in if depth else tags_out)[value] += 1
+        for (key, within), n in words.items():  # a mark counts once a text, however many containers around it have it
+            marks, node, far = set(), nodes[key], 0
+            while node is not None and far < NEAREST:
+                marks.update(node.marks)
+                node, far = node.above, far + 1
+            (inside if within else outside).update(dict.fromkeys(marks, n))
     weights = Weights()
     if not inside[""] or not outside[""]:
         return weights
@@ -143,18 +236,45 @@ def learn(pages: list[str]) -> Weights:
     return weights
 
 
+TAGGED, NAMED, CLEAR = "tagged", "named", "clear"
+
+
+def verdict(node: Node | None, weights: Weights) -> tuple[str, float]:
+    """Whether a container is page furniture, by its element or only by its names, and the score of a word in it.
+
+    Marks of furniture hold for all that stands below, but a lone article, or the main element, outweighs names above it
+    (not elements such as ``aside``); a header inside of content belongs to the content.
+    """
+    path = []
+    while node is not None and node.verdict is None:
+        path.append(node)
+        node = node.above
+    state, score, article = node.verdict if node is not None else (CLEAR, 1.0, False)
+    for node in reversed(path):
+        against = [m for m in node.marks if weights.mark(m) <= -1]
+        high = max((weights.mark(m) for m in node.marks), default=0.0)
+        if f"tag:{node.name}" in against and not (node.name == "header" and article and len(against) == 1):
+            state = TAGGED
+        elif any(m != f"tag:{node.name}" for m in against):
+            lone = node.articles == 1 and node.name != "article"
+            state = state if state == TAGGED or lone and state == CLEAR else NAMED
+            if lone and state == CLEAR:
+                high = 0.0
+        elif node.name == "main" and state == NAMED:
+            state = CLEAR
+        article = article or state == CLEAR and node.name in CONTENT
+        score = max(score, high)
+        node.verdict = (state, score, article)
+    return state, score
+
+
 def main_text(page: str | None, weights: Weights) -> str:
     """The blocks of the best region, one a line; empty if no region scores above zero."""
-    events, scores = [], []
-    cache: dict[tuple, float] = {}
-    for kind, value, marks in events_of(page or ""):
-        events.append((kind, value))
+    events, scores = list(events_of(page or "")), []
+    for kind, value, node in events:
         if kind == "text":
-            if marks not in cache:
-                each = [weights.mark(m) for m in marks]
-                low, high = min(each, default=0.0), max(each, default=0.0)
-                cache[marks] = low if low <= -1 and not header_of_content(marks, weights) else max(1.0, high)
-            scores.append(cache[marks] * len(value.split()))
+            state, score = verdict(node, weights)
+            scores.append((score if state == CLEAR else -2.0) * len(value.split()))
         else:
             scores.append(weights.tag(value) if kind == "open" or value in BLOCKS else 0.0)
     best, best_range, total, start = 0.0, (0, 0), 0.0, 0
@@ -166,7 +286,7 @@ def main_text(page: str | None, weights: Weights) -> str:
             best, best_range = total, (start, i + 1)
     blocks, block = [], []
     for i in range(*best_range):
-        kind, value = events[i]
+        kind, value, _ = events[i]
         if kind == "text":
             if scores[i] >= 0:
                 block.append(html.unescape(value))
@@ -179,12 +299,6 @@ def main_text(page: str | None, weights: Weights) -> str:
     return "\n".join(b for b in (" ".join(b.split()) for b in blocks) if b)
 
 
-def header_of_content(marks: tuple[str, ...], weights: Weights) -> bool:
-    """Whether the only thing against a text is a header element inside an article: it holds the article's title."""
-    against = [m for m in marks if weights.mark(m) <= -1]
-    return against == ["tag:header"] and any(m in marks[: marks.index("tag:header")] for m in ("tag:article", "tag:main"))
-
-
 def train(pages: DataFrame, html_col: str = "html", limit: int = LABELLED_PAGES) -> Weights:
     """Weights from at most ``limit`` pages, chosen by a hash, with exactly one article element; none: the fixed ones."""
     low = F.lower(F.col(html_col))

@@ -175,6 +175,51 @@ def test_main_text(weights, inner, want):
     assert extract.main_text(PAGE.replace("{}", inner), weights) == want
 
 
+@pytest.mark.parametrize("name", ["single", "no-sidebar", "single has-sidebar", "with-header", "search-results", "social-news", "legal", "sidebar"])
+def test_layout_classes_of_the_whole_page(weights, name):
+    page = PAGE.replace("{}", f"<article><h1>A title</h1>{BODY}</article>").replace("<body>", f'<body class="{name}" id="{name}">')
+    assert extract.main_text(page, weights) == f"A title\n{TEXT}"
+
+
+@pytest.mark.parametrize("name", ["no-sidebar", "has-sidebar", "with-header", "search-results", "social-news", "legal", "side-story"])
+def test_a_lone_article_outweighs_names_around_it(weights, name):
+    inner = f'<div class="{name}"><div id="{name}"><article>{BODY}</article></div></div><div class="related"><article><p>Other news here.</p></article><article><p>More of them.</p></article></div>'
+    assert extract.main_text(PAGE.replace("{}", inner), weights) == TEXT
+
+
+@pytest.mark.parametrize("name", ["sidebar", "sidebar-left", "site-header", "cookie-notice-box", "comment-list", "share-buttons"])
+def test_names_of_furniture(weights, name):
+    inner = f'<article>{BODY}</article><div class="{name}"><p>Words that no reader of this came for, at all.</p></div>'
+    assert extract.main_text(PAGE.replace("{}", inner), weights) == TEXT
+
+
+def test_comments_by_article_elements(weights):
+    inner = f'<article>{BODY}</article><ol class="comment-list"><li><article class="comment-body"><p>So do I, says one of the readers.</p></article></li></ol>'
+    assert extract.main_text(PAGE.replace("{}", inner), weights) == TEXT
+    assert extract.main_text(PAGE.replace("{}", f"<aside><article><p>Short teaser.</p></article></aside><div><p>{'long text ' * 9}</p></div>"), weights) == ("long text " * 9).strip()
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<div class='x y-z'>" * 55_000, "<div class='x'>w" * 55_000 + "</i>" * 20_000, '<a "' * 260_000, "<a '\">" * 160_000, "<!" * 500_000, "</" * 500_000, "<p <" * 250_000,
+        "<b>" * 100_000 + "<div></div>" * 60_000, "<li><div>" + "<b>" * 100_000 + "<li></li>" * 60_000, "<script " * 120_000, "<!--" * 250_000, "<article>" * 110_000, "<a x=\"<a x='" * 90_000, "<p>" * 340_000,
+    ],
+)
+def test_hostile_pages_of_a_megabyte(weights, page):
+    import time
+    import tracemalloc
+
+    start = time.time()
+    extract.main_text(page, weights)
+    assert time.time() - start < 8
+    tracemalloc.start()
+    extract.main_text(page[: len(page) // 10], weights)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 60_000_000
+
+
 def test_odd_pages(spark, weights):
     pages = [(1, "u", None), (2, None, ""), (None, "u", "just words"), (3, "u", "<p>a < b & c <notatag"), (3, "u", "<p>a < b & c <notatag"), (4, "u", "<div " * 2000), (5, "u", "<p>" + "long words " * 100_000), (6, "u", "<nav>only menu</nav>"), (7, "u", "<!-- never closed <p>x</p>"), (8, "u", "</p></div>stray</b>")]
     df = spark.createDataFrame([(*p, "keep") for p in pages], "page_id long, url string, html string, text string")
