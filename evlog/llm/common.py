@@ -59,11 +59,16 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def row_key(id_col: str, text_col: str) -> Column:
-    """A 64-bit key of a document row; rows with equal id and text share it."""
+def row_hash(id_col: str, text_col: str) -> Column:
+    """A 64-bit key of a document row, for steps where it does no harm that some pair of rows may share one."""
     return F.xxhash64(F.col(id_col), F.col(text_col))
 
 
+def row_key(id_col: str, text_col: str) -> Column:
+    """A 128-bit key of a document row, of two seeds; rows with equal id and text share it."""
+    return F.struct(row_hash(id_col, text_col).alias("a"), F.xxhash64(F.lit(1), F.col(id_col), F.col(text_col)).alias("b"))
+
+
 def bounded_sample(df: DataFrame, want: int, total: int, *columns: str) -> DataFrame:
     """At most ``want`` rows of about ``total``, chosen by a hash of the columns: the same ones on every run.
 

@@ -1,7 +1,4 @@
-"""SimHash near-duplicates: fingerprints are sharded by vantage-point trees and linked exactly within Hamming shards.
-
-``similar`` links texts by their exact Jaccard similarity instead; MinHash bands nominate the pairs.
-"""
+"""SimHash near-duplicates: fingerprints are sharded by vantage-point trees and linked exactly within Hamming shards."""
 
 from __future__ import annotations
 
@@ -16,13 +13,10 @@ from .common import bounded_sample, join_hot, row_key, stored, texts_of
 SHINGLE, RADIUS = 4, 4
 #: Wide fingerprints have four words; they tell how similar two texts are, not only that they are almost equal: at a Jaccard
 #: similarity of 0.8 two texts differ in 39 of 256 bits on average (2 J / (1 + J) is the cosine, its angle the share of bits).
-WIDE_WORDS, WIDE_RADIUS, WIDE_SHINGLE = 4, 40, 5
+WIDE_WORDS, WIDE_RADIUS = 4, 40
 #: Bits of a group, each of which has a tree; prints that a shard should hold; most prints that the trees are fitted on.
 GROUP, SHARD, SAMPLE = 16, 40_000, 20_000
 PAIRS_AT_ONCE = 1 << 20
-#: Similar texts: hundredths of Jaccard similarity; MinHash bands and rows of each; centres of a bucket in the first turn.
-SIMILAR, BANDS, ROWS, CENTRES = 80, 32, 5, 4
-FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
 
 # ---- fingerprints ---------------------------------------------------------------------------------------------------
@@ -61,7 +55,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield pa.RecordBatch.from_arrays([batch.column(id_col), batch.column("_row"), pa.array(bits, pa.binary()), pa.array(np.array(fp, np.uint64).view(np.int64))], names=names)
 
     rows = docs.select(id_col, text_col, row_key(id_col, text_col).alias("_row"))
-    return rows.mapInArrow(compute, f"{id_col} {id_type}, _row long, _bits binary, _fp long")
+    return rows.mapInArrow(compute, f"{id_col} {id_type}, _row struct<a:bigint,b:bigint>, _bits binary, _fp long")
 
 
 def words_of(column: pa.Array, words: int) -> np.ndarray:
@@ -297,148 +291,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return grouped.select(id_col, "_row", fingerprint_text.alias("fingerprint"), "component_id", "_root")
 
 
-# ---- similar texts, verified ------------------------------------------------------------------------------------------------
-
-
-def shingle_set(text: str | None, shingle: int = WIDE_SHINGLE) -> np.ndarray:
-    """Sorted hashes of the distinct shingles of a whole text; a shorter text is one shingle, a wordless one has none."""
-    import xxhash
-
-    tokens = (text or "").encode("utf-8", "replace").lower().split()
-    if not tokens:
-        return np.zeros(0, "<u8")
-    grams = (b" ".join(tokens[i : i + shingle]) for i in range(max(1, len(tokens) - shingle + 1)))
-    return np.unique(np.fromiter((xxhash.xxh3_64_intdigest(g) for g in grams), "<u8"))
-
-
-def band_keys(shingles: np.ndarray) -> np.ndarray:
-    """A key for each band of MinHash rows: two sets with similarity s share a given band's key with probability s ** ROWS."""
-    import xxhash
-
-    if not len(shingles):
-        return np.zeros(0, np.int64)
-    rng = np.random.default_rng(11)
-    factor, shift = (rng.integers(0, 1 << 64, BANDS * ROWS, dtype=np.uint64) for _ in range(2))
-    factor |= np.uint64(1)
-    least = np.full(BANDS * ROWS, ~np.uint64(0))
-    for at in range(0, len(shingles), 1 << 12):
-        part = shingles[at : at + (1 << 12)]
-        mixed = part * factor[:, None] + shift[:, None]
-        mixed ^= mixed >> np.uint64(32)
-        mixed *= FACTOR
-        np.minimum(least, mixed.min(axis=1), out=least)
-    rows = least.astype("<u8").reshape(BANDS, ROWS)
-    return np.array([xxhash.xxh3_64_intdigest(row.tobytes(), seed=band) for band, row in enumerate(rows)], np.uint64).view(np.int64)
-
-
-def alike(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
-    """Whether two sets of shingles have a Jaccard similarity of ``percent`` hundredths or more; two empty ones have."""
-    shared = len(np.intersect1d(a, b, assume_unique=True))
-    return 100 * shared >= percent * (len(a) + len(b) - shared)
-
-
-def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets are alike. Nodes that many pairs share, such as the centre of a group, are dealt out evenly."""
-    total = pairs.count()
-
-    def with_set(rows: DataFrame, end: str) -> DataFrame:
-        uses = pairs.groupBy(F.col(end).alias("_node")).agg(F.count("*").alias("_n"))
-        right = uses.join(sets, "_node").select(F.col("_node").alias(end), "_n", F.col("_set").alias(f"_set_{end}"))
-        return join_hot(rows, right, end, "_n", total, hot_share=200)
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ends = zip(batch.column("_set_a"), batch.column("_set_b"))
-            keep = [alike(np.frombuffer(a.as_buffer(), "<u8"), np.frombuffer(b.as_buffer(), "<u8"), percent) for a, b in ends]
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    return with_set(with_set(pairs, "b"), "a").mapInArrow(compare, "a long, b long")
+# ---- one row of each group --------------------------------------------------------------------------------------------------
 
 
-def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = WIDE_SHINGLE, percent: int = SIMILAR) -> DataFrame:
-    """id, _row and _root (key of the component) of every row of ``docs``; texts of a similarity of ``percent`` or more are linked.
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
+    """The rows of ``docs``, one of each component of ``near_duplicates``: that with the smallest id, and of repeated rows one.
 
-    Similarity is the exact Jaccard similarity of the texts' sets of shingles. MinHash bands only nominate pairs, and every
-    link is verified; a pair at 0.8 is nominated by none of the bands about three times in a million. Equal sets are one node,
-    so copies cost no pairs. A bucket's members are compared with some of them, its centres, and only with those of
-    other components; buckets that still hold several components come again with four times the centres, until
-    all their members are centres. Pairs are left out only if they share too few shingles for certain: a set cannot share
-    with another what no other set has. So a large group of near copies costs a few pairs a text, and no pair is left out.
-    Wordless texts are linked to each other.
-    """
-    id_type = docs.schema[id_col].dataType.simpleString()
-
-    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
-
-        for batch in batches:
-            sets = [shingle_set(t, shingle) for t in texts_of(batch, text_col)]
-            nodes = np.array([xxhash.xxh3_64_intdigest(s.tobytes()) for s in sets], np.uint64).view(np.int64)
-            keys = pa.array([band_keys(s) for s in sets], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column(id_col), batch.column("_row"), pa.array(nodes, pa.int64()), keys], names=[id_col, "_row", "_node", "_keys"])
-
-    def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                yield pa.RecordBatch.from_arrays([part.column("_node"), pa.array([shingle_set(t, shingle).tobytes() for t in texts_of(part, "_text")], pa.binary())], names=["_node", "_set"])
-
-    def shingles_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for node, held in zip(batch.column("_node").to_pylist(), batch.column("_set")):
-                found = np.frombuffer(held.as_buffer(), "<i8")
-                for at in range(0, len(found), 1 << 16):
-                    part = found[at : at + (1 << 16)]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), node, np.int64)), pa.array(part)], names=["_node", "_shingle"])
-
-    texts = docs.select(id_col, text_col, row_key(id_col, text_col).alias("_row"))
-    rows = stored(texts.mapInArrow(sketch, f"{id_col} {id_type}, _row long, _node long, _keys array<long>"))
-    members = rows.select(F.explode("_keys").alias("_key"), "_node").distinct()
-    sizes = members.groupBy("_key").agg(F.count("*").alias("_n"), F.count("*").alias("_size")).filter("_n > 1")
-    every = members.count()
-    members = stored(join_hot(members, sizes, "_key", "_n", every).filter("_size > 1"))
-    # one row's text stands for all texts of its set
-    stands = rows.join(members.select("_node").distinct(), "_node", "left_semi").groupBy("_node").agg(F.min("_row").alias("_row"))
-    sets = texts.select(F.col(text_col).alias("_text"), "_row").join(stands, "_row").dropDuplicates(["_row"])
-    sets = stored(sets.mapInArrow(sets_of, "_node long, _set binary"))
-    # how many shingles a set has, and how many of them any other has: with a partner b, a shares percent / (100 + percent) of |a| + |b|
-    each = sets.mapInArrow(shingles_of, "_node long, _shingle long")
-    common = each.groupBy("_shingle").agg(F.count("*").alias("_n"), F.lit(True).alias("_common")).filter("_n > 1")
-    common = join_hot(each, common, "_shingle", "_n", each.count()).groupBy("_node").agg(F.count("*").alias("_all"), F.count("_common").alias("_shared"))
-    enough = lambda x, y: F.least(x["_shared"], y["_shared"]) * (100 + percent) >= (x["_all"] + y["_all"]) * percent
-    members = stored(members.join(common, "_node").filter(f"_shared * 100 >= _all * {percent}"))
-    centres, tried, edges, roots = CENTRES, None, None, None
-    while True:
-        now = members.withColumn("_part", F.col("_node"))
-        if roots is not None:
-            now = members.join(roots, F.col("_node") == F.col("node"), "left").select("_key", "_node", "_size", "_all", "_shared", F.coalesce("root", "_node").alias("_part"))
-        chosen = F.pmod(F.xxhash64("_node"), F.lit(1 << 40)) * F.col("_size") < F.lit(centres << 40)
-        live = now.groupBy("_key").agg(F.count("*").alias("_n"), F.min("_part").alias("_low"), F.max("_part").alias("_high"), F.collect_list(F.when(chosen, F.struct("_node", "_part", "_all", "_shared"))).alias("_centres"))
-        live = live.filter("_low <> _high").select("_key", "_n", "_centres")
-        now = stored(join_hot(now, live, "_key", "_n", every).filter("_centres is not null"))
-        largest = now.agg(F.max("_size")).first()[0] or 0
-        own = {"_all": F.col("_all"), "_shared": F.col("_shared")}
-        met = now.select("_node", F.explode(F.filter("_centres", lambda c: (c["_part"] != F.col("_part")) & enough(own, c))).alias("_c"))
-        pairs = met.select(F.least("_node", "_c._node").alias("a"), F.greatest("_node", "_c._node").alias("b")).distinct()
-        pairs = stored(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
-        links_now = stored(verified(pairs, sets, percent))
-        tried = pairs if tried is None else tried.unionByName(pairs)
-        edges = links_now if edges is None else edges.unionByName(links_now)
-        roots = components(edges)
-        if largest <= centres:
-            break
-        members, centres = now.select("_key", "_node", "_size", "_all", "_shared"), 4 * centres
-    found = rows.groupBy("_node").agg(F.count("*").alias("_n")).join(roots, F.col("_node") == F.col("node"), "left")
-    found = stored(found.select("_node", "_n", F.coalesce("root", "_node").alias("_root")))
-    return join_hot(rows.select(id_col, "_row", "_node"), found, "_node", "_n", rows.count()).select(id_col, "_row", "_root")
-
-
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = WIDE_SHINGLE, percent: int = SIMILAR) -> DataFrame:
-    """The rows of ``docs``, one of each component: that with the smallest id (null ids last), and of repeated rows one.
-
-    Linked are texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more (``similar``).
+    Null ids come after all others; wordless texts are one component; all columns stay, and an empty table stays empty.
     """
-    found = similar(docs, id_col, text_col, shingle, percent)
+    found = near_duplicates(docs, id_col, text_col, shingle, radius)
     rank = F.struct(F.col(id_col).isNull(), F.col(id_col), F.col("_row"))
     best = found.groupBy("_root").agg(F.min(rank).alias("_best")).select(F.col("_best._row").alias("_llm_row")).distinct()
     kept = docs.withColumn("_llm_row", row_key(id_col, text_col)).join(best, "_llm_row", "left_semi")

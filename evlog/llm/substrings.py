@@ -9,13 +9,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import row_key, stored, texts_of
+from .common import row_hash, stored, texts_of
 
 WINDOW = 35
 #: A perfect difference set: every difference modulo 21 occurs between two of its members.
 PERIOD, COVER = 21, (0, 1, 4, 14, 16)
 BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 KEYS_AT_ONCE = 1 << 21
+LOW = (1 << 32) - 1
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -107,7 +108,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     Words are the runs between ASCII white space, unchanged; kept words are joined by one space. Null texts have no words.
     Null ids and repeated rows are kept, and a repeated row repeats its whole text. All columns of ``docs`` stay,
     except that the four named above are replaced; an empty table stays empty.
-    Rows with the same id and text share a 64-bit key; windows have 96-bit hashes.
+    Windows have 96-bit hashes. Rows meet their windows by a 64-bit key; a start is taken only if the row's own window
+    there has the hash that was found to repeat, so rows that happen to share a key take none of each other's.
     """
     span = window - PERIOD + 1
     if span < 1:
@@ -115,7 +117,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     cover = np.zeros(PERIOD, bool)
     cover[list(COVER)] = True
     docs = docs.drop("n_words", "n_removed", "kept_sha256", "kept_text")
-    texts = docs.select(F.col(text_col).alias("_text"), row_key(id_col, text_col).alias("_row")).filter(F.length("_text") >= 2 * window - 1)
+    texts = docs.select(F.col(text_col).alias("_text"), row_hash(id_col, text_col).alias("_row")).filter(F.length("_text") >= 2 * window - 1)
 
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def chunks():
@@ -152,7 +154,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     joined = texts.join(nominated, "_row")
     found = joined.select("_text", "_row", "at").mapInArrow(windows, "key long, key2 int, _row long, at int, weight int")
     total = F.sum("weight").over(Window.partitionBy("key", "key2"))
-    starts = stored(found.withColumn("_all", total).filter("_all >= 2").groupBy(F.col("_row").alias("_llm_row")).agg(F.collect_list("at").alias("_llm_starts")))
+    start = F.shiftleft(F.col("at").cast("long"), 32).bitwiseOR(F.col("key").bitwiseAND(F.lit(LOW)))
+    starts = stored(found.withColumn("_all", total).filter("_all >= 2").groupBy(F.col("_row").alias("_llm_row")).agg(F.collect_list(start).alias("_llm_starts")))
 
     rest = [c for c in docs.columns]
     types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
@@ -166,8 +169,11 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 removed = 0
                 if starts.is_valid:
                     marks = np.zeros(len(words) + 1, np.int32)
-                    at = np.unique(starts.values.to_numpy())
-                    at = at[at <= len(words) - window]
+                    packed = np.unique(starts.values.to_numpy())
+                    at = packed >> 32
+                    at, packed = at[at <= len(words) - window], packed[at <= len(words) - window]
+                    own = rolling(hashes_of(words), window, BASES[0])
+                    at = at[own[at].view(np.int64) & LOW == packed & LOW]
                     np.add.at(marks, at, 1)
                     np.add.at(marks, at + window, -1)
                     covered = np.cumsum(marks)[: len(words)] > 0
@@ -184,12 +190,12 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 names.append("kept_text")
             yield pa.RecordBatch.from_arrays(out, names=names)
 
-    met = docs.withColumn("_llm_row", row_key(id_col, text_col)).join(starts, "_llm_row", "left")
+    met = docs.withColumn("_llm_row", row_hash(id_col, text_col)).join(starts, "_llm_row", "left")
     return met.drop("_llm_row").mapInArrow(cut, schema)
 
 
 def wide_places(chunks: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
-    """As ``places``, for keys of 64 and 32 bits."""
+    """As ``places``, for keys of 64 and 32 bits; places whose fate is known differ in the second part only."""
     keys, rows, at, held = [], [], [], 0
 
     def flush() -> pa.RecordBatch:
@@ -202,8 +208,8 @@ def wide_places(chunks: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]) ->
         last[:-1] = new[1:]
         weight = np.where(new & last, 1, 2).astype(np.int32)
         own = ~new
-        both[own, 0] = row[own].view(np.uint64)
-        both[own, 1] = pos[own].astype(np.uint64)
+        mixed = (row[own].view(np.uint64) * np.uint64(BASES[1]) + pos[own].astype(np.uint64)) * np.uint64(BASES[0])
+        both[own, 1] = mixed >> np.uint64(32)
         columns = [both[:, 0].copy().view(np.int64), both[:, 1].astype(np.uint32).view(np.int32), row, pos, weight]
         return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["key", "key2", "_row", "at", "weight"])
 

@@ -8,6 +8,7 @@ from collections import Counter
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from evlog.llm import simhash, substrings
 from evlog.llm.common import join_hot
@@ -206,6 +207,13 @@ def test_repeats_are_cut(spark, rows):
     assert all(hashlib.sha256(r.kept_text.encode()).hexdigest() == r.kept_sha256 for r in cells)
 
 
+def test_rows_that_share_a_key_keep_their_own_words(spark, monkeypatch):
+    monkeypatch.setattr(substrings, "row_hash", lambda *_: F.lit(7).cast("long"))
+    rows = REPEATS + passages(5)
+    got = substrings.remove_repeats(docs_of(spark, rows)).collect()
+    assert Counter((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in got) == plain_cut(rows)
+
+
 def test_repeats_across_flushes(spark, monkeypatch):
     monkeypatch.setattr(substrings, "KEYS_AT_ONCE", 50)
     rows = passages(4)
@@ -225,55 +233,3 @@ def test_clashing_columns(spark):
     assert simhash.near_duplicates(docs).count() == 2
     kept = simhash.keep_one(docs)
     assert kept.columns == docs.columns and {(r._row, r._root) for r in kept.collect()} == {(6, 10)}
-
-
-# ---- similar texts ----------------------------------------------------------------------------------------------------
-
-
-def plain_similar(rows, least=80):
-    """Labels of components of all pairs whose sets of five-word shingles are alike, and the pairs."""
-
-    def grams(text):
-        words = WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
-        return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
-
-    sets = [grams(t) for _, t in rows]
-    parts = simhash.Parts(len(rows))
-    pairs = [(i, j) for i in range(len(rows)) for j in range(i) if 100 * len(sets[i] & sets[j]) >= least * len(sets[i] | sets[j])]
-    parts.join(np.array([p[0] for p in pairs], int), np.array([p[1] for p in pairs], int))
-    return parts.label.tolist()
-
-
-def similar_texts(seed, families=60):
-    """Families around the threshold: versions with similarities from 0.6 to 1, of short texts and long ones."""
-    rng = random.Random(seed)
-    rows = []
-    for _ in range(families):
-        words = [f"w{rng.randrange(4000)}" for _ in range(rng.choice([3, 6, 9, 14, 30, 100, 300]))]
-        rows.append((len(rows), " ".join(words)))
-        for _ in range(rng.choice([1, 2, 4])):
-            changed = list(words)
-            for _ in range(rng.randrange(0, 1 + len(words) // 30)):
-                changed[rng.randrange(len(changed))] = f"x{rng.randrange(10**6)}"
-            if rng.random() < 0.7:  # words at the end change the similarity in small steps
-                changed = changed[: len(changed) - rng.randrange(0, 1 + len(changed) // 5)]
-            rows.append((len(rows), rng.choice([" ", "\n"]).join(changed)))
-    return rows
-
-
-@pytest.mark.parametrize("centres", [1, 4])
-@pytest.mark.parametrize("rows", [similar_texts(1), similar_texts(2), ODD + similar_texts(3, 20)])
-def test_links_are_the_pairs_of_that_similarity(spark, monkeypatch, rows, centres):
-    """Every pair of 0.8 or more is linked and none below, which a cut of fingerprints alone cannot tell."""
-    monkeypatch.setattr(simhash, "CENTRES", centres)
-    found = simhash.similar(docs_of(spark, [(i, t) for i, (_, t) in enumerate(rows)])).collect()
-    root = {r.doc_id: r._root for r in found}
-    groups = lambda labels: Counter(frozenset(i for i, x in enumerate(labels) if x == k) for k in set(labels))
-    assert groups([root[i] for i in range(len(rows))]) == groups(plain_similar(rows))
-
-
-def test_one_is_kept_of_texts_of_that_similarity(spark):
-    rows = similar_texts(4)
-    label = plain_similar(rows)
-    kept = sorted(r.doc_id for r in simhash.keep_one(docs_of(spark, rows)).collect())
-    assert kept == sorted({min(i for i, x in enumerate(label) if x == k) for k in label})
