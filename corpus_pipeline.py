@@ -21,7 +21,7 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of similar documents (0.8 or more of their five-word shingles, verified) that with the smallest id."""
+    """Of each component of near duplicates (fingerprints of four-word shingles within 4 bits) the document with the smallest id."""
     return simhash.keep_one(docs.select(COLUMNS))
 
 
