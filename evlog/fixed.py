@@ -43,7 +43,9 @@ LEEF_3_START = rf"\ALEEF:3\.{D}+{S}"
 CEF_INSIDE = rf"{NOT_AFTER_WORD}CEF:{D}+\|"
 LEEF_INSIDE = rf"{NOT_AFTER_WORD}LEEF:[123]\.{D}+[| ]"
 XML_ROOT = rf"\A<({TAG_NAME})"
-TWO_TAGS = r"(?s)<[^>]+>.*?<[^>]+>"
+# two tags, each of one character or more; text up to a ``>`` without a tag is passed over once, so time grows with the line
+_NO_TAG = r"(?:[^<>]*+<?+>)*+"
+TWO_TAGS = rf"\A{_NO_TAG}[^<>]*+<[^>]++>{_NO_TAG}[^<>]*+<[^>]++>"
 RFC_5424 = rf"\A(?:<{D}{{1,3}}>{D}{S})?{_ISO_DAY}T{_CLOCK}(?:\.{D}+)?{_ZONE}{S}+{NS}+{S}+{NS}+"
 RFC_3164 = (
     rf"\A(?:<{D}{{1,3}}>)?(?:{_STAMP_3164}|{_ISO_DAY}[T ]{_CLOCK}(?:[.,]{D}+)?)"
@@ -143,7 +145,8 @@ XML_KEYS = {
 # --- line layouts ------------------------------------------------------------
 
 CEF_PAYLOAD = rf"(?s)\A(?:<{D}+>)?{D}?{S}*(?:{_STAMP_3164}{S}+{NS}+{S}+)?(CEF:{D}+\|.*)\z"
-CEF_PAIR = rf"{NOT_AFTER_WORD}{W}++=[^\n]*?(?={S}+{W}+=|\n?\z)"
+# a value ends before the first blank of the run that comes before the next key
+CEF_PAIR = rf"{NOT_AFTER_WORD}{W}++=[^\n]*?(?=(?<!{S}){S}++{W}++=|\n?\z)"
 LEEF_HEADER = rf"\ALEEF:{D}+\.{D}+\|[^|]*\|[^|]*\|"
 SYSLOG_LINE = (
     rf"(?s)\A(?:<({D}{{1,3}})>)?({_STAMP_3164}|{_ISO_DAY}T{_CLOCK}(?:\.{D}+)?{_ZONE})"
@@ -151,6 +154,9 @@ SYSLOG_LINE = (
 )
 SYSLOG_PAIR = rf"{NOT_AFTER_WORD}{W}++={NS}+"
 XML_LEAF = rf"<({TAG_NAME})(?:{S}[^>]*)?>[^<]*</\1>"
+# a ``<`` before another one without ``>`` between them; an end tag without its ``>``
+OPEN_TWICE = r"<[^<>]*+<"
+XML_END_TAG = rf"\A</({TAG_NAME})\z"
 PRI_SEVERITY = [
     "emergency", "alert", "critical", "error", "warning", "notice", "informational", "debug",
 ]

@@ -86,7 +86,39 @@ def _syslog_parts(text: Column) -> Column:
 
 
 def _xml_parts(raw: Column) -> Column:
-    return F.regexp_extract_all(raw, F.lit(X.XML_LEAF), F.lit(0))
+    """Leaf elements. Where several ``<`` come before one ``>``, tags and the texts after them are told apart by cutting the line.
+
+    A search would begin at each ``<`` and run to the same ``>``, in time with the square of the line.
+    """
+    cut = let(F.split(raw, "<"), lambda c: _leaves(F.slice(c, F.lit(2), F.size(c))))
+    return F.when(raw.rlike(X.OPEN_TWICE), cut).otherwise(F.regexp_extract_all(raw, F.lit(X.XML_LEAF), F.lit(0)))
+
+
+def _leaves(pieces: Column) -> Column:
+    """Leaf elements of a line from its pieces, each of which followed a ``<``: a tag is what stands between one ``>`` and the next
+    that ends a tag, so it may hold several pieces."""
+
+    def ends(p: Column) -> Column:
+        return F.contains(p, F.lit(">"))
+
+    def tag_part(p: Column) -> Column:
+        return F.concat(F.lit("<"), F.when(ends(p), F.concat(F.substring_index(p, ">", 1), F.lit(">"))).otherwise(p))
+
+    def opens(tag: Column, name: Column) -> Column:
+        named = F.slice(F.split(tag, "<"), F.lit(2), F.length(tag) + 1)
+        with_rest = F.exists(named, lambda p: F.startswith(p, name) & F.substring(p, F.length(name) + 1, F.lit(1)).rlike(X.S))
+        return F.endswith(tag, F.concat(F.lit("<"), name)) | with_rest
+
+    def leaf(both: Column, i: Column) -> Column:
+        tags, texts = both["tags"], both["texts"]
+        name = F.regexp_extract(F.get(tags, i + 1), X.XML_END_TAG, 1)
+        whole_leaf = lambda n: F.concat(F.lit("<"), n, F.lit(">"), F.get(texts, i), F.lit("</"), n, F.lit(">"))
+        return let(name, lambda n: F.when((n != "") & opens(F.get(tags, i), n), whole_leaf(n)))
+
+    tags = F.split(F.array_join(F.transform(pieces, tag_part), ""), ">")
+    texts = F.transform(F.filter(pieces, ends), lambda p: F.substring(p, F.instr(p, ">") + 1, F.length(p)))
+    found = let(F.struct(tags.alias("tags"), texts.alias("texts")), lambda b: F.transform(F.sequence(F.lit(0), F.size(b["texts"])), lambda i: leaf(b, i)))
+    return F.filter(found, lambda p: p.isNotNull())
 
 
 # --- key/value pairs ---------------------------------------------------------

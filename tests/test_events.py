@@ -3,6 +3,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from evlog.operators import parse
 from evlog.operators.integrity import canonical_json, valid_digest, verify_hashes
 from evlog.operators.onboard import apply_templates, discover_templates, fingerprint, onboard, template_rows
 from evlog.operators.provenance import event_summary, lineage_mismatch, provenance_summary
@@ -223,7 +224,17 @@ LONG_LINES = {
     "syslog_key": "<134>May  1 10:31:07 h p: " + "k" * LONG + "=u src=1.1.1.1",
     "xml_tag": f"<a><{'t' * LONG}>x</{'t' * LONG}><src>1.1.1.1</src></a>",
     "xml_value": "<a><src>1.1.1.1</src><note>" + "n" * LONG + "</note></a>",
+    "xml_opens": "<a><src>1.1.1.1</src>" + "<a " * (LONG // 3) + "</a>",
+    "xml_tags": "<a><src>1.1.1.1</src>" + "<b>" * (LONG // 3) + "</a>",
+    "xml_less": "<a><src>1.1.1.1</src>" + "<" * LONG + "</a>",
+    "xml_closes": "<a><src>1.1.1.1</src>" + "</a" * (LONG // 3) + "</a>",
+    "xml_greater": "<a><src>1.1.1.1</src>" + ">" * LONG + "</a>",
+    "one_tag": "<a " * (LONG // 3) + "</a>",
+    "cef_blanks": "CEF:0|V|P|1|9|N|3|msg=x" + " " * LONG + "src=1.1.1.1",
+    "cef_words": "CEF:0|V|P|1|9|N|3|msg=" + "w " * (LONG // 2) + "src=1.1.1.1",
 }
+#: Seconds that each long line may take, beyond the time of a short one.
+SECONDS = 5
 
 
 def test_long_texts_in_all_formats(raw_table):
@@ -236,6 +247,31 @@ def test_long_texts_in_all_formats(raw_table):
     assert all(rows[n].canonical_event.network.source_ip == "1.1.1.1" for n in LONG_LINES if n.startswith(("cef", "leef", "syslog", "xml")))
 
 
+def test_time_grows_with_the_line(raw_table):
+    """No layout searches a line again from each of its places: that would take minutes for any of these."""
+    import time
+
+    odd = [n for n in LONG_LINES if n.startswith(("xml_", "one_", "cef_"))]
+    start = time.time()
+    rows = process(raw_table([LONG_LINES[n] for n in odd])).select("pos", "format", "integrity.canonical_sha256").collect()
+    assert len(rows) == len(odd) and time.time() - start < SECONDS * len(odd)
+
+
+def test_leaves_between_stray_marks(raw_table):
+    """Lines in which several ``<`` come before one ``>`` have the same leaves as a search by pattern finds."""
+    import random
+    import re
+
+    rng = random.Random(4)
+    name = r"[A-Za-z_][A-Za-z0-9_.\-]*"
+    pieces = ["<", ">", "</", "<a", "<a>", "</a>", "<ab", "<ab ", "</ab>", " ", "x", "a", "<a x='1'>", "<src>1.1.1.1</src>", "/", "<!"]
+    lines = ["<a>" + "".join(rng.choice(pieces) for _ in range(rng.randrange(4, 30))) + "<b></b></a>" for _ in range(600)]
+    df = raw_table(lines).select("pos", "raw", parse._xml_parts(F.col("raw")).alias("parts"))
+    for r in df.collect():
+        want = [(m[1], m[2]) for m in re.finditer(rf"<({name})(?:\s[^>]*)?>([^<]*)</\1>", r.raw)]
+        assert [(re.match(rf"<({name})", p)[1], p[p.index(">") + 1 : p.rindex("</")]) for p in r.parts] == want
+
+
 def test_summary_counts_every_method(spark, raw_table):
     table = raw_table(["A||10.0.0.1|80|drop", "odd one"])
     rows = apply_templates(table, template_rows(discover_templates(table.filter("pos = 0"))))
