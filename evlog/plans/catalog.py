@@ -9,6 +9,7 @@ from evlog import fixed as X
 from evlog.functions.values import pri_severity
 from evlog.operators import integrity as I
 from evlog.operators import merkle as M
+from evlog.operators import mine
 from evlog.operators import onboard as U
 from evlog.operators import parse as P
 from evlog.operators import provenance as V
@@ -181,6 +182,16 @@ def long_tokens(spark, sf_dir):
     )
 
 
+def apply_mined(df):
+    """Every line by the layouts that its table was mined for."""
+    found = mine.apply_mined(df, mine.mined_templates(df))
+    return found.select("batch_id", "pos", "template", F.array_join("variables", ";").alias("variables"))
+
+
+def document_mined(spark, sf_dir):
+    return mine.mined_templates(_document_lines(spark, sf_dir))
+
+
 # --- events ------------------------------------------------------------------
 
 
@@ -417,6 +428,9 @@ QUERIES = {
     "templated_events": _events(templated_events),
     "template_summary": _events(template_summary),
     "long_tokens": long_tokens,
+    "mined_templates": _events(mine.mined_templates),
+    "document_mined": document_mined,
+    "apply_mined": _events(apply_mined),
     "canonical_events": _events(event_leaves),
     "merged_fields": _events(merged_fields),
     "field_confidence": _events(field_confidence),
