@@ -35,10 +35,19 @@ def empty_root() -> Column:
     return F.sha2(F.lit(""), 256)
 
 
-def _join_hash(left: Column, right: Column) -> Column:
+def pair_hash(left: Column, right: Column) -> Column:
     return F.sha2(F.concat(left, right), 256)
 
 
+def paired_level(level: Column) -> Column:
+    """The level above: nodes in pairs, the last of an odd number with itself."""
+    pairs = F.sequence(F.lit(0), (F.size(level) - 1).bitwiseAND(F.lit(-2)), F.lit(2))
+    return F.transform(
+        pairs,
+        lambda i: pair_hash(F.get(level, i), F.coalesce(F.get(level, i + 1), F.get(level, i))),
+    )
+
+
 # --- leaf order --------------------------------------------------------------
 
 
@@ -95,16 +104,9 @@ def leaf_positions(df: DataFrame, order: str, batch: str = "batch_id", buckets:
 def _fold(nodes: Column, k: int) -> Column:
     """Levels of one chunk, bottom first: at most k folds, ending at a single node."""
 
-    def up(level: Column) -> Column:
-        pairs = F.sequence(F.lit(0), (F.size(level) - 1).bitwiseAND(F.lit(-2)), F.lit(2))
-        return F.transform(
-            pairs,
-            lambda i: _join_hash(F.get(level, i), F.coalesce(F.get(level, i + 1), F.get(level, i))),
-        )
-
     def step(levels: Column, _: Column) -> Column:
         top = F.element_at(levels, -1)
-        return F.when(F.size(top) < 2, levels).otherwise(F.concat(levels, F.array(let(top, up))))
+        return F.when(F.size(top) < 2, levels).otherwise(F.concat(levels, F.array(let(top, paired_level))))
 
     return F.aggregate(F.sequence(F.lit(1), F.lit(k)), F.array(nodes), step)
 
@@ -114,7 +116,7 @@ def _lift(node: Column, times: Column) -> Column:
 
     def again(path: Column, _: Column) -> Column:
         top = F.element_at(path, -1)
-        return F.concat(path, F.array(_join_hash(top, top)))
+        return F.concat(path, F.array(pair_hash(top, top)))
 
     return F.when(times <= 0, F.array(node)).otherwise(
         F.aggregate(F.sequence(F.lit(1), times), F.array(node), again)
@@ -357,7 +359,7 @@ def _follow(start: Column, steps: Column) -> Column:
     return F.aggregate(
         steps,
         start,
-        lambda at, s: F.when(s["position"] == "left", _join_hash(s["hash"], at)).otherwise(_join_hash(at, s["hash"])),
+        lambda at, s: F.when(s["position"] == "left", pair_hash(s["hash"], at)).otherwise(pair_hash(at, s["hash"])),
     )
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from evlog import fixed as X
 from evlog.functions.values import pri_severity
+from evlog.operators import frontier as G
 from evlog.operators import integrity as I
 from evlog.operators import merkle as M
 from evlog.operators import mine
@@ -403,6 +404,32 @@ def tamper_locate(df):
     return M.tamper_locate(M.merkle_nodes(B.leaves(_shorter(df))), M.merkle_nodes(B.leaves(_tampered(df))))
 
 
+def merkle_append(df):
+    """Batches that grow: each tree's first lines are stored, the others are put behind them; some batches get no more."""
+    leaves = B.leaves(df)
+    old = F.col("pos") < 1 + F.substring("batch_id", 2, 9).cast("int") * 977 % 4500
+    before = leaves.filter(old)
+    counts = before.groupBy("batch_id").agg(F.count(F.lit(1)).alias("leaf_count"))
+    stored = G.merkle_frontier(M.merkle_nodes(before), counts)
+    grown = G.with_root(G.merkle_append(stored, leaves.filter(~old))[1])
+    return grown.select("batch_id", "leaf_count", F.size("peaks").cast("bigint").alias("peaks"), "root")
+
+
+def consistency_proofs(df):
+    """Earlier states of each batch against its tree now: whole ones, one with a wrong root, and one whose first lines were swapped."""
+    leaves = B.leaves(df)
+    cuts = leaves.withColumn("cut", F.explode(F.array(*[F.lit(c).cast("bigint") for c in (1, 2, 3, 1000, 2048, 4095)])))
+    swapped = F.when((F.col("cut") == 2048) & (F.col("pos") < 2), 1 - F.col("pos")).otherwise(F.col("pos"))
+    states = cuts.filter("pos < cut").select(F.concat_ws("/", "batch_id", F.col("cut").cast("string")).alias("batch_id"), swapped.alias("pos"), "leaf")
+    name = F.split("batch_id", "/")
+    olds = M.merkle_root(states).select(F.get(name, F.lit(0)).alias("batch_id"), F.get(name, F.lit(1)).cast("bigint").alias("cut"), F.col("root").alias("old_root"), "leaf_count")
+    olds = olds.filter("leaf_count = cut").withColumn("old_root", F.when(F.col("cut") == 1000, F.sha2("old_root", 256)).otherwise(F.col("old_root")))
+    news = M.merkle_root(leaves).select("batch_id", F.col("root").alias("new_root"), F.col("leaf_count").alias("new_count"))
+    claims = olds.join(news, "batch_id").select("batch_id", F.col("cut").alias("old_count"), "new_count", "old_root", "new_root")
+    proofs = G.consistency_proofs(M.merkle_nodes(leaves), claims).join(claims, ["batch_id", "old_count", "new_count"])
+    return G.verify_consistency(proofs).select("batch_id", "old_count", "new_count", F.size("proof").cast("bigint").alias("steps"), "valid")
+
+
 QUERIES = {
     "raw_seal": _events(raw_seal),
     "quarantine": quarantine,
@@ -456,6 +483,8 @@ QUERIES = {
     "merkle_proofs": _events(merkle_proofs),
     "verify_proofs": _events(verify_proofs),
     "verify_batch": _events(verify_batch),
+    "merkle_append": _events(merkle_append),
+    "consistency_proofs": _events(consistency_proofs),
     "tamper_diff": _events(tamper_diff),
     "tamper_roots": _events(tamper_roots),
     "tamper_locate": _events(tamper_locate),
