@@ -165,19 +165,45 @@ def _proposed(types: Column) -> Column:
     return F.filter(all_fields, lambda p: p["canonical_field"].isNotNull())
 
 
-def discover_templates(df: DataFrame) -> DataFrame:
-    """One row per signature of the unknown lines with the mapping its types suggest.
+def layout_parts(df: DataFrame, *by: str) -> DataFrame:
+    """Per ``by`` and signature: events, the smallest line as sample, and a sketch of the leading names.
 
-    All aggregates combine before the shuffle, so a layout that most lines share
-    costs one row per task.
+    Parts of a table, such as its days, may be stored and merged later (``merge_layouts``) without reading lines again. One pass:
+    with a sketch among them the aggregates are hashed, where the minimum of a text alone would sort all lines. A layout that
+    most lines share costs one row per task.
     """
     staged = df.withColumn("signature", kept(signature(F.col("raw"))))
     lead = F.get(cells(F.col("raw")), F.lit(0))
-    found = staged.groupBy("signature").agg(
-        F.count(F.lit(1)).alias("events"),
-        F.min("raw").alias("sample"),
-        F.approx_count_distinct(lead).alias("leading_values"),
+    lead = F.when(lead == "", " ").otherwise(lead)  # sketches leave out empty texts; a cell is never a blank
+    return staged.groupBy(*by, "signature").agg(
+        F.count(F.lit(1)).alias("events"), F.min("raw").alias("sample"), F.hll_sketch_agg(lead).alias("leading_sketch")
+    )
+
+
+def merge_layouts(parts: DataFrame, *by: str) -> DataFrame:
+    """Layouts of several parts together: union of the sketches, whose estimate is within some two per cent of the number."""
+    merged = parts.groupBy(*by, "signature").agg(
+        F.sum("events").alias("events"), F.min("sample").alias("sample"), F.hll_union_agg("leading_sketch").alias("leading_sketch")
     )
+    return merged.withColumn("leading_estimate", F.hll_sketch_estimate("leading_sketch"))
+
+
+def _leading_values(df: DataFrame) -> DataFrame:
+    """Exact number of leading names per signature, in two steps by 128-bit hashes: names of any length cost two numbers."""
+    lead = F.get(cells(F.col("raw")), F.lit(0))
+    hashed = F.when(lead.isNotNull(), F.struct(F.xxhash64(lead).alias("a"), F.xxhash64(F.lit(1), lead).alias("b")))
+    staged = df.select(kept(signature(F.col("raw"))).alias("signature"), kept(hashed).alias("_lead"))
+    distinct = staged.groupBy("signature", "_lead.a", "_lead.b").agg(F.count(F.lit(1)).alias("_n"))
+    return distinct.groupBy("signature").agg(F.sum("_n").alias("events"), F.count("a").alias("leading_values"))
+
+
+def discover_templates(df: DataFrame) -> DataFrame:
+    """One row per signature of the unknown lines with the mapping its types suggest; leading_values is exact.
+
+    All aggregates combine before the shuffle and are hashed. Lines are read twice: once for the counts, once for the samples.
+    """
+    sampled = layout_parts(df).withColumn("_both", kept(F.struct("sample", "leading_sketch")))
+    found = _leading_values(df).join(sampled.select("signature", F.col("_both.sample").alias("sample")), "signature")
     types = F.split(F.substring_index("signature", "/", -1), ",")
     return (
         found.withColumn("_types", types)
@@ -245,11 +271,12 @@ def with_layouts(df: DataFrame, registry: DataFrame, when: Column | None = None)
     """Add ``signature`` and ``steps`` (null where the line's layout is not registered, or ``when`` doesn't hold).
 
     The registry has no broadcast hint: Spark broadcasts it only if its measured size is below the session's limit.  Otherwise
-    lines are shuffled by signature and salt, because one layout may hold most of them, and the registry is repeated per salt.
+    lines are shuffled by signature and salt, because one layout may hold most of them, and the registry is repeated per salt:
+    as many as the session has shuffle partitions, so a layout of all lines meets the registry in all tasks.
     """
     sig = signature(F.col("raw"))
     lines = df.withColumn("signature", kept(sig if when is None else F.when(when, sig)))
-    salts = 16
+    salts = max(16, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     dealt = F.xxhash64("raw", *[c for c in ("batch_id", "pos") if c in df.columns])
     # lines without a signature meet nothing and are dealt out by their whole hash
     salt = F.when(F.col("signature").isNull(), dealt).otherwise(F.pmod(dealt, F.lit(salts)))

@@ -25,6 +25,7 @@ from evlog.functions.strict_json import json_kind, json_object
 from evlog.functions.text import kept, last_wins_map, let, strip, table, value_for
 from evlog.functions.values import kind_of, norm_kind, norm_str, pri_severity
 from evlog.operators.detect import describe_rule, rule_number
+from evlog.operators.keys import KeyRows, key_tables
 from evlog.operators.onboard import position_records, tokens
 
 RECORD = "struct<canonical_field:string,source_field:string,value:string,method:string,confidence:double>"
@@ -228,14 +229,13 @@ def _syslog_records() -> Column:
     return F.concat(_pair_records(X.SYSLOG), tail)
 
 
-def _json_records(doc: Column) -> Column:
+def _json_records(doc: Column, keys: dict[str, str]) -> Column:
     """Per canonical field the first candidate key whose value can be used.
 
     Only the keys that the object has are tried: they come out of the list of all
     candidates, which is ordered by field and preference.
     """
-    ranked = [(k, f) for f, keys in X.JSON_KEYS.items() for k in keys]
-    known = table({k: (("field", f), ("kind", kind_of(f))) for k, f in ranked})
+    known = table({k: (("field", f), ("kind", kind_of(f))) for k, f in keys.items()})
 
     def tried(m: Column) -> Column:
         def one(k: Column) -> Column:
@@ -244,7 +244,7 @@ def _json_records(doc: Column) -> Column:
                 lambda s: record(s["to"]["field"], k, norm_kind(s["to"]["kind"], F.nullif(s["text"], F.lit("")))),
             )
 
-        present = F.array_intersect(table([k for k, _ in ranked]), m["k"])
+        present = F.array_intersect(table(list(keys)), m["k"])
         return F.filter(F.transform(present, one), lambda r: r["value"].isNotNull())
 
     def first_per_field(records: Column) -> Column:
@@ -255,8 +255,8 @@ def _json_records(doc: Column) -> Column:
     return let(let(members, tried), first_per_field)
 
 
-def _json_extra(doc: Column) -> Column:
-    known = table([k for keys in X.JSON_KEYS.values() for k in keys])
+def _json_extra(doc: Column, keys: dict[str, str]) -> Column:
+    known = table(list(keys))
     rest = F.map_filter(doc, lambda k, v: ~F.array_contains(known, k))
     return last_wins_map(F.map_keys(rest), F.map_values(rest))
 
@@ -300,14 +300,15 @@ def _detection() -> dict[str, Column]:
     }
 
 
-def parse(df: DataFrame, formats: list[str] | None = None) -> DataFrame:
+def parse(df: DataFrame, formats: list[str] | None = None, keys: KeyRows = ()) -> DataFrame:
     """Extract fields of classified rows.
 
     Adds ``parse`` (parser, status, detail), ``provenance``, ``extra`` and ``head``
     (vendor, product, message that carry no provenance record).  With ``formats``
-    only those formats are planned; rows of others pass through unparsed.
+    only those formats are planned; rows of others pass through unparsed.  ``keys`` are
+    the rows of a key registry (``keys.key_rows``) that come before the built-in ones.
     """
-    cols = _columns(tuple(formats or [*X.KNOWN_FORMATS, X.UNKNOWN]))
+    cols = _columns(tuple(formats or [*X.KNOWN_FORMATS, X.UNKNOWN]), keys)
     staged = df.withColumn("parts", cols["parts"]).withColumn("mapped", cols["mapped"])
     return staged.select(
         *[c for c in df.columns if not c.startswith("_")],
@@ -315,29 +316,47 @@ def parse(df: DataFrame, formats: list[str] | None = None) -> DataFrame:
     )
 
 
-@cache
-def _columns(at: tuple[str, ...]) -> dict[str, Column]:
-    """The stage columns for some formats; they name columns only and are built once."""
-    raw, text, doc = F.col("raw"), F.col("_text"), F.col("_doc")
-    parts = {
+def _all_parts(raw: Column, text: Column) -> dict[str, Column]:
+    return {
         X.CEF: _cef_parts(raw),
         X.LEEF: _leef_parts(raw),
         X.SYSLOG: _syslog_parts(text),
         X.XML: _xml_parts(raw),
         X.UNKNOWN: tokens(raw),
     }
+
+
+def _all_pairs(raw: Column) -> dict[str, Column]:
+    return {X.CEF: _cef_pairs(), X.LEEF: _leef_pairs(raw), X.SYSLOG: _syslog_pairs(), X.XML: _xml_pairs()}
+
+
+def seen_keys(df: DataFrame) -> DataFrame:
+    """Distinct (format, key) of classified rows, as a key registry compares them; combined before they are shuffled."""
+    raw = F.col("raw")
+    staged = df.withColumn("parts", kept(_by_format(_all_parts(raw, F.col("_text")), X.KNOWN_FORMATS, "array<string>")))
+    keys = {f: F.transform(pairs, lambda p: p["key"]) for f, pairs in _all_pairs(raw).items()}
+    keys |= {X.SYSLOG: F.transform(keys[X.SYSLOG], F.lower), X.JSON: F.map_keys("_doc")}
+    found = staged.select("format", kept(_by_format(keys, X.KNOWN_FORMATS, "array<string>")).alias("_keys"))
+    return found.select("format", F.explode("_keys").alias("key")).distinct()
+
+
+@cache
+def _columns(at: tuple[str, ...], registered: KeyRows) -> dict[str, Column]:
+    """The stage columns for some formats; they name columns only and are built once."""
+    raw, text, doc = F.col("raw"), F.col("_text"), F.col("_doc")
+    keys, pairs, parts = key_tables(registered), _all_pairs(raw), _all_parts(raw, text)
     mapped = {
-        X.CEF: _map_pairs(_cef_pairs(), X.CEF_KEYS),
-        X.LEEF: _map_pairs(_leef_pairs(raw), X.LEEF_KEYS),
-        X.SYSLOG: _map_pairs(_syslog_pairs(), X.SYSLOG_KEYS, fold_key=True, trailing=",;"),
-        X.XML: _map_pairs(_xml_pairs(), X.XML_KEYS),
+        X.CEF: _map_pairs(pairs[X.CEF], keys[X.CEF]),
+        X.LEEF: _map_pairs(pairs[X.LEEF], keys[X.LEEF]),
+        X.SYSLOG: _map_pairs(pairs[X.SYSLOG], keys[X.SYSLOG], fold_key=True, trailing=",;"),
+        X.XML: _map_pairs(pairs[X.XML], keys[X.XML]),
     }
     records = {
         X.CEF: _cef_records(),
         X.LEEF: _leef_records(),
         X.SYSLOG: _syslog_records(),
         X.XML: _pair_records(X.XML),
-        X.JSON: _json_records(doc),
+        X.JSON: _json_records(doc, keys[X.JSON]),
         X.UNKNOWN: position_records(F.col("parts")),
     }
     unmapped = _pair_extra(lambda p: p["field"].isNull())
@@ -346,7 +365,7 @@ def _columns(at: tuple[str, ...]) -> dict[str, Column]:
         # a category has no canonical slot: record and value are both kept
         X.LEEF: _pair_extra(lambda p: p["field"].isNull() | (p["field"] == "category")),
         X.XML: _pair_extra(lambda p: p["value"].isNull()),
-        X.JSON: _json_extra(doc),
+        X.JSON: _json_extra(doc, keys[X.JSON]),
     }
     head = {
         X.CEF: _head(norm_str(_part(1)), norm_str(_part(2)), norm_str(_part(5))),
@@ -395,9 +414,17 @@ parse_syslog, parse_xml = _one(X.SYSLOG), _one(X.XML)
 
 
 def parse_failures(df: DataFrame) -> DataFrame:
-    """Failed rows per format, confidence and detail with the smallest raw text as sample."""
-    return (
+    """Failed rows per format, confidence and detail with the smallest raw text as sample.
+
+    ``distinct_lines`` is an estimate: few of many events mean that one line comes again and again. Its sketch also lets
+    Spark aggregate by hashing; the minimum of a text alone would sort all failed lines.
+    """
+    found = (
         df.filter(F.col("parse.status") == "failed")
         .groupBy("format", F.col("detection.confidence").alias("confidence"), F.col("parse.detail").alias("detail"))
-        .agg(F.count(F.lit(1)).alias("events"), F.min("raw").alias("sample"))
+        .agg(F.count(F.lit(1)).alias("events"), F.min("raw").alias("_sample"), F.hll_sketch_agg("raw").alias("_lines"))
+    )
+    both = found.withColumn("_both", kept(F.struct("_sample", "_lines")))
+    return both.select(
+        "format", "confidence", "detail", "events", F.col("_both._sample").alias("sample"), F.hll_sketch_estimate("_both._lines").alias("distinct_lines")
     )

@@ -111,7 +111,7 @@ def parse_status(df):
 
 
 def parse_failures(df):
-    return P.parse_failures(P.parse(P.classify(seal(df))))
+    return P.parse_failures(P.parse(P.classify(seal(df)))).drop("distinct_lines")
 
 
 # --- unknown lines -----------------------------------------------------------
@@ -144,13 +144,19 @@ def _layouts(found):
 
 
 def discover_templates(df):
-    """Layouts; the estimate of leading names is shown where there are few, since a single cell is the whole line."""
-    found = _layouts(U.discover_templates(_unknown(df)))
-    return found.withColumn("leading_values", F.when(F.col("arity") > 1, F.col("leading_values")))
+    return _layouts(U.discover_templates(_unknown(df)))
 
 
 def document_templates(spark, sf_dir):
-    return _layouts(U.discover_templates(_document_lines(spark, sf_dir))).drop("leading_values")
+    return _layouts(U.discover_templates(_document_lines(spark, sf_dir)))
+
+
+def merged_layouts(df):
+    """Layouts of all lines from stored parts, one for each batch; the merged estimates lie near the exact numbers of leading names."""
+    parts = U.merge_layouts(U.layout_parts(_unknown(df), "batch_id"))
+    exact = U.discover_templates(_unknown(df)).select("signature", "leading_values")
+    off = F.abs(F.col("leading_estimate") - F.col("leading_values"))
+    return parts.join(exact, "signature").select("signature", "events", "sample", "leading_values", (off * 20 <= F.col("leading_values")).alias("near"))
 
 
 def _registry(df):
@@ -202,6 +208,13 @@ def event_leaves(df):
     )
 
 
+def mapped_keys(df):
+    """Canonical leaves by a key registry: new keys, and other meanings of known ones."""
+    rows = [("CEF", "cs1Label", "user"), ("LEEF", "usrName", "host"), ("SYSLOG", "Policy", "signature_id"), ("XML", "note", "message"), ("JSON", "user", "host")]
+    keys = df.sparkSession.createDataFrame(rows, "format string, key string, canonical_field string")
+    return canonical_events(df, keys=keys).select("batch_id", "pos", *_leaf_columns(), F.size("provenance").cast("bigint").alias("records"))
+
+
 def merged_fields(df):
     """Parser and onboarding leaves merged; onboarding wins where both have a value."""
     known = P.parse(P.classify(seal(df)))
@@ -451,6 +464,7 @@ QUERIES = {
     "unknown_mapping": _events(unknown_mapping),
     "discover_templates": _events(discover_templates),
     "document_templates": document_templates,
+    "merged_layouts": _events(merged_layouts),
     "apply_templates": _events(apply_templates),
     "templated_events": _events(templated_events),
     "template_summary": _events(template_summary),
@@ -459,6 +473,7 @@ QUERIES = {
     "document_mined": document_mined,
     "apply_mined": _events(apply_mined),
     "canonical_events": _events(event_leaves),
+    "mapped_keys": _events(mapped_keys),
     "merged_fields": _events(merged_fields),
     "field_confidence": _events(field_confidence),
     "event_results": _events(event_results),

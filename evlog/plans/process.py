@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evlog import fixed as X
@@ -10,37 +10,46 @@ from evlog.operators.ingest import seal
 from evlog.operators.integrity import canonical_hash, integrity_block
 from evlog.operators.normalize import normalize
 from evlog.functions.text import kept, let
+from evlog.operators.keys import KEY_BYTES, KeyRows, key_rows
 from evlog.operators.onboard import cells, onboarding, template_records, with_layouts
-from evlog.operators.parse import classify, parse
+from evlog.operators.parse import classify, parse, seen_keys
 from evlog.operators.validate import validate
 
 
-def canonical_events(df: DataFrame, registry: DataFrame | None = None) -> DataFrame:
+def needed_keys(df: DataFrame, keys: DataFrame | None, limit: int = KEY_BYTES) -> KeyRows:
+    """Rows of a key registry (format, key, canonical_field) that the lines of ``df`` need; lines are read only if it is over the limit."""
+    return () if keys is None else key_rows(keys, None if df.isStreaming else seen_keys(classify(seal(df))), limit)
+
+
+def canonical_events(df: DataFrame, registry: DataFrame | None = None, keys: DataFrame | None = None, where: Column | str | None = None) -> DataFrame:
     """(batch_id, pos, raw) -> sealed, classified, parsed and normalised rows.
 
-    With a ``registry`` of layouts, unknown lines of a registered layout are mapped by it instead of by position.
-    Put filters on input columns before this: a stage column is computed before any filter that follows it.
+    With a ``registry`` of layouts, unknown lines of a registered layout are mapped by it instead of by position; a registry
+    of ``keys`` comes before the built-in key tables. ``where`` is a condition on input columns: it reaches the scan. Any filter
+    that follows is applied to rows that are computed already.
     """
+    df = df if where is None else df.filter(where)
     found = classify(seal(df))
+    rows = needed_keys(df, keys)
     if registry is None:
-        return normalize(parse(found))
+        return normalize(parse(found, keys=rows))
     found = with_layouts(found, registry, F.col("format") == X.UNKNOWN)
-    parsed = parse(found)
+    parsed = parse(found, keys=rows)
     by_layout = let(cells(F.col("raw")), lambda c: template_records(c, F.col("steps")))
     mapped = F.when(F.col("steps").isNotNull(), by_layout).otherwise(F.col("provenance"))
     return normalize(parsed.withColumn("provenance", kept(mapped)).drop("signature", "steps"))
 
 
-def validated_events(df: DataFrame, registry: DataFrame | None = None) -> DataFrame:
+def validated_events(df: DataFrame, registry: DataFrame | None = None, keys: DataFrame | None = None, where: Column | str | None = None) -> DataFrame:
     """``canonical_events`` with ``validation`` and ``understood``."""
     known = (F.col("format") != X.UNKNOWN) & (F.col("parse.status") == "ok")
     found = (F.col("format") == X.UNKNOWN) & (F.size("provenance") > 0)
-    return validate(canonical_events(df, registry)).withColumn("understood", known | found)
+    return validate(canonical_events(df, registry, keys, where)).withColumn("understood", known | found)
 
 
-def process(df: DataFrame, registry: DataFrame | None = None) -> DataFrame:
-    """The whole result per event.  ``processed_at`` is in no hash."""
-    done = validated_events(df, registry).withColumn("_hash", canonical_hash(F.col("canonical")))
+def process(df: DataFrame, registry: DataFrame | None = None, keys: DataFrame | None = None, where: Column | str | None = None) -> DataFrame:
+    """The whole result per event (see ``canonical_events``).  ``processed_at`` is in no hash."""
+    done = validated_events(df, registry, keys, where).withColumn("_hash", canonical_hash(F.col("canonical")))
     event_id = F.col("canonical.event_id")
     return done.select(
         "batch_id",
