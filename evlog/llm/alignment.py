@@ -12,18 +12,25 @@ number, go to all tasks; links of the others meet their counts in a shuffle.
 
 from __future__ import annotations
 
+import base64
 import hashlib
+import json
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import per_process, stored, texts_of
-from .packing import LONG_RUN, encoder
+from .common import per_process, small_batches, stored, texts_of
 
 #: Bytes of a lane, bytes of text that are merged at once, links of a batch that are looked up at once.
-STRETCH, TEXT_AT_ONCE, LINKS_AT_ONCE = 2_048, 1 << 22, 1 << 20
+STRETCH, TEXT_AT_ONCE, LINKS_AT_ONCE = 1_024, 1 << 20, 1 << 19
+#: Characters of a word or of blanks from which on A's slower encoder is taken.
+LONG_WORD = 300
+LONG_BLANKS = re.compile(r"\s{300}")
+#: Rows that go to a task's Python worker at once: their lists of ids are much longer than their texts.
+ROWS_AT_ONCE = 512
 #: Pairs with more than one link in ``FREQUENT`` are looked up in the tasks; there are fewer than ``FREQUENT`` of them.
 FREQUENT = 500_000
 #: The printable bytes that byte-level vocabularies spell as themselves; the others follow from U+0100 on.
@@ -63,29 +70,41 @@ class Pair:
     """Tokenizers A (byte-level vocabulary) and B (pieces) with their tokens' bytes."""
 
     def __init__(self, vocabulary: str, ranks: str, pieces: str):
+        import public_tokenizers
         import sentencepiece
+        import tiktoken
+
+        self.vocabulary, self.b = vocabulary, sentencepiece.SentencePieceProcessor(model_file=pieces)
+        with open(ranks, "rb") as lines:
+            table = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
+        self.fast = tiktoken.Encoding("plain", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={})
+        with open(vocabulary, encoding="utf-8") as file:
+            spec = json.load(file)
+        entries = {i: byte_level(t) for t, i in spec["model"]["vocab"].items()} | {t["id"]: t["content"].encode() for t in spec["added_tokens"]}
+        self.tokens_a, self.tokens_b = Tokens([entries[i] for i in range(len(entries))]), Tokens([piece_bytes(self.b.id_to_piece(i)) for i in range(self.b.get_piece_size())])
+
+    def whole(self):
         from tokenizers import Tokenizer
 
-        self.whole, self.fast = Tokenizer.from_file(vocabulary), encoder(vocabulary, ranks).fast
-        self.whole.encode_special_tokens = True
-        self.b = sentencepiece.SentencePieceProcessor(model_file=pieces)
-        special = {i: t.content for i, t in self.whole.get_added_tokens_decoder().items()}
-        size = self.whole.get_vocab_size(with_added_tokens=True)
-        self.tokens_a = Tokens([special[i].encode() if i in special else byte_level(self.whole.id_to_token(i)) for i in range(size)])
-        self.tokens_b = Tokens([piece_bytes(self.b.id_to_piece(i)) for i in range(self.b.get_piece_size())])
+        found = Tokenizer.from_file(self.vocabulary)
+        found.encode_special_tokens = True
+        return found
 
     def encode(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
         """Ids by A and by B; none where a tokenizer does not give back a space and the text."""
-        none = np.zeros(0, np.int64)
-        if not text:
+        none = np.zeros(0, np.int32)
+        if not text or "▁" in text:  # B would give that character back as a space
             return none, none
         spaced = " " + text
         want, b = spaced.encode("utf-8", "replace"), self.b.encode(text)
         # both libraries have the same ids; the slower one takes runs whose merging would take time with their square
-        a = self.whole.encode(spaced, add_special_tokens=False).ids if LONG_RUN.search(text) else self.fast.encode_ordinary(spaced)
+        if max(map(len, text.split()), default=0) >= LONG_WORD or LONG_BLANKS.search(text):
+            a = per_process(f"whole {self.vocabulary}", self.whole).encode(spaced, add_special_tokens=False).ids
+        else:
+            a = self.fast.encode_ordinary(spaced)
         if self.tokens_b.joined(b) != want or self.tokens_a.joined(a) != want:
             return none, none
-        return np.array(a, np.int64), np.array(b, np.int64)
+        return np.array(a, np.int32), np.array(b, np.int32)
 
 
 def pair_of(vocabulary: str, ranks: str, pieces: str) -> Pair:
@@ -131,8 +150,8 @@ class Spelling:
         codes = np.empty(len(a) + len(b), np.int64)
         last_a, last_b = np.zeros(len(a), np.int64), np.zeros(len(b), np.int64)
         last_a[cuts_a], last_b[cuts_b] = 1, 2
-        codes[np.arange(len(a)) + before_b[group_a]] = 3 * a + last_a
-        codes[np.arange(len(b)) + before_a[group_b + 1]] = 3 * b + last_b
+        codes[np.arange(len(a)) + before_b[group_a]] = 3 * a.astype(np.int64) + last_a
+        codes[np.arange(len(b)) + before_a[group_b + 1]] = 3 * b.astype(np.int64) + last_b
         return "".join(map(self.table.__getitem__, codes.tolist()))[:-1]
 
 
@@ -173,8 +192,8 @@ def links_of(docs: DataFrame, vocabulary: str, ranks: str, pieces: str, id_col:
                 n_b.append(len(b))
                 n_links.append(len(i))
                 sums.append(hashlib.sha256(spelling.text(a, b, i, j).encode()).hexdigest() if len(a) else "")
-                linked_a.append(a[i].astype(np.int32))
-                linked_b.append(b[j].astype(np.int32))
+                linked_a.append(a[i])
+                linked_b.append(b[j])
             long, ids = pa.int64(), pa.list_(pa.int32())
             arrays = [part.column("_row"), part.column("_id"), pa.array(n_a, long), pa.array(n_b, long), pa.array(n_links, long), pa.array(n_links, long)]
             return pa.RecordBatch.from_arrays([*arrays, pa.array(sums, pa.string()), pa.array(linked_a, ids), pa.array(linked_b, ids)], names=names)
@@ -242,13 +261,15 @@ def align(docs: DataFrame, vocabulary: str | None = None, ranks: str | None = No
     vocabulary = vocabulary or public_tokenizers.path("byte_bpe_50k.json")
     ranks = ranks or public_tokenizers.path("byte_bpe_50k.tiktoken")
     pieces = pieces or public_tokenizers.path("piece_bpe_32k.model")
-    links = stored(links_of(docs, vocabulary, ranks, pieces, id_col, text_col))
-    counts = pair_counts(links)
+    spark = docs.sparkSession
+    with small_batches(spark, ROWS_AT_ONCE):
+        links = stored(links_of(docs, vocabulary, ranks, pieces, id_col, text_col))
+        counts = pair_counts(links)
     total = counts.agg(F.sum("_count")).first()[0] or 0
     often = counts.filter(F.col("_count") * frequent > total)  # fewer than ``frequent`` rows
     table = often.toArrow().sort_by("_key")
     columns = [table.column(name).to_numpy() for name in ("_key", "_count", "_best")]
-    known = docs.sparkSession.sparkContext.broadcast(columns)
+    known = spark.sparkContext.broadcast(columns)
     out_fields = "_row long, n_best long, count_sum long, _rare array<long>"
 
     def looked_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -264,7 +285,8 @@ def align(docs: DataFrame, vocabulary: str | None = None, ranks: str | None = No
                 rare = pa.ListArray.from_arrays(pa.array(stops, pa.int32()), pa.array(key[~hit], pa.int64()))
                 yield pa.RecordBatch.from_arrays([batch.column("_row").slice(lo, hi - lo), pa.array(n_best), pa.array(sums), rare], names=["_row", "n_best", "count_sum", "_rare"])
 
-    met = stored(links.select("_row", "a", "b").mapInArrow(looked_up, out_fields))
+    with small_batches(spark, ROWS_AT_ONCE):
+        met = stored(links.select("_row", "a", "b").mapInArrow(looked_up, out_fields))
     seldom = counts.filter(F.col("_count") * frequent <= total)
     one = met.select("_row", F.explode("_rare").alias("_key")).join(seldom, "_key")
     rare = one.groupBy("_row").agg(F.sum(F.col("_best").cast("long")).alias("n_best"), F.sum("_count").alias("count_sum"))
