@@ -36,9 +36,11 @@ def read_events(spark: SparkSession, path: str) -> DataFrame:
     return whole_results(spark.read.parquet(f"{path}/events"))
 
 
-def write_tables(results: DataFrame, path: str, quarantine: DataFrame | None = None, part: str = "", nodes: bool = False) -> None:
+def write_tables(results: DataFrame, path: str, quarantine: DataFrame | None = None, part: str = "", nodes: bool = False, roots: bool = True) -> DataFrame:
     """Write events, provenance, issues, Merkle roots and quarantine below ``path``, and with ``nodes`` all nodes by level.
 
+    Without ``roots`` the events may be a later part of their batches; the leaves (batch_id, pos, leaf) as stored are returned.
+
     The events table is computed once and written by route (usable or held back) and format; the other tables are
     read from it, with only the columns they need.  Provenance and hashes are stored once, inside the canonical
     event.  Each part is overwritten as a whole, so writing the same part again changes nothing.
@@ -55,8 +57,10 @@ def write_tables(results: DataFrame, path: str, quarantine: DataFrame | None = N
     provenance_table(events).write.mode("overwrite").parquet(at("provenance"))
     issues_table(events).write.mode("overwrite").parquet(at("issues"))
     leaves = events.select("batch_id", "pos", F.col("raw_sha256").alias("leaf"))
-    merkle_root(leaves).write.mode("overwrite").parquet(at("roots"))
+    if roots:
+        merkle_root(leaves).write.mode("overwrite").parquet(at("roots"))
     if nodes:
         merkle_nodes(leaves).write.mode("overwrite").partitionBy("level").parquet(at("nodes"))
     if quarantine is not None:
         quarantine.write.mode("overwrite").parquet(at("quarantine"))
+    return leaves
