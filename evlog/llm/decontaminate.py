@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import uuid
+from bisect import bisect_left, bisect_right
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,7 +13,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from .common import latest, per_process, texts_of
 
-GRAM = 10
+GRAM, FINE = 10, 5
 #: Edits allowed per character of a benchmark passage; characters of a passage, and from one passage of a long item to the next.
 EDITS, PASSAGE, STEP = 0.08, 400, 200
 #: Characters of a window of a passage, and from one window to the next: a quote of WINDOW + WINDOW_STEP - 1 holds a window.
@@ -19,6 +21,8 @@ WINDOW, WINDOW_STEP = 120, 30
 #: Bytes of benchmark text that one pass over the documents holds; a larger benchmark takes more passes.
 BLOCK_BYTES = 2 << 20
 SLOT_BITS = 20
+#: Characters of a block of text, rows of a step of counting, and more than any text's characters.
+BLOCK, ROWS_AT_ONCE, FAR = 1024, 1 << 20, 1 << 32
 FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -60,6 +64,11 @@ def grams_of(codes: np.ndarray, q: int = GRAM) -> np.ndarray:
     return out * FACTOR
 
 
+def fine_bound(size: int, budget: int) -> int:
+    """Short q-grams that a text of ``size`` characters keeps under so many edits."""
+    return size - FINE + 1 - FINE * budget
+
+
 def passages(items: list[tuple], passage: int = PASSAGE, step: int = STEP) -> list[tuple]:
     """(item, start, codes): whole items, or overlapping passages of long ones that leave out no character."""
     out = []
@@ -103,51 +112,128 @@ class Index:
         self.slots = np.zeros(1 << SLOT_BITS, bool)
         self.slots[(self.keys >> np.uint64(64 - SLOT_BITS)).astype(np.int64)] = True
         self.short = [(p, c) for p, (_, _, c) in enumerate(self.passages) if len(c) < q]
-
-    def bands(self, codes: np.ndarray) -> Iterator[tuple[int, int, int, int, int]]:
-        """(passage, window, first diagonal, last diagonal, shared q-grams) of bands that reach the bound.
-
-        Those of whole passages come first, with -1 for the window.
-        """
+        # by passage: its q-grams' numbers, in order of place and of number; by q-gram: the passages that have it, and at how many places
+        self.grams = [np.searchsorted(self.keys, g) for g in grams]
+        self.fine = [grams_of(c, FINE) for _, _, c in self.passages]
+        self.by_gram = [(order, g[order]) for g, order in ((g, np.argsort(g, kind="stable")) for g in self.grams)]
+        pairs, weight = np.unique(np.repeat(np.arange(len(self.keys)), self.count) * max(1, len(grams)) + self.owner, return_counts=True)
+        self.holder, self.weight = pairs % max(1, len(grams)), weight
+        self.holder_first = np.searchsorted(pairs, np.arange(len(self.keys)) * max(1, len(grams)))
+        self.holders = np.diff(np.append(self.holder_first, len(pairs)))
+        # any alignment of a passage lies within two blocks, that in which it begins and the next
+        self.block = max([BLOCK, *(size + 2 * self.budget + 2).tolist()])
+
+    def known(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of a text whose q-gram some passage has, and the q-gram's number."""
         grams = grams_of(codes, self.q)
         at = np.flatnonzero(self.slots[(grams >> np.uint64(64 - SLOT_BITS)).astype(np.int64)])
-        if not len(at):
-            return
+        if not len(at) or not len(self.keys):
+            return at[:0], at[:0]
         k = np.minimum(np.searchsorted(self.keys, grams[at]), len(self.keys) - 1)
         same = self.keys[k] == grams[at]
-        at, k = at[same], k[same]
-        n = self.count[k]
-        if not n.sum():
-            return
-        entry = np.repeat(self.first[k] - np.cumsum(n) + n, n) + np.arange(n.sum())
-        owner, place, pos = self.owner[entry], self.place[entry], np.repeat(at, n)
-        enough = np.bincount(owner, minlength=len(self.bound)) >= self.least  # cheap: counts without regard to bands
-        some = enough[owner]
-        owner, place, pos = owner[some], place[some], pos[some]
-        if not len(owner):
-            return
-        diagonal = pos - place
-        step = self.budget[owner] + 1
-        band = diagonal // step
-        # band b holds diagonals of steps b and b + 1: any drift within the budget lies whole in one of them
-        rows = np.unique(np.concatenate([np.stack([owner, band, place], 1), np.stack([owner, band - 1, place], 1)]), axis=0)
-        keys, count = np.unique(rows[:, :2], axis=0, return_counts=True)
-        for (p, b), shared in zip(keys, count):
-            if shared >= self.bound[p]:
-                width = int(self.budget[p]) + 1
-                yield int(p), -1, int(b) * width, int(b + 2) * width - 1, int(shared)
-        width, rows = self.window_budget + 1, []
-        band = diagonal // width
-        for back in range(-1, (WINDOW - self.q) // WINDOW_STEP + 1):  # the windows that a gram may lie in
-            window = place // WINDOW_STEP - back
-            begin = np.minimum(window * WINDOW_STEP, self.last[owner])
-            within = (window >= 0) & (window < self.windows[owner]) & (begin <= place) & (place <= begin + WINDOW - self.q)
-            for b in (band, band - 1):
-                rows.append(np.stack([owner, window, b, place], 1)[within])
-        keys, count = np.unique(np.unique(np.concatenate(rows), axis=0)[:, :3], axis=0, return_counts=True)
-        for (p, w, b), shared in zip(keys, count):
-            if shared >= self.window_bound:
-                yield int(p), int(w), int(b) * width, int(b + 2) * width - 1, int(shared)
+        return at[same], k[same]
+
+    def nominated(self, at: np.ndarray, k: np.ndarray) -> Iterator[tuple[int, int]]:
+        """(block, passage): passages of which enough places have their q-gram somewhere in the block or the one behind it.
+
+        A q-gram counts once for a pair of blocks, however often a text repeats it, so repetitive texts cost no more than others.
+        """
+        blocks = np.concatenate([at // self.block, at // self.block - 1])
+        pairs = np.unique(blocks * len(self.keys) + np.concatenate([k, k]))
+        pairs = pairs[pairs >= 0]  # nothing begins before the first block
+        block, key = pairs // len(self.keys), pairs % len(self.keys)
+        n = self.holders[key]
+        before = np.cumsum(n) - n
+        first = np.flatnonzero(np.r_[True, block[1:] != block[:-1]]) if len(block) else np.zeros(0, np.int64)
+        lo = 0
+        while lo < len(first):  # whole blocks, about a million rows at once
+            hi = max(lo + 1, int(np.searchsorted(before[first], before[first[lo]] + ROWS_AT_ONCE)))
+            rows = slice(first[lo], first[hi] if hi < len(first) else len(block))
+            m = n[rows]
+            entry = np.repeat(self.holder_first[key[rows]] - np.cumsum(m) + m, m) + np.arange(m.sum())
+            cell = np.repeat(block[rows] - block[first[lo]], m) * len(self.passages) + self.holder[entry]
+            found, cell = np.unique(cell, return_inverse=True)
+            total = np.bincount(cell, weights=self.weight[entry], minlength=len(found))
+            enough = found[total >= self.least[found % len(self.passages)]]
+            yield from zip((enough // len(self.passages) + block[first[lo]]).tolist(), (enough % len(self.passages)).tolist())
+            lo = hi
+
+    def shared(self, p: int, at: np.ndarray, k: np.ndarray, first: int, last: int, width: int, low: int, high: int) -> tuple[np.ndarray, np.ndarray]:
+        """(band, shared q-grams): how many of the places first to last of a passage have their q-gram in the text within the band.
+
+        ``at`` and ``k`` are the text's places in order of their q-grams. Bands begin at ``low`` to ``high``, in steps of ``width``,
+        and hold two steps of diagonals, so any drift within the budget lies whole in one of them.
+        """
+        order, ranked = self.by_gram[p]
+        left, right = np.searchsorted(ranked, k, side="left"), np.searchsorted(ranked, k, side="right")
+        n = right - left
+        if n.sum() <= len(ranked) * (-(-(high - low) // width) + 1):  # few meetings: one row each
+            entry = np.repeat(left - np.cumsum(n) + n, n) + np.arange(n.sum())
+            place, pos = order[entry], np.repeat(at, n)
+            some = (place >= first) & (place <= last)
+            place, band = place[some], (pos[some] - place[some]) // width
+            band, place = np.concatenate([band, band - 1]), np.concatenate([place, place])
+            some = (band * width >= low) & (band * width < high)
+            rows = np.unique(band[some] * (1 << 20) + place[some])
+            return np.unique(rows >> 20, return_counts=True)
+        # many meetings: a place asks, for each band, whether its q-gram is there
+        bands = np.arange(-(-low // width), -(-high // width))
+        place = np.arange(first, last + 1)
+        text = k * FAR + at
+        begin = self.grams[p][place][:, None] * FAR + np.maximum(place[:, None] + bands * width, 0)
+        end = self.grams[p][place][:, None] * FAR + np.maximum(place[:, None] + (bands + 2) * width, 0)
+        count = (np.searchsorted(text, end) > np.searchsorted(text, begin)).sum(axis=0)
+        return bands[count > 0], count[count > 0]
+
+    def candidates(self, codes: np.ndarray) -> list[tuple[int, int, np.ndarray]]:
+        """(block, passage, windows): where a passage (window -1) or its windows may lie, by both sizes of q-grams.
+
+        Long q-grams nominate; the short ones, of which an edit destroys fewer, tell runs of blanks and the like from real matches.
+        """
+        at, k = self.known(codes)
+        fine, block, out, seen = grams_of(codes, FINE), -1, [], None
+        for s, p in sorted(self.nominated(at, k)):
+            if s != block:
+                block, seen = s, np.unique(fine[s * self.block : (s + 2) * self.block])
+            if not len(seen):
+                continue
+            there = seen[np.minimum(np.searchsorted(seen, self.fine[p]), len(seen) - 1)] == self.fine[p]
+            has = np.concatenate([[0], np.cumsum(there)])
+            begin = np.minimum(np.arange(self.windows[p]) * WINDOW_STEP, self.last[p])
+            spans = has[np.minimum(begin + WINDOW - FINE + 1, len(has) - 1)] - has[begin]
+            windows = np.flatnonzero(spans >= fine_bound(WINDOW, self.window_budget))
+            if has[-1] >= fine_bound(len(self.passages[p][2]), int(self.budget[p])):
+                windows = np.concatenate([[-1], windows])
+            if len(windows):
+                out.append((s, p, windows))
+        return out
+
+    def span(self, p: int, w: int) -> tuple[int, int, int]:
+        """(first character, characters, budget) of a window of a passage, or of the whole one."""
+        if w < 0:
+            return 0, len(self.passages[p][2]), int(self.budget[p])
+        return min(w * WINDOW_STEP, int(self.last[p])), WINDOW, self.window_budget
+
+    def bands(self, codes: np.ndarray, found: list[tuple[int, int, np.ndarray]], whole: bool, skip=lambda p, start, end: False) -> Iterator[tuple[int, int, int, int, int]]:
+        """(passage, window, first diagonal, last diagonal, shared q-grams) of the candidates' bands that reach the bound.
+
+        Those of whole passages (window -1) or those of windows, each block by block. ``skip`` tells blocks that need no look.
+        """
+        at, k = self.known(codes)
+        for s, p, windows in found:
+            some = [int(w) for w in windows if (w < 0) == whole]
+            if not some or skip(p, s * self.block, (s + 2) * self.block):
+                continue
+            here = slice(*np.searchsorted(at, [s * self.block, (s + 2) * self.block]))
+            order = np.argsort(k[here], kind="stable")
+            text = at[here][order], k[here][order]
+            for w in some:
+                begin, size, budget = self.span(p, w)
+                bound = self.bound[p] if w < 0 else self.window_bound
+                low = -2 * self.block if s == 0 else s * self.block  # an alignment may begin before the text
+                for band, shared in zip(*self.shared(p, *text, begin, begin + size - self.q, budget + 1, low - begin, (s + 1) * self.block - begin)):
+                    if shared >= bound:
+                        yield p, w, int(band) * (budget + 1), int(band + 2) * (budget + 1) - 1, int(shared)
 
     def matches(self, text: str | None) -> list[tuple]:
         """(item, item_start, start, end, edits, shared): regions of a text within the edit budget of a passage or window, the best of each place.
@@ -155,39 +241,93 @@ class Index:
         A window's region is told where it meets no region of the same item that is a whole passage's or a better window's.
         """
         codes = codes_of(text)
+        fine = grams_of(codes, FINE)
         found: dict[tuple, tuple] = {}
         parts: list[tuple] = []
-        for p, w, low, high, shared in self.bands(codes):
+        inside, exact = defaultdict(Covered), defaultdict(Covered)
+
+        def region(p: int, w: int, low: int, high: int) -> tuple[int, int, int] | None:
+            """The best region of a band, if it can be of use."""
             item, item_start, passage = self.passages[p]
-            if w >= 0:
-                begin = min(w * WINDOW_STEP, int(self.last[p]))
-                middle = (low + high) // 2 + begin + WINDOW // 2
-                if any(m[0] == item and m[2] <= middle < m[3] for m in found.values()):
-                    continue  # inside a whole passage's region
-                hit = aligned(passage[begin : begin + WINDOW], codes, low + begin, high + begin, self.window_budget)
-                if hit:
-                    parts.append((item, item_start + begin, *hit, shared))
-                continue
-            hit = aligned(passage, codes, low, high, int(self.budget[p]))
+            begin, size, budget = self.span(p, w)
+            low, high, place = low + begin, high + begin, (item, item_start if w < 0 else -1)
+            # every region of this band would meet one without edits that begins before it, and give way to it
+            if exact[place].around(low - budget, high + budget):
+                return None
+            near = fine[max(0, low - budget) : max(0, high + size + budget)]
+            if np.isin(self.fine[p][begin : begin + size - FINE + 1], near).sum() < fine_bound(size, budget):
+                return None
+            hit = aligned(passage[begin : begin + size], codes, low, high, budget)
+            if hit and hit[2] == 0:
+                exact[place].add(*hit[:2])
+            return hit
+
+        candidates = self.candidates(codes)
+        for p, w, low, high, shared in self.bands(codes, candidates, True):
+            hit = region(p, w, low, high)
             if hit:
-                start, end, edits = hit
-                key = (p, start // max(1, len(passage) // 2))
-                if key not in found or edits < found[key][4]:
-                    found[key] = (item, item_start, start, end, edits, shared)
+                item, item_start, passage = self.passages[p]
+                inside[item].cover(*hit[:2])
+                key = (p, hit[0] // max(1, len(passage) // 2))
+                if key not in found or hit[2] < found[key][4]:
+                    found[key] = (item, item_start, *hit, shared)
+
+        def known_inside(p: int, start: int, end: int) -> bool:
+            return inside[self.passages[p][0]].around(start, min(end, len(codes)) - 1)
+
+        for p, w, low, high, shared in self.bands(codes, candidates, False, known_inside):
+            item, item_start, _ = self.passages[p]
+            begin = self.span(p, w)[0]
+            hit = None if inside[item].holds((low + high) // 2 + begin + WINDOW // 2) else region(p, w, low, high)
+            if hit:
+                parts.append((item, item_start + begin, *hit, shared))
         for p, passage in self.short:
             item, item_start, _ = self.passages[p]
             for start in occurrences(passage, codes):
                 found[p, -start - 1] = (item, item_start, start, start + len(passage), 0, 0)
         kept: list[tuple] = []
+        taken, of_item = defaultdict(Covered), defaultdict(Covered)
         for m in sorted(found.values(), key=lambda m: (m[0], m[1], m[4], m[2])):  # neighbouring bands may find one place twice
-            if not any(m[0] == o[0] and m[1] == o[1] and m[2] < o[3] and o[2] < m[3] for o in kept):
+            if taken[m[:2]].add(m[2], m[3]):
                 kept.append(m)
+                of_item[m[0]].cover(m[2], m[3])
         for m in sorted(parts, key=lambda m: (m[0], m[4], m[2], m[1])):
-            if not any(m[0] == o[0] and m[2] < o[3] and o[2] < m[3] for o in kept):
+            if of_item[m[0]].add(m[2], m[3]):
                 kept.append(m)
         return kept
 
 
+class Covered:
+    """A union of intervals of one text, kept as those that don't touch, in order."""
+
+    def __init__(self):
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+
+    def holds(self, at: int) -> bool:
+        k = bisect_right(self.starts, at) - 1
+        return k >= 0 and at < self.ends[k]
+
+    def around(self, first: int, last: int) -> bool:
+        """Whether one interval holds both places."""
+        k = bisect_right(self.starts, first) - 1
+        return k >= 0 and last < self.ends[k]
+
+    def cover(self, start: int, end: int) -> None:
+        lo, hi = bisect_left(self.ends, start), bisect_right(self.starts, end)
+        if lo < hi:
+            start, end = min(start, self.starts[lo]), max(end, self.ends[hi - 1])
+        self.starts[lo:hi], self.ends[lo:hi] = [start], [end]
+
+    def add(self, start: int, end: int) -> bool:
+        """Add an interval unless it meets one of the union."""
+        k = bisect_right(self.ends, start)
+        if k < len(self.starts) and self.starts[k] < end:
+            return False
+        self.cover(start, end)
+        return True
+
+
 def occurrences(passage: np.ndarray, codes: np.ndarray) -> list[int]:
     n = len(codes) - len(passage) + 1
     if n < 1 or not len(passage):
@@ -230,6 +370,8 @@ def aligned(passage: np.ndarray, codes: np.ndarray, low: int, high: int, budget:
         source = np.maximum.accumulate(np.where(slope == run, np.arange(width), 0))
         cost = np.where(inside, run + np.arange(width), far)
         start = begin[source]
+        if i % 8 == 0 and cost.min() > budget:  # costs never fall from row to row
+            return None
     k = int(np.argmin(cost))
     if cost[k] > budget:
         return None

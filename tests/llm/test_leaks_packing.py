@@ -95,6 +95,92 @@ def test_against_brute_force(spark):
             assert ((d, i) in found) == (edit_distance(passage, text) <= index.budget[p])
 
 
+def plain_bands(index, codes):
+    """Every passage and window, by every band: the places whose q-gram is in the text on one of its diagonals."""
+    out = set()
+    where = {}
+    for pos, g in enumerate(decontaminate.grams_of(codes, index.q).tolist()):
+        where.setdefault(g, []).append(pos)
+    for p, (_, _, c) in enumerate(index.passages):
+        grams = decontaminate.grams_of(c, index.q).tolist()
+        spans = [(-1, 0, len(grams), int(index.budget[p]) + 1, index.bound[p])]
+        for w in range(int(index.windows[p])):
+            begin = min(w * decontaminate.WINDOW_STEP, int(index.last[p]))
+            spans.append((w, begin, begin + decontaminate.WINDOW - index.q + 1, index.window_budget + 1, index.window_bound))
+        for w, lo, hi, width, bound in spans:
+            places = {}
+            for a in range(lo, hi):
+                for pos in where.get(grams[a], []):
+                    for band in ((pos - a) // width, (pos - a) // width - 1):
+                        places.setdefault(band, set()).add(a)
+            out |= {(p, w, b * width, (b + 2) * width - 1, len(x)) for b, x in places.items() if len(x) >= bound}
+    return out
+
+
+CODE = "\n".join(f"            if value_{i} is not None:\n                total += value_{i}" for i in range(8))
+KINDS = {
+    "prose": lambda rng: prose(rng, 400),
+    "copies": lambda rng: prose(rng, 30) + CODE[:300] + prose(rng, 300) + CODE,
+    "indented": lambda rng: "\n".join("            " + prose(rng, 3) for _ in range(90)),
+    "ha ha": lambda rng: "ha " * 900,
+    "blanks": lambda rng: " " * 2_500 + "x" + " " * 700,
+    "periods": lambda rng: "ha hi ha " * 300,
+}
+
+
+@pytest.mark.parametrize("kind", KINDS)
+@pytest.mark.parametrize("rows", [1 << 20, 50])
+def test_bands_of_repetitive_texts(kind, rows, monkeypatch):
+    monkeypatch.setattr(decontaminate, "ROWS_AT_ONCE", rows)
+    rng = random.Random(21)
+    index = decontaminate.Index([(1, CODE), (2, prose(rng, 50)), (3, "ha " * 60), (4, "ha hi " * 40 + "ho ha " * 30), (5, "tiny"), (6, "y" + " " * 60 + "z"), (7, CODE[:200])])
+    codes = decontaminate.codes_of(KINDS[kind](rng)[:1_500])
+    found = index.candidates(codes)
+    got = [*index.bands(codes, found, True), *index.bands(codes, found, False)]
+    want = plain_bands(index, codes)
+    assert len(got) == len(set(got)) and set(got) <= want
+    for p, w, low, high, _ in sorted(want - set(got))[::7]:  # what the short q-grams rule out has no region
+        begin, size, budget = index.span(p, w)
+        assert decontaminate.aligned(index.passages[p][2][begin : begin + size], codes, low + begin, high + begin, budget) is None
+
+
+@pytest.mark.parametrize("kind", ["indented", "ha ha"])
+def test_a_long_repetitive_text(kind):
+    import time
+    import tracemalloc
+
+    rng = random.Random(22)
+    items = [(i, CODE.replace("value", prose(rng, 1))) for i in range(20)] if kind != "ha ha" else [(1, "ha " * 60), (2, "ha " * 130)]
+    text = {"indented": "\n".join("            " + prose(rng, 3) for _ in range(40_000)), "ha ha": "ha " * 350_000}[kind][:300_000]
+    index = decontaminate.Index(items)
+    start = time.time()
+    found = index.matches(text)
+    assert time.time() - start < 20 and bool(found) == (kind == "ha ha")
+    tracemalloc.start()
+    index.matches(text[:200_000])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 300_000_000
+
+
+def test_covered_intervals():
+    rng = random.Random(23)
+    for _ in range(200):
+        union, marks = decontaminate.Covered(), set()
+        for _ in range(12):
+            start = rng.randrange(40)
+            end = start + rng.randrange(1, 9)
+            cells = set(range(start, end))
+            if rng.random() < 0.5:
+                assert union.add(start, end) == (not cells & marks)
+                marks |= cells if not cells & marks else set()
+            else:
+                union.cover(start, end)
+                marks |= cells
+            assert {i for i in range(50) if union.holds(i)} == marks
+            assert union.around(start, end - 1) == (cells <= marks)
+
+
 def test_benchmark_in_blocks_and_empty_tables(spark, benchmark):
     items = spark.createDataFrame(benchmark, "item_id long, text string")
     docs = spark.createDataFrame([(1, benchmark[2][1], 0), (2, "other", 0)], DOCS)
