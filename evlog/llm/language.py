@@ -8,12 +8,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import bounded_sample, per_process, texts_of
+from .common import per_process, texts_of
 
-#: Documents of each language that training looks at, the longest of them, and the languages it can hold.
-TRAIN_DOCS, TRAIN_CHARS, LANGUAGES = 600, 20_000, 64
+#: Documents of each language that training looks at, and the longest of them.
+TRAIN_DOCS, TRAIN_CHARS = 600, 20_000
 GRAM, SLOT_BITS, HASHES = 4, 20, 3
 #: n-grams that each language's filter holds, so that no language is likelier for having seen more text.
 GRAMS_EACH = 20_000
@@ -55,14 +55,15 @@ def grams_of(text: str) -> np.ndarray:
 
 @dataclass
 class Filters:
-    """Bit l of a slot is language l's; false[l] is the share of foreign n-grams that its filter seems to have."""
+    """Bit l of a slot is language l's, in as many words as there are languages for; false[l] is the share of foreign n-grams
+    that its filter seems to have."""
 
     languages: list[str]
     slots: np.ndarray
     false: np.ndarray
 
     def find(self, grams: np.ndarray) -> np.ndarray:
-        """Of each n-gram the bits of all languages that have it."""
+        """Of each n-gram the bits of all languages that have it: a row of words."""
         mixed = grams * FACTOR
         mixed ^= mixed >> np.uint64(29)
         mixed *= FACTOR
@@ -78,9 +79,11 @@ class Filters:
         for at in range(0, len(grams), BLOCK):
             found = self.find(grams[at : at + BLOCK])
             total += len(found)
-            patterns, n = np.unique(found, return_counts=True)
-            for lang in range(len(hits)):
-                hits[lang] += n[(patterns >> patterns.dtype.type(lang) & patterns.dtype.type(1)).astype(bool)].sum()
+            size = found.dtype.itemsize * 8
+            for word in range(found.shape[1]):
+                patterns, n = np.unique(found[:, word], return_counts=True)
+                for bit in range(min(size, len(hits) - word * size)):
+                    hits[word * size + bit] += n[(patterns >> patterns.dtype.type(bit) & patterns.dtype.type(1)).astype(bool)].sum()
         return np.maximum(hits - total * self.false, 0) / (1 - self.false)
 
     def predict(self, text: str | None) -> tuple[str, float]:
@@ -95,9 +98,10 @@ class Filters:
 
 def build(texts: dict[str, list[str]]) -> Filters:
     """Filters of the most frequent n-grams of each language's texts."""
-    languages = sorted(texts)[:LANGUAGES]
-    kind = next(t for t in (np.uint8, np.uint16, np.uint32, np.uint64) if np.dtype(t).itemsize * 8 >= len(languages))
-    filters = Filters(languages, np.zeros(1 << SLOT_BITS, kind), np.zeros(len(languages)))
+    languages = sorted(texts)
+    kind = next(t for t in (np.uint8, np.uint16, np.uint32, np.uint64) if np.dtype(t).itemsize * 8 >= min(64, len(languages)))
+    size = np.dtype(kind).itemsize * 8
+    filters = Filters(languages, np.zeros((1 << SLOT_BITS, max(1, -(-len(languages) // size))), kind), np.zeros(len(languages)))
     for lang, name in enumerate(languages):
         grams = [grams_of(t) for t in texts[name]]
         keys, n = np.unique(np.concatenate([np.zeros(0, np.uint64), *grams]), return_counts=True)
@@ -107,24 +111,28 @@ def build(texts: dict[str, list[str]]) -> Filters:
         mixed *= FACTOR
         for k in range(HASHES):
             at = (mixed >> np.uint64(64 - SLOT_BITS * (k + 1)) & np.uint64((1 << SLOT_BITS) - 1)).astype(np.int64)
-            filters.slots[at] |= kind(1 << lang)
-        full = (filters.slots >> kind(lang) & kind(1)).astype(float).mean()
+            filters.slots[at, lang // size] |= kind(1 << lang % size)
+        full = (filters.slots[:, lang // size] >> kind(lang % size) & kind(1)).astype(float).mean()
         filters.false[lang] = min(0.99, full**HASHES)
     return filters
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", parts: int = 4, held: int = 2, docs_each: int = TRAIN_DOCS) -> Filters:
-    """Filters from at most ``docs_each`` documents of each of at most 64 languages (the most frequent), chosen by a hash.
+    """Filters from at most ``docs_each`` documents of each language, chosen by a hash: two passes over the table, whatever the languages.
 
     Rows with a null id, text or language and those of the held-out part teach nothing; very long texts are left out of training.
     """
     known = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).filter("id is not null and lang is not null")
     known = known.filter(part_of("id", parts) != held).filter(F.length("text").between(1, TRAIN_CHARS))
-    names = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()
+    sizes = known.groupBy("lang").agg(F.count("*").alias("_n"))  # a row for each language
+    # a hash threshold leaves about twice as many of each language as are wanted
+    key = F.xxhash64("id", "text", F.lit(5))
+    share = F.pmod(key, F.lit(1 << 40)) / F.lit(1 << 40)
+    thinned = known.join(F.broadcast(sizes), "lang").filter(share < F.lit(2.0 * docs_each) / F.col("_n"))
+    first = F.row_number().over(Window.partitionBy("lang").orderBy(key, "id", "text"))
     texts: dict[str, list[str]] = {}
-    for r in names:
-        some = bounded_sample(known.filter(F.col("lang") == r.lang), docs_each, r.n, "id", "text")
-        texts[r.lang] = [t.text for t in some.select("text").collect()]
+    for r in thinned.withColumn("_rank", first).filter(F.col("_rank") <= docs_each).select("lang", "text").collect():
+        texts.setdefault(r.lang, []).append(r.text)
     return build(texts)
 
 

@@ -60,7 +60,7 @@ def test_one_look_up_tells_all_languages():
     filters = language.build(texts)
     own = {name: set(language.grams_of(t[0]).tolist()) for name, t in texts.items()}
     grams = np.array(sorted(set().union(*own.values())), np.uint64)
-    bits = filters.find(grams)
+    bits = filters.find(grams)[:, 0]
     for lang, name in enumerate(filters.languages):
         has = np.array([g in own[name] for g in grams.tolist()])
         seen = (bits >> lang & 1).astype(bool)
@@ -69,6 +69,52 @@ def test_one_look_up_tells_all_languages():
     assert filters.counts(np.array(foreign, np.uint64)).max() < 100
 
 
+def test_prediction_against_plain_sets():
+    """Counts are those of plain sets of n-grams, but for false hits, which are expected and taken off; the most frequent language wins."""
+    rng = random.Random(2)
+    letters = {name: rng.sample("abcdefghijklmnopqrstuvwxyz", 9) for name in ("l1", "l2", "l3", "l4", "l5")}
+    prose = lambda name, n: "".join(rng.choice([*letters[name], " "]) for _ in range(n))
+    filters = language.build({name: [prose(name, 30_000)] for name in letters})
+    sets = {name: set() for name in letters}
+    for k, name in enumerate(filters.languages):
+        grams = language.grams_of(prose(name, 30_000))
+        sets[name] = set(grams[(filters.find(grams)[:, 0] >> k & 1).astype(bool)].tolist())
+    for _ in range(40):
+        name = rng.choice(list(letters))
+        text = prose(name, 300)
+        grams = language.grams_of(text)
+        counts = filters.counts(grams)
+        for k, other in enumerate(filters.languages):
+            plain = int((filters.find(grams)[:, 0] >> k & 1).sum())
+            assert counts[k] == pytest.approx(max(0, plain - len(grams) * filters.false[k]) / (1 - filters.false[k]))
+        found, share = filters.predict(text)
+        assert found == name == filters.languages[int(np.argmax(counts))] and share == pytest.approx(counts.max() / counts.sum())
+
+
+def test_more_languages_than_bits_of_a_word(spark):
+    """Each of 130 languages has letters of its own; the last ones are learned and told as the first."""
+    rng = random.Random(3)
+    letters = {f"l{i:03d}": [chr(0x4E00 + 4 * i + k) for k in range(4)] for i in range(130)}
+    prose = lambda name, n: "".join(rng.choice(letters[name]) for _ in range(n))
+    rows = [(i, prose(name, 200), name) for i, name in enumerate(list(letters) * 12)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    filters = language.train(df, docs_each=6)
+    assert len(filters.languages) == 130 and filters.slots.shape[1] == 3
+    fresh = spark.createDataFrame([(name, prose(name, 200) + prose(rng.choice(list(letters)), 20)) for name in letters], "want string, text string")
+    assert language.identify(fresh, filters).filter("want = lang_pred and score > 0.5").count() == 130
+
+
+def test_training_takes_so_many_documents_of_each_language(spark, monkeypatch):
+    seen = {}
+    monkeypatch.setattr(language, "build", lambda texts: seen.update({k: sorted(v) for k, v in texts.items()}))
+    rows = [(i, f"text {i}", "en") for i in range(3_000)] + [(i, f"text {i}", "de") for i in range(9_000, 9_007)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    language.train(df, docs_each=50)
+    first = dict(seen)
+    language.train(df.repartition(5), docs_each=50)
+    assert len(first["en"]) == 50 and 3 <= len(first["de"]) <= 7 and seen == first
+
+
 # ---- quality ----------------------------------------------------------------------------------------------------------
 
 
