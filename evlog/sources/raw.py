@@ -8,8 +8,13 @@ from pyspark.sql import functions as F
 from evlog.session import work_path
 
 
-def read_raw(spark: SparkSession, path, unit: str = "line", counts: str | None = None) -> DataFrame:
-    """(batch_id, pos, raw): one event per line, or each whole file as one event.
+def read_raw(spark: SparkSession, path, unit: str = "line", counts: str | None = None, start: str = "{") -> DataFrame:
+    """(batch_id, pos, raw): one event per line, each whole file as one event, or one per record of several lines.
+
+    A record (``unit="record"``) begins with a line that begins with ``start``: ``{`` for pretty-printed JSON, ``<Event`` for
+    elements of that name, a year for lines with traces below them. It holds all lines up to the next such line, without the line
+    ends at its own end. The reader cuts files there as it cuts them at line ends, so records are whole at any split
+    size, and nothing is stitched or sorted. Lines before a file's first record are an event of their own.
 
     ``batch_id`` is the file.  Line positions need no sort: within a file block
     the reader's row ids are consecutive, so a line's position is its distance
@@ -26,9 +31,9 @@ def read_raw(spark: SparkSession, path, unit: str = "line", counts: str | None =
         return spark.read.text(path, wholetext=True).select(
             F.col("_metadata.file_path").alias("batch_id"), F.lit(0).cast("bigint").alias("pos"), F.col("value").alias("raw")
         )
-    if unit != "line":
-        raise ValueError("unit must be 'line' or 'file'")
-    lines = spark.read.text(path, lineSep="\n").select(
+    if unit not in ("line", "record") or not start:
+        raise ValueError("unit must be 'line', 'file' or 'record', and a record needs a start")
+    lines = spark.read.text(path, lineSep="\n" + (start if unit == "record" else "")).select(
         F.col("_metadata.file_path").alias("batch_id"),
         F.col("_metadata.file_block_start").alias("block"),
         F.monotonically_increasing_id().alias("seq"),
@@ -46,4 +51,8 @@ def read_raw(spark: SparkSession, path, unit: str = "line", counts: str | None =
     pos = F.when(same, F.col("before") + F.col("seq") - F.col("first")).otherwise(
         F.raise_error(F.lit("the files were split differently when they were read again")).cast("bigint")
     )
-    return lines.join(blocks, ["batch_id", "block"], "left").select("batch_id", pos.alias("pos"), "raw")
+    placed = lines.join(blocks, ["batch_id", "block"], "left").select("batch_id", pos.alias("pos"), "raw")
+    if unit == "line":
+        return placed
+    whole = F.when(F.col("pos") == 0, F.col("raw")).otherwise(F.concat(F.lit(start), F.col("raw")))
+    return placed.withColumn("raw", F.rtrim(whole, F.lit("\r\n")))
