@@ -15,6 +15,9 @@ EXPORT = [
 ]
 
 
+#: Columns by which single events are looked up.
+LOOKED_UP = ["canonical_event.event_id", "canonical_event.raw_sha256"]
+
 # results that other stored columns hold already
 DERIVED = ["provenance", "raw_sha256", "event_id"]
 
@@ -36,6 +39,22 @@ def read_events(spark: SparkSession, path: str) -> DataFrame:
     return whole_results(spark.read.parquet(f"{path}/events"))
 
 
+def find_events(spark: SparkSession, path: str, event_ids: list[str] | None = None, raw_hashes: list[str] | None = None) -> DataFrame:
+    """Stored events by event ids, by hashes of their raw lines, or by both.
+
+    The Bloom filters of the files tell which of them may hold a value, so the others' rows are not read. Without
+    either list nothing is asked for.
+    """
+    wanted = None
+    for column, values in zip(LOOKED_UP, (event_ids, raw_hashes)):
+        if values is not None:
+            here = F.col(column).isin(list(values))
+            wanted = here if wanted is None else wanted & here
+    if wanted is None:
+        raise ValueError("name event ids or hashes")
+    return whole_results(spark.read.parquet(f"{path}/events").filter(wanted))
+
+
 def write_tables(results: DataFrame, path: str, quarantine: DataFrame | None = None, part: str = "", nodes: bool = False, roots: bool = True) -> DataFrame:
     """Write events, provenance, issues, Merkle roots and quarantine below ``path``, and with ``nodes`` all nodes by level.
 
@@ -43,7 +62,8 @@ def write_tables(results: DataFrame, path: str, quarantine: DataFrame | None = N
 
     The events table is computed once and written by route (usable or held back) and format; the other tables are
     read from it, with only the columns they need.  Provenance and hashes are stored once, inside the canonical
-    event.  Each part is overwritten as a whole, so writing the same part again changes nothing.
+    event.  Each part is overwritten as a whole, so writing the same part again changes nothing.  Event ids and raw
+    hashes have Bloom filters (``find_events``).
     """
     spark = results.sparkSession
 
@@ -52,7 +72,8 @@ def write_tables(results: DataFrame, path: str, quarantine: DataFrame | None = N
 
     usable = (F.col("validation.result") != FAIL) & F.col("understood")
     routed = results.withColumn("route", F.when(usable, USABLE).otherwise(HELD)).drop(*DERIVED)
-    routed.write.mode("overwrite").partitionBy("route", "format").parquet(at("events"))
+    filters = {f"parquet.bloom.filter.enabled#{c}": "true" for c in LOOKED_UP} | {"parquet.bloom.filter.adaptive.enabled": "true"}
+    routed.write.mode("overwrite").options(**filters).partitionBy("route", "format").parquet(at("events"))
     events = whole_results(spark.read.schema(routed.schema).parquet(at("events")))
     provenance_table(events).write.mode("overwrite").parquet(at("provenance"))
     issues_table(events).write.mode("overwrite").parquet(at("issues"))

@@ -7,7 +7,7 @@ from evlog.operators.merkle import merkle_nodes, merkle_root, tamper_locate
 from evlog.plans.batch import batch_summary, leaves, process_batch
 from evlog.plans.process import process
 from evlog.sources.raw import read_raw
-from evlog.sources.sinks import export_json, read_events, write_tables
+from evlog.sources.sinks import export_json, find_events, read_events, write_tables
 from evlog.streaming.jobs import process_stream, read_raw_stream
 
 from lines import CEF, JSON, LEEF, SYSLOG, UNKNOWN, XML
@@ -112,3 +112,27 @@ def test_tampering_is_found_in_stored_nodes(spark, raw_table, tmp_path):
     a, b = (spark.read.parquet(str(tmp_path / n / "nodes")) for n in "ab")
     assert "level" in a.columns and a.select("batch_id", "pos", "hash").count() == merkle_nodes(leaves(raw_table(lines))).count()
     assert [(r.batch_id, r.pos) for r in tamper_locate(a, b).collect()] == [("b", len(lines) - 1)]
+
+
+def test_look_ups_read_only_files_that_may_hold_them(spark, raw_table, tmp_path):
+    lines = [f"LOCK-{i}|DROP|TCP|10.0.{i % 256}.{i // 256}|80" for i in range(4_000)]
+    write_tables(process(raw_table(lines).repartition(8)), str(tmp_path))
+    files = [f for f in (tmp_path / "events").rglob("*.parquet")]
+    assert len(files) == 8 and max(f.stat().st_size for f in files) < 600_000  # filters follow the rows of a file
+    every = {r.pos: r for r in read_events(spark, str(tmp_path)).collect()}
+    some = [every[p].event_id for p in (3, 77, 3_999)]
+
+    def rows_read(df):
+        found = df.collect()
+        plan = df._jdf.queryExecution().executedPlan()
+        return found, plan.collectLeaves().head().metrics().get("numOutputRows").get().value()
+
+    found, read = rows_read(find_events(spark, str(tmp_path), some))
+    assert sorted(r.pos for r in found) == [3, 77, 3_999] and read < 2_500
+    found, read = rows_read(find_events(spark, str(tmp_path), raw_hashes=[every[5].raw_sha256]))
+    assert [r.pos for r in found] == [5] and read < 1_000 and found[0].provenance == every[5].provenance
+    assert find_events(spark, str(tmp_path), some, [every[77].raw_sha256]).count() == 1
+    found, read = rows_read(find_events(spark, str(tmp_path), ["nobody"]))
+    assert found == [] and read == 0
+    with pytest.raises(ValueError):
+        find_events(spark, str(tmp_path))
