@@ -16,7 +16,9 @@ WINDOW = 35
 PERIOD, COVER = 21, (0, 1, 4, 14, 16)
 BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 KEYS_AT_ONCE = 1 << 21
-LOW = (1 << 32) - 1
+#: Bits of a window's hash by which a row knows its own starts.
+CHECK = 24
+LOW = (1 << CHECK) - 1
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -154,7 +156,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     joined = texts.join(nominated, "_row")
     found = joined.select("_text", "_row", "at").mapInArrow(windows, "key long, key2 int, _row long, at int, weight int")
     total = F.sum("weight").over(Window.partitionBy("key", "key2"))
-    start = F.shiftleft(F.col("at").cast("long"), 32).bitwiseOR(F.col("key").bitwiseAND(F.lit(LOW)))
+    hashed = F.when(F.col("key") == F.col("_row"), F.col("key2").cast("long")).otherwise(F.col("key"))
+    start = F.shiftleft(F.col("at").cast("long"), CHECK).bitwiseOR(hashed.bitwiseAND(F.lit(LOW)))
     starts = stored(found.withColumn("_all", total).filter("_all >= 2").groupBy(F.col("_row").alias("_llm_row")).agg(F.collect_list(start).alias("_llm_starts")))
 
     rest = [c for c in docs.columns]
@@ -170,7 +173,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 if starts.is_valid:
                     marks = np.zeros(len(words) + 1, np.int32)
                     packed = np.unique(starts.values.to_numpy())
-                    at = packed >> 32
+                    at = packed >> CHECK
                     at, packed = at[at <= len(words) - window], packed[at <= len(words) - window]
                     own = rolling(hashes_of(words), window, BASES[0])
                     at = at[own[at].view(np.int64) & LOW == packed & LOW]
@@ -195,7 +198,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 def wide_places(chunks: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
-    """As ``places``, for keys of 64 and 32 bits; places whose fate is known differ in the second part only."""
+    """As ``places``, for keys of 64 and 32 bits; places whose fate is known have the row as their key."""
     keys, rows, at, held = [], [], [], 0
 
     def flush() -> pa.RecordBatch:
@@ -208,8 +211,8 @@ def wide_places(chunks: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]) ->
         last[:-1] = new[1:]
         weight = np.where(new & last, 1, 2).astype(np.int32)
         own = ~new
-        mixed = (row[own].view(np.uint64) * np.uint64(BASES[1]) + pos[own].astype(np.uint64)) * np.uint64(BASES[0])
-        both[own, 1] = mixed >> np.uint64(32)
+        both[own, 1] = both[own, 0] & np.uint64((1 << 32) - 1)  # what tells the window; the key itself becomes the row's
+        both[own, 0] = row[own].view(np.uint64)
         columns = [both[:, 0].copy().view(np.int64), both[:, 1].astype(np.uint32).view(np.int32), row, pos, weight]
         return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["key", "key2", "_row", "at", "weight"])
 
