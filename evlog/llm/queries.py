@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import alignment, decontaminate, exact, extract, interaction, language, neighbours, packing, quality, simhash, substrings, urlfilter, warc
-from .common import shared_folder, stored, table
+from .common import shared_folder, table
 
 DAY, START, YEAR = 86_400, 1_704_067_200, 31_536_000
 
@@ -29,8 +29,8 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = shared_folder(spark)
     warc.write_streams(table(spark, sf_dir, "pages"), f"{folder}/streams")
     index = warc.normalise(spark, f"{folder}/streams", f"{folder}/archives")
-    records = stored(warc.read_members(index, with_payload=False).withColumn("page_id", F.col("page_id").cast("long")))
-    return warc.mark_revisits(records).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url")
+    records = warc.read_members(index, with_payload=False)
+    return records.select(F.col("page_id").cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast("long").alias("refers_to"), "url")
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -16,6 +17,8 @@ from .common import join_hot, stored, texts_of
 READ_BYTES, LEVEL, RECORD_END = 1 << 20, 3, b"\r\n\r\n"
 DATE = "2024-01-01T00:00:00Z"
 HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {}\r\n\r\n"
+PROFILE = "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
+HTTP_LENGTH = re.compile(rb"(?im)^content-length:\s*(\d+)")
 #: Bytes of archives that one reading task is given.
 TASK_BYTES = 16 << 20
 
@@ -35,31 +38,58 @@ def header_text(value: str) -> str:
     return value
 
 
-def record_of(page_id, url: str | None, html: str | None, date: str = DATE) -> str:
-    """A response record without its closing line ends; a null id or url has no header, a null payload is an empty one."""
+def record_name(page_id, url: str | None, payload_digest: str) -> str:
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{page_id}{chr(10)}{url}{chr(10)}{payload_digest}')}>"
+
+
+def record_of(page_id, url: str | None, html: str | None, first: tuple | None = None, date: str = DATE) -> str:
+    """A record without its closing line ends; a null id or url has no header, a null payload is an empty one.
+
+    With ``first``, the (id, url) of the page that has the same payload, it is a revisit of that page's response, without payload.
+    """
     payload = html or ""
     raw = payload.encode("utf-8", "replace")
-    http = HTTP.format(len(raw))
-    name = uuid.uuid5(uuid.NAMESPACE_URL, f"{page_id}\n{url}\n{digest(raw)}")
-    head = ["WARC/1.1", "WARC-Type: response", f"WARC-Record-ID: <urn:uuid:{name}>", f"WARC-Date: {date}"]
+    http, name = HTTP.format(len(raw)), digest(raw)
+    head = ["WARC/1.1", f"WARC-Type: {'revisit' if first else 'response'}", f"WARC-Record-ID: {record_name(page_id, url, name)}", f"WARC-Date: {date}"]
     if url is not None:
         head.append(f"WARC-Target-URI: {header_value(url)}")
     if page_id is not None:
         head.append(f"WARC-Page-ID: {header_value(page_id)}")
-    head += [f"WARC-Payload-Digest: sha1:{digest(raw)}", "Content-Type: application/http; msgtype=response", f"Content-Length: {len(http) + len(raw)}"]
-    return "\r\n".join(head) + "\r\n\r\n" + http + payload
+    if first:
+        head += [PROFILE, f"WARC-Refers-To: {record_name(*first, name)}", f"WARC-Refers-To-Page-ID: {header_value(first[0])}"]
+    block = http if first else http + payload
+    size = len(http) if first else len(http) + len(raw)
+    head += [f"WARC-Payload-Digest: sha1:{name}", "Content-Type: application/http; msgtype=response", f"Content-Length: {size}"]
+    return "\r\n".join(head) + "\r\n\r\n" + block
 
 
-def write_streams(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html") -> None:
-    """One record per row; Spark's text writer makes each partition one gzip stream over all of its records."""
+def first_pages(pages: DataFrame, at_least: int) -> DataFrame:
+    """_llm_digest, _llm_n and _llm_first (id, url) of the payloads that several pages have; written, so that Spark knows their size."""
+    long = pages.filter(F.octet_length("_llm_html") >= at_least)
+    groups = long.groupBy("_llm_digest").agg(F.count("*").alias("_llm_n"), F.min(F.when(F.col("_llm_id").isNotNull(), F.struct("_llm_id", "_llm_url"))).alias("_llm_first"))
+    return stored(groups.filter("_llm_n > 1 and _llm_first is not null"))
+
+
+def write_streams(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", at_least: int = 0) -> None:
+    """One record per row; Spark's text writer makes each partition one gzip stream over all of its records.
+
+    Of equal payloads of ``at_least`` bytes, that with the smallest id is a response and the others are revisit records, as
+    ``mark_revisits`` says. Repeated rows are a record each; an empty table gives streams without records. Payloads are
+    compared by digest; they are shuffled only if the groups of equal ones are too many for Spark to broadcast.
+    """
+    kept = pages.select(F.col(id_col).alias("_llm_id"), F.col(url_col).alias("_llm_url"), F.coalesce(F.col(payload_col), F.lit("")).alias("_llm_html"))
+    kept = kept.withColumn("_llm_digest", F.sha1("_llm_html"))
+    met = join_hot(kept, first_pages(kept, at_least), "_llm_digest", "_llm_n", pages.count())
+    other = (F.octet_length("_llm_html") >= at_least) & F.col("_llm_first").isNotNull() & ~F.col("_llm_id").eqNullSafe(F.col("_llm_first._llm_id"))
+    marked = met.select("_llm_id", "_llm_url", "_llm_html", F.when(other, F.col("_llm_first._llm_id")).alias("first_id"), F.when(other, F.col("_llm_first._llm_url")).alias("first_url"))
 
     def records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = zip(texts_of(batch, id_col), texts_of(batch, url_col), texts_of(batch, payload_col))
-            yield pa.RecordBatch.from_arrays([pa.array([record_of(*r) for r in rows], pa.string())], names=["value"])
+            rows = zip(*(texts_of(batch, name) for name in ("_llm_id", "_llm_url", "_llm_html", "first_id", "first_url")))
+            made = [record_of(page_id, url, html, None if first is None else (first, first_url)) for page_id, url, html, first, first_url in rows]
+            yield pa.RecordBatch.from_arrays([pa.array(made, pa.string())], names=["value"])
 
-    made = pages.select(id_col, url_col, payload_col).mapInArrow(records, "value string")
-    made.write.option("compression", "gzip").option("lineSep", RECORD_END.decode()).text(path)
+    marked.mapInArrow(records, "value string").write.option("compression", "gzip").option("lineSep", RECORD_END.decode()).text(path)
 
 
 def inflated(stream) -> Iterator[bytes]:
@@ -118,7 +148,8 @@ INDEX = "path string, offset long, length long, record_id string, page_id string
 def normalise(spark: SparkSession, source: str, target: str) -> DataFrame:
     """Every archive below ``source`` anew below ``target``: each record its own gzip member. Returns the offset index.
 
-    Each task inflates its files once, as streams, holding one record at a time. Beside each new archive lies its sidecar
+    Each task inflates its files once, as streams, holding one record at a time. Repeated rows stay records of their own, and
+    streams without records give archives without members. Beside each new archive lies its sidecar
     index (``.cdxj``: offset, length, id, url a line); the table returned holds the same for all. A task that runs again writes
     the same bytes: results take their names only when they are complete.
     """
@@ -172,9 +203,10 @@ def scheme_of(uri: str) -> str:
 
 
 def read_members(index: DataFrame, with_payload: bool = True) -> DataFrame:
-    """Records by their offsets: page_id (as text), url, payload_bytes, payload_digest and, if asked, the payload.
+    """Records by their offsets: page_id (as text), url, payload_bytes, payload_digest, record_type, refers_to and, if asked, the payload.
 
-    Each task opens an archive once and reads its members in their order; a payload that doesn't match its record's
+    A revisit has the size and digest of the payload it stands for, the page id (as text) of the response that holds it, and
+    no payload. Each task opens an archive once and reads its members in their order; a payload that doesn't match its record's
     digest is an error.
     """
     from pyarrow import fs
@@ -197,29 +229,35 @@ def read_members(index: DataFrame, with_payload: bool = True) -> DataFrame:
                 end = record.find(RECORD_END)
                 head = headers_of(record[:end])
                 block = record[end + 4 : end + 4 + int(head["content-length"])]
-                payload = block[block.find(RECORD_END) + 4 :] if head.get("content-type", "").startswith("application/http") else block
-                name = digest(payload)
+                again = head.get("warc-type") == "revisit"
+                if again:
+                    payload, name = None, head["warc-payload-digest"].removeprefix("sha1:")
+                    size = int(HTTP_LENGTH.search(block)[1])
+                else:
+                    payload = block[block.find(RECORD_END) + 4 :] if head.get("content-type", "").startswith("application/http") else block
+                    name, size = digest(payload), len(payload)
                 if head.get("warc-payload-digest", f"sha1:{name}") != f"sha1:{name}":
                     raise ValueError(f"{here} at {offset}: the payload doesn't match its digest")
-                page, url = head.get("warc-page-id"), head.get("warc-target-uri")
-                rows.append((None if page is None else header_text(page), None if url is None else header_text(url), len(payload), name, payload if with_payload else None))
-            columns = list(zip(*rows)) or [()] * 5
-            kinds = [pa.string(), pa.string(), pa.int64(), pa.string(), pa.binary()]
-            names = ["page_id", "url", "payload_bytes", "payload_digest", "payload"]
-            keep = 5 if with_payload else 4
+                page, url, first = (None if v is None else header_text(v) for v in (head.get(h) for h in ("warc-page-id", "warc-target-uri", "warc-refers-to-page-id")))
+                rows.append((page, url, size, name, "revisit" if again else "response", first if again else None, payload if with_payload else None))
+            columns = list(zip(*rows)) or [()] * 7
+            kinds = [pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.binary()]
+            names = ["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to", "payload"]
+            keep = 7 if with_payload else 6
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns[:keep], kinds)], names=names[:keep])
         if file:
             file.close()
 
-    return spread.mapInArrow(read, "page_id string, url string, payload_bytes long, payload_digest string" + ", payload binary" * with_payload)
+    return spread.mapInArrow(read, "page_id string, url string, payload_bytes long, payload_digest string, record_type string, refers_to string" + ", payload binary" * with_payload)
 
 
 def mark_revisits(records: DataFrame, id_col: str = "page_id", at_least: int | Column = 0) -> DataFrame:
-    """``records`` with record_type and refers_to: of equal payloads the one with the smallest id is the response.
+    """``records`` with record_type and refers_to, as their digests say: of equal payloads the one with the smallest id is the response.
 
     The others revisit it; payloads under ``at_least`` bytes are all responses. A null id is never the smallest;
     payloads that only records without id have, and further rows with the smallest id itself, are responses.
     """
+    records = records.drop("record_type", "refers_to")
     long = records.filter(F.col("payload_bytes") >= at_least)
     groups = long.groupBy("payload_digest").agg(F.count("*").alias("_llm_n"), F.min(id_col).alias("_llm_first")).filter("_llm_n > 1")
     met = join_hot(records, groups, "payload_digest", "_llm_n", records.count())

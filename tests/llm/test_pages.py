@@ -92,8 +92,12 @@ def test_archives_round_trip(spark):
     folder, index = round_trip(spark, PAGES)
     records = warc.read_members(index).collect()
     text = lambda i: None if i is None else str(i)
-    assert Counter((r.page_id, r.url, bytes(r.payload).decode()) for r in records) == Counter((text(i), u, h or "") for i, u, h in PAGES)
-    assert all(r.payload_bytes == len(r.payload) and r.payload_digest == base64.b32encode(hashlib.sha1(bytes(r.payload)).digest()).decode() for r in records)
+    held = {(r.page_id, r.payload_digest): bytes(r.payload) for r in records if r.record_type == "response"}
+    payload = lambda r: held[r.refers_to if r.record_type == "revisit" else r.page_id, r.payload_digest]
+    assert Counter((r.page_id, r.url, payload(r).decode()) for r in records) == Counter((text(i), u, h or "") for i, u, h in PAGES)
+    assert all(r.payload_bytes == len(payload(r)) and r.payload_digest == base64.b32encode(hashlib.sha1(payload(r)).digest()).decode() for r in records)
+    assert all((r.payload is None) == (r.record_type == "revisit") for r in records)
+    assert Counter(r.warc_type for r in index.collect()) == Counter(r.record_type for r in records) == {"response": 6, "revisit": 3}
     streams, archives = sorted(Path(folder, "streams").glob("*.gz")), sorted(Path(folder, "archives").glob("*.warc.gz"))
     assert Counter(gzip.decompress(p.read_bytes()) for p in streams) == Counter(gzip.decompress(p.read_bytes()) for p in archives)
     for p in archives:  # each index line names one gzip member that holds one record, and together they are the file
@@ -113,6 +117,8 @@ def test_revisits(spark):
     records = warc.read_members(index, with_payload=False)
     records = records.withColumn("page_id", records.page_id.cast("long"))
     got = Counter((r.page_id, r.payload_bytes, r.record_type, r.refers_to) for r in warc.mark_revisits(records).collect())
+    stored = Counter((int(r.page_id) if r.page_id else None, r.payload_bytes, r.record_type, int(r.refers_to) if r.refers_to else None) for r in warc.read_members(index, with_payload=False).collect())
+    assert stored == got  # what the archives say is what the digests say
     n = len(PAGES[2][2].encode())
     want = [(5, 4, "revisit", 2), (2, 4, "response", None), (None, 4, "revisit", 2), (9, n, "response", None), (3, 0, "response", None), (4, 0, "revisit", 3), (6, 300_000, "response", None), (6, 300_000, "response", None), (None, 5, "response", None)]
     assert got == Counter(want)
@@ -120,6 +126,17 @@ def test_revisits(spark):
     assert (5, "response") in small and (4, "response") in small
 
 
+def test_revisits_name_the_record_they_repeat(spark):
+    folder, index = round_trip(spark, PAGES)
+    heads = {}
+    for p in Path(folder, "archives").glob("*.warc.gz"):
+        for record in gzip.decompress(p.read_bytes()).split(b"WARC/1.1\r\n")[1:]:
+            head = dict(line.split(": ", 1) for line in record.split(b"\r\n\r\n")[0].decode().split("\r\n"))
+            heads.setdefault(head["WARC-Record-ID"], head) if "WARC-Record-ID" in head else None
+    again = [h for h in heads.values() if h["WARC-Type"] == "revisit"]
+    assert len(again) == 3 and all(heads[h["WARC-Refers-To"]]["WARC-Type"] == "response" and heads[h["WARC-Refers-To"]]["WARC-Payload-Digest"] == h["WARC-Payload-Digest"] for h in again)
+
+
 def test_no_pages(spark):
     _, index = round_trip(spark, [], 1)
     assert warc.mark_revisits(warc.read_members(index, with_payload=False)).count() == 0
