@@ -141,9 +141,9 @@ class Spelling:
     """Decimal texts of ids with a separator: ``,`` within a group, ``|`` between its sides, ``;`` after it."""
 
     def __init__(self, size: int):
-        self.table = [f"{i}{sep}" for i in range(size) for sep in ",|;"]
+        self.table = np.array([f"{i}{sep}".encode() for i in range(size) for sep in ",|;"])  # of one width, filled up by zero bytes
 
-    def text(self, a: np.ndarray, b: np.ndarray, cuts_a: np.ndarray, cuts_b: np.ndarray) -> str:
+    def text(self, a: np.ndarray, b: np.ndarray, cuts_a: np.ndarray, cuts_b: np.ndarray) -> bytes:
         """Groups of one document as text; ``cuts`` are the places of each group's last token."""
         group_a, group_b = (np.searchsorted(cuts, np.arange(len(ids))) for cuts, ids in ((cuts_a, a), (cuts_b, b)))
         before_a, before_b = np.concatenate([[0], cuts_a + 1]), np.concatenate([[0], cuts_b + 1])
@@ -152,7 +152,7 @@ class Spelling:
         last_a[cuts_a], last_b[cuts_b] = 1, 2
         codes[np.arange(len(a)) + before_b[group_a]] = 3 * a.astype(np.int64) + last_a
         codes[np.arange(len(b)) + before_a[group_b + 1]] = 3 * b.astype(np.int64) + last_b
-        return "".join(map(self.table.__getitem__, codes.tolist()))[:-1]
+        return self.table[codes].tobytes().replace(b"\0", b"")[:-1]
 
 
 def aligned(pairs: list[tuple[np.ndarray, np.ndarray]], lengths_a: np.ndarray, lengths_b: np.ndarray, stretch: int = STRETCH) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -191,7 +191,7 @@ def links_of(docs: DataFrame, vocabulary: str, ranks: str, pieces: str, id_col:
                 n_a.append(len(a))
                 n_b.append(len(b))
                 n_links.append(len(i))
-                sums.append(hashlib.sha256(spelling.text(a, b, i, j).encode()).hexdigest() if len(a) else "")
+                sums.append(hashlib.sha256(spelling.text(a, b, i, j)).hexdigest() if len(a) else "")
                 linked_a.append(a[i])
                 linked_b.append(b[j])
             long, ids = pa.int64(), pa.list_(pa.int32())
