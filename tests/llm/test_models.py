@@ -1,10 +1,12 @@
 """Language identification, the quality classifier and nearest neighbours."""
 
+import math
 import random
 from collections import Counter
 
 import numpy as np
 import pytest
+import zstandard
 
 from evlog.llm import language, neighbours, quality
 
@@ -139,6 +141,26 @@ def test_held_labels_teach_nothing(docs, labels):
     assert quality.train(docs, labels) == quality.train(docs, spoiled)
 
 
+def plain_score(model, text):
+    """The score by its definition: each chunk is compressed by a new compressor with either dictionary."""
+    raw = (text or "").encode()
+    pieces = [line[at : at + quality.CHUNK] for line in raw.split(b"\n") if line.strip() for at in range(0, len(line), quality.CHUNK)]
+    size = lambda piece, words: len(zstandard.ZstdCompressor(level=quality.LEVEL, dict_data=zstandard.ZstdCompressionDict(words, dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_content_size=False, write_dict_id=False, write_checksum=False).compress(piece))
+    good, bad = ([size(p, words) for p in pieces] for words in (model.good, model.bad))
+    features = [0.0, 0.0, 0.0]
+    if pieces:
+        each = sorted((b - g) / (b + g + quality.EVEN) for g, b in zip(good, bad))
+        worst = each[: max(1, len(each) // 5)]
+        features = [(sum(bad) - sum(good)) / (sum(bad) + sum(good) + quality.EVEN), sum(worst) / len(worst), max(0.0, quality.LOW - min(sum(good), sum(bad)) / len(raw)) if len(raw) > quality.CHUNK // 4 else 0.0]
+    return 1 / (1 + math.exp(-model.weights[0] - sum(w * f for w, f in zip(model.weights[1:], features))))
+
+
+def test_scores_equal_their_definition(docs, labels):
+    model = quality.train(docs, labels)
+    rows = quality.score(docs.limit(60), model).collect()
+    assert len(rows) == 60 and all(r.score == pytest.approx(plain_score(model, r.text), abs=1e-9) and r.predicted == (r.score >= 0.5) for r in rows)
+
+
 def test_odd_quality_rows(spark, docs, labels):
     rows = [(1, None), (2, ""), (3, " \n "), (None, "some words"), (4, "x"), (4, "x"), (5, "ab " * 300_000)]
     df = spark.createDataFrame([(*r, "old", "old") for r in rows], "doc_id long, text string, score string, other string")
