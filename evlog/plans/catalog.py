@@ -438,7 +438,7 @@ def consistency_proofs(df):
     olds = M.merkle_root(states).select(F.get(name, F.lit(0)).alias("batch_id"), F.get(name, F.lit(1)).cast("bigint").alias("cut"), F.col("root").alias("old_root"), "leaf_count")
     olds = olds.filter("leaf_count = cut").withColumn("old_root", F.when(F.col("cut") == 1000, F.sha2("old_root", 256)).otherwise(F.col("old_root")))
     news = M.merkle_root(leaves).select("batch_id", F.col("root").alias("new_root"), F.col("leaf_count").alias("new_count"))
-    claims = olds.join(news, "batch_id").select("batch_id", F.col("cut").alias("old_count"), "new_count", "old_root", "new_root")
+    claims = olds.join(news, "batch_id").filter("cut < new_count").select("batch_id", F.col("cut").alias("old_count"), "new_count", "old_root", "new_root")
     proofs = G.consistency_proofs(M.merkle_nodes(leaves), claims).join(claims, ["batch_id", "old_count", "new_count"])
     return G.verify_consistency(proofs).select("batch_id", "old_count", "new_count", F.size("proof").cast("bigint").alias("steps"), "valid")
 
