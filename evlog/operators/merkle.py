@@ -135,10 +135,11 @@ def _chunks(nodes: DataFrame, k: int, height: int, sums: tuple[str, ...] = (), v
     member = F.struct("idx", "hash", "missing", "leaves", *carried)
     grouped = nodes.groupBy("batch_id", F.shiftright("idx", k).alias("chunk")).agg(
         F.sort_array(F.collect_list(member)).alias("_m"),
-        F.sum("leaves").alias("leaves"),
         *[F.sum(c).alias(c) for c in sums],
         *([F.bool_and("ok").alias("ok")] if verify else []),
     )
+    # counted after the shuffle: readers with and without the count share one shuffle, and so one scan of the leaves
+    leaves = F.aggregate("_m", F.lit(0).cast("bigint"), lambda n, m: n + m["leaves"])
     last = F.size("_m") - 1
     in_place = F.transform(
         F.col("_m"),
@@ -157,8 +158,8 @@ def _chunks(nodes: DataFrame, k: int, height: int, sums: tuple[str, ...] = (), v
             *[m[c].alias(c) for c in carried],
         ),
     )
-    passed = ["leaves", *sums, *(["ok"] if verify else [])]
-    staged = grouped.select("batch_id", "chunk", *passed, kept(members).alias("members"))
+    passed = [*sums, *(["ok"] if verify else [])]
+    staged = grouped.select("batch_id", "chunk", leaves.alias("leaves"), *passed, kept(members).alias("members"))
     tops = F.transform(F.col("members"), lambda m: F.element_at(m["path"], -1))
     folded = staged.withColumn("levels", kept(_fold(tops, k)))
     if verify:

@@ -20,6 +20,7 @@ from evlog.operators.ingest import mark_blank, seal
 from evlog.operators.normalize import LEAVES, merge_fields, leaf_struct, normalize
 from evlog.plans import batch as B
 from evlog.plans.process import canonical_events, process, validated_events
+from evlog.session import stored
 from evlog.sources.lines import event_lines, read_table, rendered_lines
 
 
@@ -414,7 +415,9 @@ def tamper_roots(df):
 
 
 def tamper_locate(df):
-    return M.tamper_locate(M.merkle_nodes(B.leaves(_shorter(df))), M.merkle_nodes(B.leaves(_tampered(df))))
+    """Each side's tree is built once and stored by level, so the walk reads nodes and never builds them again."""
+    before, after = (stored(M.merkle_nodes(B.leaves(side)), "nodes", "level") for side in (_shorter(df), _tampered(df)))
+    return M.tamper_locate(before, after)
 
 
 def merkle_append(df):

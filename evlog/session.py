@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def local_session(cores: str = "*", partitions: int = 8, memory: str = "8g") -> SparkSession:
@@ -34,6 +38,31 @@ def work_path(spark: SparkSession, name: str) -> str:
     return f"{named.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def stored(df: DataFrame, name: str, *by: str) -> DataFrame:
+    """The rows, written once by the columns ``by`` below ``spark.checkpoint.dir`` and read again; they go when the driver ends.
+
+    Where that setting is missing, a local session gets a folder of its own; any other session is refused. Shuffle
+    files of the step go with it.
+    """
+    spark = df.sparkSession
+    context = spark.sparkContext
+    if context.master.startswith("local") and not (spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")):
+        path = os.path.join(tempfile.gettempdir(), "evlog-shared", f"{name}-{uuid.uuid4().hex}")
+    else:
+        path = work_path(spark, name)
+    hadoop = context._jvm.org.apache.hadoop.fs.Path(path)
+    files = hadoop.getFileSystem(context._jsc.hadoopConfiguration())
+    files.mkdirs(hadoop)
+    files.deleteOnExit(hadoop)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.mode("overwrite").option("compression", "zstd").partitionBy(*by).parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def drop_path(spark: SparkSession, path: str) -> None:
     """Delete a folder, wherever it is stored."""
     context = spark.sparkContext

@@ -3,6 +3,7 @@ import hashlib
 import pytest
 from pyspark.sql import functions as F
 
+from __spark_entry__ import queries
 from evlog.operators.merkle import (
     batch_roots, folded_batches, leaf_positions, merkle_nodes, merkle_proofs, merkle_root, position_faults, tamper_diff,
     tamper_locate, verify_batch, verify_proofs,
@@ -134,6 +135,19 @@ def test_tampering(spark, leaves):
     assert all(r.all_leaf_proofs_valid for r in checked)
 
 
+def test_nodes_scan_their_leaves_once(spark):
+    rows = spark.range(200).select(F.lit("b").alias("batch_id"), F.col("id").alias("pos"), F.sha2(F.col("id").cast("string"), 256).alias("leaf"))
+    nodes = merkle_nodes(rows, k=3)
+    assert len(nodes.collect()) == 402  # 200, 100, 50, 25, 13, 7, 4, 2, 1
+    plan = nodes._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert plan.count("Range (") == 1
+
+
+def test_located_tampering_reads_stored_nodes(spark):
+    found = queries()["tamper_locate"](spark, "/root/testdata/sf0.001")
+    assert found.inputFiles() and not [f for f in found.inputFiles() if "/level=" not in f]
+
+
 def test_positions_of_a_hot_batch(spark):
     rows = spark.range(3000).select(
         F.when(F.col("id") % 3 == 0, F.lit("hot")).otherwise(F.concat(F.lit("b"), F.col("id") % 40)).alias("batch_id"),
